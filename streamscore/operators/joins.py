@@ -1,0 +1,35 @@
+"""Joins whose strategy depends on a measured size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def fits_in_rows(df: DataFrame, max_rows: int) -> bool:
+    """Whether a table has at most `max_rows` rows, reading no more than needed."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def join_dimension(
+    facts: DataFrame, dimension: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Left join of facts with a table that is unique on `key`.
+
+    The dimension is broadcast only if it was counted to be small. A larger one
+    is repeated once per salt, so that facts of one hot key, and facts without a
+    key, spread over many tasks.
+    """
+    if fits_in_rows(dimension, max_rows):
+        return facts.join(F.broadcast(dimension), key, "left")
+    columns = [c for c in facts.columns if c != key]
+    salted_facts = facts.withColumn(
+        "_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+    )
+    salted_dimension = dimension.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    return salted_facts.join(salted_dimension, [key, "_salt"], "left").drop("_salt")

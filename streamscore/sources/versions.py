@@ -1,0 +1,133 @@
+"""A keyed Parquet table that micro-batches replace part by part.
+
+Parquet tables have no MERGE. Rows live under `part=<p>/version=<v>`, where the
+part is an expression of the key and the version is the micro-batch id. A batch
+writes only the parts it touched, then a small table that names the newest
+version of every part. Without that table the batch does not count, so one that
+died half way is simply run again: it starts from the versions before its own
+and replaces what it left behind.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def hash_part(key: str, parts: int) -> Column:
+    """Spread keys evenly over a fixed number of parts."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("string")
+
+
+class VersionedTable:
+    """`part` must depend on the row's key only and have few values."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        part: Column,
+        files_per_part: int = 16,
+    ):
+        self.spark = spark
+        self.rows_path = f"{path.rstrip('/')}/rows"
+        self.commits_path = f"{path.rstrip('/')}/commits"
+        self.schema = schema
+        self.part = part
+        self.files_per_part = files_per_part
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self):
+        return self._path(self.rows_path).getFileSystem(
+            self.spark._jsc.hadoopConfiguration()
+        )
+
+    def _names(self, path: str) -> list[str]:
+        files = self._files()
+        if not files.exists(self._path(path)):
+            return []
+        return [s.getPath().getName() for s in files.listStatus(self._path(path))]
+
+    def versions(self, before: int | None = None) -> list[int]:
+        """Complete versions, oldest first."""
+        found = [int(n.split("=")[1]) for n in self._names(self.commits_path) if "=" in n]
+        return sorted(
+            v
+            for v in found
+            if (before is None or v < before)
+            and "_SUCCESS" in self._names(f"{self.commits_path}/batch={v}")
+        )
+
+    def _newest(self, before: int | None = None) -> dict[str, int]:
+        """Newest version of every part; one entry per part."""
+        complete = self.versions(before)
+        if not complete:
+            return {}
+        commit = self.spark.read.schema("part string, version bigint").parquet(
+            f"{self.commits_path}/batch={complete[-1]}"
+        )
+        return {r["part"]: r["version"] for r in commit.collect()}
+
+    def read(self, before: int | None = None, parts: list[str] | None = None) -> DataFrame:
+        """Current rows; optionally as they were before a version, or of some parts."""
+        newest = self._newest(before)
+        if parts is not None:
+            newest = {p: v for p, v in newest.items() if p in set(parts)}
+        if not newest:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.rows_path}/part={p}/version={v}" for p, v in sorted(newest.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def parts_of(self, rows: DataFrame) -> list[str]:
+        """Parts that some rows fall into: few values, whatever the row count."""
+        return sorted(
+            r["part"] for r in rows.select(self.part.alias("part")).distinct().collect()
+        )
+
+    def write(self, rows: DataFrame, version: int, parts: list[str]) -> None:
+        """Store the new content of `parts`, then make it count."""
+        names = [f.name for f in self.schema.fields]
+        newest = {**self._newest(before=version), **dict.fromkeys(parts, version)}
+        slot = F.pmod(F.xxhash64(*names), F.lit(self.files_per_part))
+        (
+            rows.select(
+                *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields],
+                self.part.alias("part"),
+                F.lit(version).cast("bigint").alias("version"),
+            )
+            .repartition("part", slot)
+            .write.partitionBy("part", "version")
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .parquet(self.rows_path)
+        )
+        commit = self.spark.createDataFrame(
+            sorted(newest.items()), "part string, version bigint"
+        )
+        commit.coalesce(1).write.mode("overwrite").parquet(
+            f"{self.commits_path}/batch={version}"
+        )
+
+    def expire(self, keep: int = 2) -> int:
+        """Delete row versions that the oldest of the last `keep` commits replaced.
+
+        Readers of any of those commits are not disturbed.
+        """
+        complete = self.versions()
+        if len(complete) < keep:
+            return 0
+        files = self._files()
+        deleted = 0
+        for part, version in self._newest(before=complete[-keep] + 1).items():
+            folder = f"{self.rows_path}/part={part}"
+            for name in self._names(folder):
+                if name.startswith("version=") and int(name.split("=")[1]) < version:
+                    files.delete(self._path(f"{folder}/{name}"), True)
+                    deleted += 1
+        for version in complete[:-keep]:
+            files.delete(self._path(f"{self.commits_path}/batch={version}"), True)
+        return deleted
