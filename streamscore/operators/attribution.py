@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from streamscore.functions.scalar import count_if, money, money_sum
 from streamscore.operators.running import CHUNK, with_running
 from streamscore.schemas import CONVERSION
+from streamscore.sources.storage import literal_rows
 
 MODELS = ["first_touch", "last_touch", "linear", "time_decay"]
 
@@ -209,6 +210,15 @@ def _sum_credit(credited: DataFrame) -> DataFrame:
     )
 
 
+def linear_from_touchpoints(touches: DataFrame) -> DataFrame:
+    """Linear credit out of single touchpoints, as from `explode_touchpoints`."""
+    return _sum_credit(
+        touches.filter(~_converting())
+        .groupBy("user_id", "channel")
+        .agg(F.sum(F.col("conversion_value") / F.col("touchpoint_count")).alias("_credit"))
+    )
+
+
 def time_decay_credit(
     touches: DataFrame, decay: float = 0.5, chunk: str = CHUNK
 ) -> DataFrame:
@@ -293,7 +303,7 @@ def attribution_comparison(events: DataFrame, channels: list[str] | None = None)
         .pivot("model", MODELS)
         .agg(F.max("credit_pct"))
     )
-    rows = events.sparkSession.createDataFrame([(c,) for c in listed], "channel string")
+    rows = literal_rows(events.sparkSession, "channel", listed)
     return rows.join(wide, "channel", "left").fillna(0.0, subset=MODELS)
 
 

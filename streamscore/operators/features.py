@@ -15,6 +15,7 @@ from streamscore.functions.scalar import (
 )
 from streamscore.operators.running import CHUNK, with_running
 from streamscore.schemas import CLICK, CONVERSION, IMPRESSION, PAID_SEARCH, USER_FEATURES
+from streamscore.sources.storage import empty
 
 KINDS = {"clicks": CLICK, "impressions": IMPRESSION, "paid_search": PAID_SEARCH}
 
@@ -70,7 +71,7 @@ def merge_user_features(
     both), and velocity is new events per hour since the previous refresh.
     """
     if state is None:
-        state = delta.sparkSession.createDataFrame([], USER_FEATURES)
+        state = empty(delta.sparkSession, USER_FEATURES)
     now = ntz(as_of)
     joined = state.alias("t").join(delta.alias("s"), "user_id", "full_outer")
     touched = F.col("s.batch_event_count").isNotNull()
@@ -113,7 +114,8 @@ def merge_user_features(
     )
 
 
-def _window_measures(as_of, event_type: Column, event_ts: Column, weight: Column) -> list[Column]:
+def window_measures(as_of, event_type: Column, event_ts: Column, weight: Column) -> list[Column]:
+    """The windowed features as aggregates; every row counts `weight` times."""
     measures = []
     for name, (code, hours) in WINDOWED.items():
         inside = event_ts >= hours_before(as_of, hours)
@@ -131,7 +133,7 @@ def rolling_user_features(events: DataFrame, as_of) -> DataFrame:
         (F.col("event_ts") >= hours_before(as_of, 168)) & (F.col("event_ts") <= ntz(as_of))
     )
     return recent.groupBy("user_id").agg(
-        *_window_measures(as_of, F.col("event_type"), F.col("event_ts"), F.lit(1))
+        *window_measures(as_of, F.col("event_type"), F.col("event_ts"), F.lit(1))
     )
 
 

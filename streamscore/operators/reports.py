@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamscore.functions.scalar import count_if, event_label
+from streamscore.sources.storage import literal_rows
 
 # Score buckets, highest first.
 BUCKETS = ["HIGH", "MED", "LOW"]
@@ -52,7 +53,7 @@ def score_funnel(scores: DataFrame, top_n: int = 100) -> DataFrame:
     All three buckets are present; the longest bar is 100.
     """
     counts = top_users(scores, top_n).groupBy("score_bucket").agg(F.count(F.lit(1)).alias("users"))
-    buckets = scores.sparkSession.createDataFrame([(b,) for b in BUCKETS], "score_bucket string")
+    buckets = literal_rows(scores.sparkSession, "score_bucket", BUCKETS)
     everything = Window.partitionBy(F.lit(0))
     users = F.coalesce("users", F.lit(0))
     return buckets.join(counts, "score_bucket", "left").select(

@@ -40,11 +40,11 @@ EVENT_COLUMNS = [
 # reported for its own field instead of voiding the whole record.
 MARKETING_JSON = (
     "event_id string, user_id string, event_type string, campaign_id string, "
-    "event_ts string, properties variant"
+    "event_ts string, properties variant, _corrupt_record string"
 )
 CONVERSION_JSON = (
     "event_id string, user_id string, event_type string, campaign_id string, "
-    "event_ts string, conversion_value string, properties variant"
+    "event_ts string, conversion_value string, properties variant, _corrupt_record string"
 )
 ENVELOPE_JSON = (
     "data string, metadata struct<topic: string, partition: int, "

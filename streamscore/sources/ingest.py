@@ -18,7 +18,7 @@ def _parse(json_rows: DataFrame, schema: str, value_column: bool) -> DataFrame:
     amount = F.col("r.conversion_value").try_cast("double") if value_column else None
 
     checks: list[tuple[Column, str]] = [
-        (F.col("r").isNull() | F.col("value").isNull(), "not a JSON object")
+        (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "not a JSON object")
     ]
     checks += [(F.col(f"r.{c}").isNull(), f"missing {c}") for c in REQUIRED]
     checks.append((event_ts.isNull(), "bad event_ts"))

@@ -1,11 +1,13 @@
-"""Where intermediate tables live."""
+"""Where intermediate tables live, and tables that need no storage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -23,3 +25,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="streamscore-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, in a form the optimizer recognises and removes from joins."""
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).filter(F.lit(False)).select(columns)
+
+
+def literal_rows(spark: SparkSession, column: str, values: list) -> DataFrame:
+    """A one-column table of a few fixed values."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))

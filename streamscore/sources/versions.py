@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamscore.sources.storage import empty
+
 
 def hash_part(key: str, parts: int) -> Column:
     """Spread keys evenly over a fixed number of parts."""
@@ -78,7 +80,7 @@ class VersionedTable:
         if parts is not None:
             newest = {p: v for p, v in newest.items() if p in set(parts)}
         if not newest:
-            return self.spark.createDataFrame([], self.schema)
+            return empty(self.spark, self.schema)
         paths = [f"{self.rows_path}/part={p}/version={v}" for p, v in sorted(newest.items())]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
