@@ -30,8 +30,7 @@ def touchpoints(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
     Adds `touch_idx` (0 for the earliest), `touchpoint_count` and the user's
     total `conversion_value`. Ties in time are ordered by event_id.
     """
-    converted = events.filter(_converting()).select("user_id").distinct()
-    rows = events.join(converted, "user_id", "left_semi").select(
+    rows = events.select(
         "user_id",
         "event_id",
         "event_ts",
@@ -47,15 +46,19 @@ def touchpoints(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
         measures={"touch_idx": F.lit(1)},
         totals={
             "touchpoint_count": F.count(F.lit(1)),
+            "_conversions": count_if(_converting()),
             "conversion_value": F.sum(
                 F.when(_converting(), money("event_value")).otherwise(0)
             ),
         },
+        keep=F.col("_conversions") > 0,
         order=["event_ts", "event_id"],
         chunk=chunk,
     )
-    return numbered.withColumn("touch_idx", F.col("touch_idx") - 1).withColumn(
-        "conversion_value", F.col("conversion_value").cast("double")
+    return (
+        numbered.withColumn("touch_idx", F.col("touch_idx") - 1)
+        .withColumn("conversion_value", F.col("conversion_value").cast("double"))
+        .drop("_conversions")
     )
 
 

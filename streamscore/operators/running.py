@@ -3,7 +3,7 @@
 A window over one key puts all rows of that key into one task. Here time is cut
 into chunks: totals per (key, chunk) are aggregated first, their running sum
 gives what each chunk starts from, and the row-level window then runs per
-(key, chunk) with that start as an extra first row. The result is exact.
+(key, chunk) on top of that. The result is exact.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 CHUNK = "1 hour"
 
-_CARRY, _ROW = 0, 1
-
 
 def chunk_start(ts: Column, chunk: str) -> Column:
     return F.window(ts, chunk)["start"]
@@ -29,6 +27,7 @@ def with_running(
     measures: Mapping[str, Column],
     order: list[str],
     totals: Mapping[str, Column] | None = None,
+    keep: Column | None = None,
     peers: bool = False,
     chunk: str = CHUNK,
 ) -> DataFrame:
@@ -36,49 +35,43 @@ def with_running(
 
     `measures` maps a new column to what each row adds to it; the sums include
     the row itself and, with `peers`, all rows equal to it in `order`.
-    `totals` maps a new column to an aggregate of the whole key, which must be a
-    count, a sum or a maximum written over the rows of one chunk.
+    `totals` maps a new column to a count or sum over the rows of one chunk,
+    which is added up over the key. `keep` is a condition on the totals that
+    drops whole keys. Key and time must not be NULL. Adds `_chunk` as well.
     """
     totals = dict(totals or {})
-    columns = rows.columns
-    detail = rows.withColumn("_chunk", chunk_start(F.col(ts), chunk)).select(
-        *columns, "_chunk", *[m.cast("bigint").alias(n) for n, m in measures.items()]
+    detail = rows.withColumn("_chunk", chunk_start(F.col(ts), chunk)).withColumns(
+        {f"_d_{n}": m.cast("bigint") for n, m in measures.items()}
     )
 
-    by_time = Window.partitionBy(key).orderBy("_chunk")
-    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
     whole_key = Window.partitionBy(key)
-    carry = (
+    earlier = whole_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
         detail.groupBy(key, "_chunk")
         .agg(
-            *[F.sum(n).alias(n) for n in measures],
+            *[F.sum(f"_d_{n}").alias(n) for n in measures],
             *[t.alias(n) for n, t in totals.items()],
         )
         .select(
             key,
             "_chunk",
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in measures],
+            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_from_{n}") for n in measures],
             *[F.sum(n).over(whole_key).alias(n) for n in totals],
         )
-        .withColumn("_kind", F.lit(_CARRY))
     )
+    if keep is not None:
+        starts = starts.filter(keep)
 
-    both = detail.withColumn("_kind", F.lit(_ROW)).unionByName(
-        carry, allowMissingColumns=True
-    )
-    running = Window.partitionBy(key, "_chunk").orderBy("_kind", *order)
+    # Without this, rows that arrive partitioned by the key would stay that way.
+    spread = detail.repartition(key, "_chunk")
+    running = Window.partitionBy(key, "_chunk").orderBy(*order)
     if peers:
         running = running.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     else:
         running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        both.select(
-            *columns,
-            "_chunk",
-            "_kind",
-            *[F.sum(n).over(running).alias(n) for n in measures],
-            *[F.max(n).over(running).alias(n) for n in totals],
-        )
-        .filter(F.col("_kind") == _ROW)
-        .drop("_kind")
+    return spread.join(starts, [key, "_chunk"]).select(
+        *rows.columns,
+        "_chunk",
+        *[(F.col(f"_from_{n}") + F.sum(f"_d_{n}").over(running)).alias(n) for n in measures],
+        *totals,
     )

@@ -524,7 +524,7 @@ def stream_unify(spark, sf_dir):
 def stream_user_features(spark, sf_dir):
     events = fx.enriched(spark, sf_dir)
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
-    table = streams.user_features_table(spark, shared_dir(spark, "user_features"))
+    table = streams.user_features_table(spark, shared_dir(spark, "user_features"), parts=8)
     for batch in range(len(fx.BATCHES)):
         tables.append_events(fx.batch_of(events, batch), source)
         streams.stream_user_features(
@@ -596,7 +596,7 @@ def stream_reach_frequency(spark, sf_dir):
 
 @query
 def stream_attribution(spark, sf_dir):
-    table = streams.journey_channels_table(spark, shared_dir(spark, "journey_channels"))
+    table = streams.journey_channels_table(spark, shared_dir(spark, "journeys"), parts=8)
     events = fx.enriched(spark, sf_dir)
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in range(len(fx.BATCHES)):

@@ -37,7 +37,9 @@ def _parse(json_rows: DataFrame, schema: str, value_column: bool) -> DataFrame:
     ]
     if value_column:
         fields.append(amount.alias("conversion_value"))
-    return json_rows.withColumn("r", F.from_json("value", schema)).select(
+    # The generator keeps filters on the result from repeating the parse per field.
+    record = F.explode(F.array(F.from_json("value", schema)))
+    return json_rows.withColumn("r", record).select(
         *passed, *fields, F.col("r.properties").alias("properties"), error.alias("_error"), "value"
     )
 
@@ -57,7 +59,7 @@ def parse_conversion(json_rows: DataFrame) -> DataFrame:
 
 def unwrap_envelope(messages: DataFrame) -> DataFrame:
     """Payload text of topic messages `{data, metadata}` held in column `value`."""
-    parsed = messages.select(F.from_json("value", ENVELOPE_JSON).alias("m"))
+    parsed = messages.select(F.explode(F.array(F.from_json("value", ENVELOPE_JSON))).alias("m"))
     return parsed.select(
         F.col("m.data").alias("value"),
         F.col("m.metadata.topic").alias("topic"),

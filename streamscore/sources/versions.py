@@ -2,14 +2,16 @@
 
 Parquet tables have no MERGE. Rows live under `part=<p>/version=<v>`, where the
 part is an expression of the key and the version is the micro-batch id. A batch
-writes only the parts it touched, then a small table that names the newest
-version of every part. Without that table the batch does not count, so one that
+writes only the parts it touched, then a small file that names the newest
+version of every part. Without that file the batch does not count, so one that
 died half way is simply run again: it starts from the versions before its own
 and replaces what it left behind.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +71,8 @@ class VersionedTable:
         complete = self.versions(before)
         if not complete:
             return {}
-        commit = self.spark.read.schema("part string, version bigint").parquet(
-            f"{self.commits_path}/batch={complete[-1]}"
-        )
-        return {r["part"]: r["version"] for r in commit.collect()}
+        commit = self.spark.read.text(f"{self.commits_path}/batch={complete[-1]}")
+        return json.loads(commit.first()["value"])
 
     def read(self, before: int | None = None, parts: list[str] | None = None) -> DataFrame:
         """Current rows; optionally as they were before a version, or of some parts."""
@@ -107,12 +107,10 @@ class VersionedTable:
             .option("partitionOverwriteMode", "dynamic")
             .parquet(self.rows_path)
         )
-        commit = self.spark.createDataFrame(
-            sorted(newest.items()), "part string, version bigint"
-        )
-        commit.coalesce(1).write.mode("overwrite").parquet(
-            f"{self.commits_path}/batch={version}"
+        commit = self.spark.range(1, numPartitions=1).select(
+            F.lit(json.dumps(newest, sort_keys=True)).alias("value")
         )
+        commit.write.mode("overwrite").text(f"{self.commits_path}/batch={version}")
 
     def expire(self, keep: int = 2) -> int:
         """Delete row versions that the oldest of the last `keep` commits replaced.

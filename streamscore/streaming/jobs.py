@@ -63,9 +63,8 @@ def apply_batch(
         if not parts:
             return
         table.write(fold(table.read(version, parts), delta, version), version, parts)
-        current = table.read(version + 1, parts)
         for target, derive in derived:
-            target.write(derive(current), version, parts)
+            target.write(derive(table.read(version + 1, parts)), version, parts)
     finally:
         delta.unpersist()
 
