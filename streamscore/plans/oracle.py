@@ -502,6 +502,9 @@ from scores s where s.user_id = 'U0005'""",
     sql["score_distribution"] = _query(
         "select score_bucket, count(*) as users from scores group by score_bucket", _SCORES
     )
+    sql["recommendation_count"] = (
+        r"select doc_id, cast(len(regexp_extract_all(text, '\d\.')) as bigint) as recommendations from documents"
+    )
     sql["score_funnel"] = _query(
         """select b.score_bucket, coalesce(c.users, 0) as users,
        cast(sum(coalesce(c.users, 0)) over () as bigint) as total_users,

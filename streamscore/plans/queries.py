@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamscore.functions import scalar
 from streamscore.operators import attribution as at
 from streamscore.operators import audience, campaigns, features, ml, monitor, reports, scoring
 from streamscore.plans import fixtures as fx
@@ -275,6 +276,12 @@ def recent_user_events(spark, sf_dir):
     return reports.recent_events(fx.enriched(spark, sf_dir), "U0005", 20)
 
 
+@query
+def recommendation_count(spark, sf_dir):
+    texts = tables.read_table(spark, "documents", sf_dir)
+    return texts.select("doc_id", scalar.recommendation_count("text").alias("recommendations"))
+
+
 @query
 def score_distribution(spark, sf_dir):
     return reports.score_distribution(_scores(spark, sf_dir))
