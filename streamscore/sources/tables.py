@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamscore.functions.scalar import ntz
 from streamscore.schemas import CAMPAIGN_COLUMNS, CAMPAIGNS
 
+DATE_FOLDER = "event_date"
+
 
 def load_campaigns(spark: SparkSession, path: str | None = None, created_at=None) -> DataFrame:
     """The campaign dimension, from a stored table or the seed rows."""
@@ -20,7 +24,7 @@ def load_campaigns(spark: SparkSession, path: str | None = None, created_at=None
         for campaign in CAMPAIGNS
     )
     seed = spark.sql(f"SELECT * FROM VALUES {rows}").toDF(*CAMPAIGN_COLUMNS[:-1])
-    moment = F.localtimestamp() if created_at is None else F.lit(created_at).cast("timestamp_ntz")
+    moment = F.localtimestamp() if created_at is None else ntz(created_at)
     return seed.withColumn("created_at", moment)
 
 
@@ -31,9 +35,58 @@ def read_table(spark: SparkSession, name: str, folder: str | None = None) -> Dat
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def append_events(rows: DataFrame, path: str) -> None:
-    """Append a batch of events to a raw table."""
-    rows.write.mode("append").parquet(path)
+def append_events(rows: DataFrame, path: str, by_date: bool = False) -> None:
+    """Append a batch of events to a table, optionally in folders by event date."""
+    writer = rows.write
+    if by_date:
+        writer = (
+            rows.withColumn(DATE_FOLDER, F.to_date("event_ts"))
+            .hint("rebalance", DATE_FOLDER)
+            .write.partitionBy(DATE_FOLDER)
+        )
+    writer.mode("append").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """Events from `start` to `end`, both inclusive.
+
+    On a table kept by date the bounds also select the folders, so that a week
+    of features does not list or open the files of years.
+    """
+    events = spark.read.parquet(path)
+    for bound, compare in ((start, operator.ge), (end, operator.le)):
+        if bound is None:
+            continue
+        events = events.filter(compare(F.col("event_ts"), ntz(bound)))
+        if DATE_FOLDER in events.columns:
+            events = events.filter(compare(F.col(DATE_FOLDER), F.to_date(ntz(bound))))
+    return events.drop(DATE_FOLDER)
+
+
+def read_topic(
+    spark: SparkSession, servers: str, topic: str, start_from: str = "earliest"
+) -> DataFrame:
+    """A topic as a stream, payload text in `value`; needs Spark's Kafka connector.
+
+    `start_from` is "earliest" or "latest" and only matters to a job without a
+    checkpoint.
+    """
+    if start_from not in ("earliest", "latest"):
+        raise ValueError(f"start_from must be 'earliest' or 'latest', not {start_from!r}")
+    messages = (
+        spark.readStream.format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("subscribe", topic)
+        .option("startingOffsets", start_from)
+        .load()
+    )
+    return messages.select(
+        F.col("value").cast("string").alias("value"),
+        "topic",
+        "partition",
+        "offset",
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+    )
 
 
 def read_changes(

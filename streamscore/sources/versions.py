@@ -27,20 +27,12 @@ def hash_part(key: str, parts: int) -> Column:
 class VersionedTable:
     """`part` must depend on the row's key only and have few values."""
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        schema: T.StructType,
-        part: Column,
-        files_per_part: int = 16,
-    ):
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column):
         self.spark = spark
         self.rows_path = f"{path.rstrip('/')}/rows"
         self.commits_path = f"{path.rstrip('/')}/commits"
         self.schema = schema
         self.part = part
-        self.files_per_part = files_per_part
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -91,17 +83,19 @@ class VersionedTable:
         )
 
     def write(self, rows: DataFrame, version: int, parts: list[str]) -> None:
-        """Store the new content of `parts`, then make it count."""
-        names = [f.name for f in self.schema.fields]
+        """Store the new content of `parts`, then make it count.
+
+        Rows are gathered by part so that small parts get one file; adaptive
+        execution splits a large part over as many tasks as its size asks for.
+        """
         newest = {**self._newest(before=version), **dict.fromkeys(parts, version)}
-        slot = F.pmod(F.xxhash64(*names), F.lit(self.files_per_part))
         (
             rows.select(
                 *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields],
                 self.part.alias("part"),
                 F.lit(version).cast("bigint").alias("version"),
             )
-            .repartition("part", slot)
+            .hint("rebalance", "part")
             .write.partitionBy("part", "version")
             .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

@@ -27,6 +27,21 @@ def run(writer: DataStreamWriter, checkpoint: str, every: str | None = None) ->
     return query
 
 
+def rates(query: StreamingQuery) -> dict[str, float]:
+    """Rows per second of the last micro-batch and rows dropped as late."""
+    last = query.lastProgress
+    if last is None:
+        return {}
+    dropped = sum(op["numRowsDroppedByWatermark"] for op in last["stateOperators"])
+    return {
+        "batch_id": last["batchId"],
+        "rows": last["numInputRows"],
+        "input_rows_per_second": last["inputRowsPerSecond"],
+        "processed_rows_per_second": last["processedRowsPerSecond"],
+        "late_rows_dropped": dropped,
+    }
+
+
 def maintain(
     source: DataFrame,
     table: VersionedTable,
@@ -97,12 +112,15 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Topic messages into a raw table; bad ones land beside it under `_ok=false`.
 
-    Every micro-batch owns one folder and overwrites it when it is run again.
+    `messages` are envelopes in column `value`, or rows that carry topic and
+    offset already, as from `read_topic`. Every micro-batch owns one folder and
+    overwrites it when it is run again.
     """
+    enveloped = "offset" not in messages.columns
     parse = {"marketing_events": parse_marketing, "conversion_events": parse_conversion}[topic]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse(unwrap_envelope(batch))
+        parsed = parse(unwrap_envelope(batch) if enveloped else batch)
         (
             parsed.withColumn("_ok", F.col("_error").isNull())
             .withColumn("value", F.when(~F.col("_ok"), F.col("value")))

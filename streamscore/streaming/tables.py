@@ -232,9 +232,7 @@ def user_hours_table(spark: SparkSession, path: str, part: str = "hour") -> Vers
 
 
 def performance_table(spark: SparkSession, path: str, part: str = "hour") -> VersionedTable:
-    return VersionedTable(
-        spark, path, PERFORMANCE, _time_part("hour_ts", part), files_per_part=1
-    )
+    return VersionedTable(spark, path, PERFORMANCE, _time_part("hour_ts", part))
 
 
 def stream_campaign_performance(

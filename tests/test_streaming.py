@@ -135,11 +135,15 @@ def test_late_events(spark, tmp_path, late, expected):
     source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
     table = st.tiles_table(spark, str(tmp_path / "tiles"), part="day")
     arrivals = [event(1, "2024-01-01 10:00:00"), event(2, "2024-01-02 10:00:00"), event(3, "2024-01-01 09:00:00")]
+    dropped = 0
     for row in arrivals:
         tables.append_events(spark.createDataFrame([row], ENRICHED), source)
-        st.stream_feature_tiles(
+        query = st.stream_feature_tiles(
             tables.read_changes(spark, source, ENRICHED), table, progress, late=late
         )
+        dropped += sum(p["numRowsDroppedByWatermark"] for b in query.recentProgress for p in b["stateOperators"])
+    assert dropped == 3 - expected
+    assert jobs.rates(query)["batch_id"] >= 2
     assert table.read().agg(F.sum("events")).first()[0] == expected
 
 
