@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamscore.functions.scalar import count_if, money, money_sum
-from streamscore.operators.running import CHUNK, with_running
+from streamscore.operators.running import with_running
 from streamscore.schemas import CONVERSION
 from streamscore.sources.storage import literal_rows
 
@@ -24,11 +24,12 @@ def _converting(alias: str = "event_type") -> Column:
     return F.col(alias) == CONVERSION
 
 
-def touchpoints(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
+def touchpoints(events: DataFrame, **large_keys) -> DataFrame:
     """Events of converted users with their position in the user's journey.
 
     Adds `touch_idx` (0 for the earliest), `touchpoint_count` and the user's
     total `conversion_value`. Ties in time are ordered by event_id.
+    `large_keys` are settings of `with_running`, whose chunks are in `_chunk`.
     """
     rows = events.select(
         "user_id",
@@ -53,7 +54,7 @@ def touchpoints(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
         },
         keep=F.col("_conversions") > 0,
         order=["event_ts", "event_id"],
-        chunk=chunk,
+        **large_keys,
     )
     return (
         numbered.withColumn("touch_idx", F.col("touch_idx") - 1)
@@ -222,20 +223,16 @@ def linear_from_touchpoints(touches: DataFrame) -> DataFrame:
     )
 
 
-def time_decay_credit(
-    touches: DataFrame, decay: float = 0.5, chunk: str = CHUNK
-) -> DataFrame:
+def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
     """Credit that falls by exp(-decay) with every touch before the last.
 
-    Weights are summed per chunk relative to the chunk's last marketing touch,
+    `touches` come from `touchpoints`. Weights are summed per chunk relative to the chunk's last marketing touch,
     then brought to the user's last one, so long journeys neither travel whole
     nor lose precision. Conversions take no credit but hold a position.
     """
     if decay < 0:
         raise ValueError("decay must not be negative")
     marketing = touches.filter(~_converting())
-    if "_chunk" not in marketing.columns:
-        marketing = marketing.withColumn("_chunk", F.window("event_ts", chunk)["start"])
     in_chunk = Window.partitionBy("user_id", "_chunk")
     user = Window.partitionBy("user_id")
     per_chunk = (

@@ -13,7 +13,7 @@ from streamscore.functions.scalar import (
     money,
     ntz,
 )
-from streamscore.operators.running import CHUNK, with_running
+from streamscore.operators.running import with_running
 from streamscore.schemas import CLICK, CONVERSION, IMPRESSION, PAID_SEARCH, USER_FEATURES
 from streamscore.sources.storage import empty
 
@@ -154,37 +154,49 @@ def online_user_features(events: DataFrame, as_of) -> DataFrame:
     )
 
 
-def rolling_history(events: DataFrame, chunk: str = CHUNK) -> DataFrame:
+def rolling_history(events: DataFrame, **large_keys) -> DataFrame:
     """The windowed features as they stood right after every single event.
 
     Each event adds one to its windows when it happens and takes it off again
     just after the window's length, so every count is one running sum.
+    `large_keys` are settings of `with_running`.
     """
-    hours = sorted({h for _, h in WINDOWED.values()})
-    steps = F.array(
-        F.struct(F.lit(0).alias("leaves"), F.col("event_ts").alias("at")),
-        *[
-            F.struct(F.lit(h).alias("leaves"), (F.col("event_ts") + F.expr(f"INTERVAL {h} HOURS")).alias("at"))
-            for h in hours
-        ],
-    )
-    changes = (
-        events.select("event_id", "user_id", "event_type", "event_ts")
-        .withColumn("_step", F.explode(steps))
-        .select("event_id", "user_id", "event_type", "event_ts", "_step.leaves", "_step.at")
-        .withColumn("_gone", F.col("leaves") > 0)
+
+    def lengths(code: str | None) -> Column:
+        used = {h for c, h in WINDOWED.values() if c in (None, code)}
+        return F.array(*[F.lit(h).cast("smallint") for h in [0, *sorted(used)]])
+
+    by_type = lengths(None)
+    for code in sorted({c for c, _ in WINDOWED.values() if c is not None}):
+        by_type = F.when(F.col("event_type") == code, lengths(code)).otherwise(by_type)
+    left_after = F.explode(by_type)
+    gone = F.col("_left_after") > 0
+    changes = events.select(
+        "event_id", "user_id", "event_type", "event_ts", left_after.alias("_left_after")
+    ).select(
+        F.when(~gone, F.col("event_id")).alias("event_id"),
+        "user_id",
+        "event_type",
+        (F.col("event_ts") + F.make_dt_interval(hours="_left_after")).alias("at"),
+        "_left_after",
     )
     measures = {}
     for name, (code, h) in WINDOWED.items():
         mine = F.lit(True) if code is None else F.col("event_type") == code
         measures[name] = (
-            F.when(mine & ~F.col("_gone"), 1).when(mine & (F.col("leaves") == h), -1).otherwise(0)
+            F.when(mine & ~gone, 1).when(mine & (F.col("_left_after") == h), -1).otherwise(0)
         )
     running = with_running(
-        changes, "user_id", "at", measures, order=["at", "_gone"], peers=True, chunk=chunk
+        changes.withColumn("_gone", gone),
+        "user_id",
+        "at",
+        measures,
+        order=["at", "_gone"],
+        peers=True,
+        **large_keys,
     )
     return running.filter(~F.col("_gone")).select(
-        "event_id", "user_id", "event_type", "event_ts", *WINDOWED
+        "event_id", "user_id", "event_type", F.col("at").alias("event_ts"), *WINDOWED
     )
 
 

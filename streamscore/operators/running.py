@@ -1,9 +1,10 @@
-"""Per-key running totals that never need a whole key in one task.
+"""Per-key running totals that never need a very large key in one task.
 
-A window over one key puts all rows of that key into one task. Here time is cut
-into chunks: totals per (key, chunk) are aggregated first, their running sum
-gives what each chunk starts from, and the row-level window then runs per
-(key, chunk) on top of that. The result is exact.
+A window over one key puts all rows of that key into one task. Here the time of
+keys with very many rows is cut into chunks: totals per (key, chunk) are
+aggregated first, their running sum gives what each chunk starts from, and the
+row-level window then runs per (key, chunk) on top of that. Other keys are one
+chunk. The result is exact either way.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "1 hour"
+from streamscore.functions.scalar import ntz
 
-
-def chunk_start(ts: Column, chunk: str) -> Column:
-    return F.window(ts, chunk)["start"]
+# Keys with more rows than this are cut, into chunks of this length.
+LARGE_KEY_ROWS = 1_000_000
+CHUNK = "10 minutes"
 
 
 def with_running(
@@ -29,6 +30,7 @@ def with_running(
     totals: Mapping[str, Column] | None = None,
     keep: Column | None = None,
     peers: bool = False,
+    large_key_rows: int = LARGE_KEY_ROWS,
     chunk: str = CHUNK,
 ) -> DataFrame:
     """Add running sums, and totals of the whole key, to every row.
@@ -40,8 +42,24 @@ def with_running(
     drops whole keys. Key and time must not be NULL. Adds `_chunk` as well.
     """
     totals = dict(totals or {})
-    detail = rows.withColumn("_chunk", chunk_start(F.col(ts), chunk)).withColumns(
-        {f"_d_{n}": m.cast("bigint") for n, m in measures.items()}
+    steps = {name: measure.cast("bigint") for name, measure in measures.items()}
+
+    # At most (all rows / large_key_rows) keys: a million for 10^12 rows.
+    large = (
+        rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > large_key_rows)
+        .select(key, F.lit(True).alias("_large"))
+    )
+    detail = (
+        rows.join(F.broadcast(large), key, "left")
+        .withColumn(
+            "_chunk",
+            F.when(F.col("_large"), F.window(ts, chunk)["start"].cast("timestamp_ntz")).otherwise(
+                ntz("1970-01-01 00:00:00")
+            ),
+        )
+        .drop("_large")
     )
 
     whole_key = Window.partitionBy(key)
@@ -49,7 +67,7 @@ def with_running(
     starts = (
         detail.groupBy(key, "_chunk")
         .agg(
-            *[F.sum(f"_d_{n}").alias(n) for n in measures],
+            *[F.sum(step).alias(n) for n, step in steps.items()],
             *[t.alias(n) for n, t in totals.items()],
         )
         .select(
@@ -63,6 +81,7 @@ def with_running(
         starts = starts.filter(keep)
 
     # Without this, rows that arrive partitioned by the key would stay that way.
+    # What a row adds is computed after the shuffle, to move fewer bytes.
     spread = detail.repartition(key, "_chunk")
     running = Window.partitionBy(key, "_chunk").orderBy(*order)
     if peers:
@@ -72,6 +91,6 @@ def with_running(
     return spread.join(starts, [key, "_chunk"]).select(
         *rows.columns,
         "_chunk",
-        *[(F.col(f"_from_{n}") + F.sum(f"_d_{n}").over(running)).alias(n) for n in measures],
+        *[(F.col(f"_from_{n}") + F.sum(s).over(running)).alias(n) for n, s in steps.items()],
         *totals,
     )

@@ -80,14 +80,22 @@ def brute_time_decay(rows, decay):
     return dict(revenue), {c: len(u) for c, u in users.items()}
 
 
-@pytest.mark.parametrize("decay", [0.5, 0.001, 0.0])
-def test_long_journey_with_many_trailing_conversions(events, decay):
+@pytest.mark.parametrize(
+    "decay,large_keys",
+    [
+        (0.5, {}),
+        (0.5, {"large_key_rows": 100, "chunk": "3 hours"}),
+        (0.001, {"large_key_rows": 100, "chunk": "10 minutes"}),
+        (0.0, {"large_key_rows": 0, "chunk": "1 hour"}),
+    ],
+)
+def test_long_journey_with_many_trailing_conversions(events, decay, large_keys):
     campaigns = list(CHANNEL)
     hot = [("CL" if i % 3 else "IM", campaigns[(i // 40) % 4], None) for i in range(2500)]
     # More trailing conversions than exp() can represent as a weight.
     hot += [("CN", "C003", 1.25)] * 1600
     rows = journey("HOT", hot) + SIMPLE
-    got = credit(at.time_decay_credit(at.touchpoints(events(rows)), decay))
+    got = credit(at.time_decay_credit(at.touchpoints(events(rows), **large_keys), decay))
     revenue, users = brute_time_decay(rows, decay)
     assert {c: r["conversions"] for c, r in got.items()} == users
     for channel, r in got.items():
@@ -135,6 +143,14 @@ def test_credit_percent_of_no_revenue_is_zero(spark):
     assert at.credit_pct(rows).first()["credit_pct"] == 0.0
 
 
+def test_positions_do_not_depend_on_the_chunks(spark, sf_dir):
+    ev = fx.enriched(spark, sf_dir)
+    plain = at.touchpoints(ev).drop("_chunk")
+    cut = at.touchpoints(ev, large_key_rows=20, chunk="2 hours")
+    assert cut.select("user_id", "_chunk").distinct().count() > 100
+    assert sorted(map(str, cut.drop("_chunk").collect())) == sorted(map(str, plain.collect()))
+
+
 def test_a_user_is_split_over_tasks(spark, sf_dir):
     plan = at.touchpoints(fx.enriched(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     # Row-level work is keyed by user and chunk; only chunk totals meet per user.

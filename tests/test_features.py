@@ -122,7 +122,10 @@ def brute_history(rows, horizon_hours, event_type):
     return out
 
 
-def test_history_of_a_hot_user_equals_brute_force(events):
+@pytest.mark.parametrize(
+    "large_keys", [{}, {"large_key_rows": 50, "chunk": "1 hour"}, {"large_key_rows": 0, "chunk": "10 minutes"}]
+)
+def test_history_of_a_hot_user_equals_brute_force(events, large_keys):
     base = moment("2024-01-01 00:00:00")
     kinds = ["CL", "IM", "PS", "CN"]
     rows = []
@@ -131,7 +134,7 @@ def test_history_of_a_hot_user_equals_brute_force(events):
         user = "HOT" if i % 4 else f"U{i % 7}"
         ts = base + timedelta(minutes=20 * (i // 2), seconds=(i % 3 == 0) * 30)
         rows.append((f"E{i:04d}", user, kinds[i % 4 if i % 5 else 0], "C001", ts.isoformat(" "), 1.0))
-    history = {r["event_id"]: r for r in ft.rolling_history(events(rows)).collect()}
+    history = {r["event_id"]: r for r in ft.rolling_history(events(rows), **large_keys).collect()}
     assert len(history) == len(rows)
     for column, kind, hours in [("clicks_1h", "CL", 1), ("clicks_24h", "CL", 24), ("conversions_7d", "CN", 168)]:
         expected = brute_history(rows, hours, kind)
