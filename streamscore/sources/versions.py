@@ -11,6 +11,7 @@ and replaces what it left behind.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +26,26 @@ def hash_part(key: str, parts: int) -> Column:
 
 
 class VersionedTable:
-    """`part` must depend on the row's key only and have few values."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, part: Column):
+    """`part` must depend on the row's key only and have few values.
+
+    `keep` is how many versions back readers may still look; older ones are
+    deleted as parts are rewritten. None keeps everything.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        part: Column,
+        keep: int | None = 3,
+    ):
         self.spark = spark
         self.rows_path = f"{path.rstrip('/')}/rows"
         self.commits_path = f"{path.rstrip('/')}/commits"
         self.schema = schema
         self.part = part
+        self.keep = keep
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -48,22 +61,24 @@ class VersionedTable:
             return []
         return [s.getPath().getName() for s in files.listStatus(self._path(path))]
 
-    def versions(self, before: int | None = None) -> list[int]:
-        """Complete versions, oldest first."""
+    def _complete(self, before: int | None = None) -> Iterator[int]:
+        """Complete versions, newest first."""
         found = [int(n.split("=")[1]) for n in self._names(self.commits_path) if "=" in n]
-        return sorted(
-            v
-            for v in found
-            if (before is None or v < before)
-            and "_SUCCESS" in self._names(f"{self.commits_path}/batch={v}")
-        )
+        for version in sorted(found, reverse=True):
+            if before is None or version < before:
+                if "_SUCCESS" in self._names(f"{self.commits_path}/batch={version}"):
+                    yield version
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first."""
+        return sorted(self._complete())
 
     def _newest(self, before: int | None = None) -> dict[str, int]:
         """Newest version of every part; one entry per part."""
-        complete = self.versions(before)
-        if not complete:
+        latest = next(self._complete(before), None)
+        if latest is None:
             return {}
-        commit = self.spark.read.text(f"{self.commits_path}/batch={complete[-1]}")
+        commit = self.spark.read.text(f"{self.commits_path}/batch={latest}")
         return json.loads(commit.first()["value"])
 
     def read(self, before: int | None = None, parts: list[str] | None = None) -> DataFrame:
@@ -105,18 +120,23 @@ class VersionedTable:
             F.lit(json.dumps(newest, sort_keys=True)).alias("value")
         )
         commit.write.mode("overwrite").text(f"{self.commits_path}/batch={version}")
+        if self.keep is not None:
+            self.expire(self.keep, parts)
 
-    def expire(self, keep: int = 2) -> int:
+    def expire(self, keep: int, parts: list[str] | None = None) -> int:
         """Delete row versions that the oldest of the last `keep` commits replaced.
 
         Readers of any of those commits are not disturbed.
         """
+        keep = max(keep, 2)
         complete = self.versions()
         if len(complete) < keep:
             return 0
         files = self._files()
         deleted = 0
         for part, version in self._newest(before=complete[-keep] + 1).items():
+            if parts is not None and part not in parts:
+                continue
             folder = f"{self.rows_path}/part={part}"
             for name in self._names(folder):
                 if name.startswith("version=") and int(name.split("=")[1]) < version:

@@ -86,7 +86,7 @@ def test_a_batch_that_died_before_its_commit_does_not_count(spark, stored, tmp_p
 
 def test_only_touched_parts_are_rewritten_and_old_versions_expire(spark, tmp_path):
     schema = spark.range(1).selectExpr("'k' as key", "id as n").schema
-    table = VersionedTable(spark, str(tmp_path / "t"), schema, hash_part("key", 8))
+    table = VersionedTable(spark, str(tmp_path / "t"), schema, hash_part("key", 8), keep=None)
     make = lambda keys, n: spark.createDataFrame([(k, n) for k in keys], schema)
     fold = lambda old, new, _: old.join(new, "key", "left_anti").unionByName(new)
     for version in range(4):
@@ -102,6 +102,18 @@ def test_only_touched_parts_are_rewritten_and_old_versions_expire(spark, tmp_pat
     assert rows_of(table.read(before=3)) != expected
 
 
+def test_replaced_versions_go_as_parts_are_rewritten(spark, tmp_path):
+    schema = spark.range(1).selectExpr("'k' as key", "id as n").schema
+    table = VersionedTable(spark, str(tmp_path / "t"), schema, hash_part("key", 1), keep=2)
+    fold = lambda old, new, _: old.join(new, "key", "left_anti").unionByName(new)
+    for version in range(5):
+        jobs.apply_batch(table, spark.createDataFrame([("k", version)], schema), fold, version)
+    assert table.versions() == [3, 4]
+    assert sorted(table._names(f"{table.rows_path}/part=0")) == ["version=3", "version=4"]
+    assert [r["n"] for r in table.read().collect()] == [4]
+    assert [r["n"] for r in table.read(before=4).collect()] == [3]
+
+
 def test_tiles_equal_exact_windows_at_whole_minutes(spark, stored, tmp_path):
     events = spark.read.schema(ENRICHED).parquet(stored)
     for as_of in ("2024-01-20 12:34:00", fx.AS_OF):
