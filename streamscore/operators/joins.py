@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
+HASHED_TYPES = {"string", "bigint", "int", "double", "date", "timestamp", "timestamp_ntz"}
 
 
 def fits_in_rows(df: DataFrame, max_rows: int) -> bool:
@@ -21,11 +22,13 @@ def join_dimension(
 
     The dimension is broadcast only if it was counted to be small. A larger one
     is repeated once per salt, so that facts of one hot key, and facts without a
-    key, spread over many tasks.
+    key, spread over many tasks. Equal rows share a salt; should they alone make
+    a partition large, adaptive execution splits it.
     """
     if fits_in_rows(dimension, max_rows):
         return facts.join(F.broadcast(dimension), key, "left")
-    columns = [c for c in facts.columns if c != key]
+    # The salt depends on the row only, so a task run again sends rows the same way.
+    columns = [c for c, t in facts.dtypes if c != key and t in HASHED_TYPES]
     salted_facts = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
     )

@@ -491,6 +491,7 @@ from scores order by scores.propensity_score desc, user_id limit 20""",
 from scores s where s.user_id = 'U0005'""",
         _SCORES,
     )
+    sql["lookup_features"] = _query("select * from features where user_id = 'U0005'", _STATES)
     _recent = """select event_id, user_id, event_type,
        case event_type when 'CL' then 'Click' when 'IM' then 'Impression'
             when 'PS' then 'Paid Search' when 'CN' then 'Conversion' end as event_label,

@@ -266,6 +266,11 @@ def lookup_user(spark, sf_dir):
     return _rounded(reports.lookup_user(_scores(spark, sf_dir), "U0005"), "propensity_score")
 
 
+@query
+def lookup_features(spark, sf_dir):
+    return reports.lookup_user(_features(spark, sf_dir), "U0005")
+
+
 @query
 def recent_events(spark, sf_dir):
     return reports.recent_events(fx.enriched(spark, sf_dir))
@@ -483,7 +488,7 @@ def stream_ingest(spark, sf_dir):
         jobs.stream_ingest(
             spark.readStream.text(source), topic, out, shared_dir(spark, "progress")
         )
-        landed.append(spark.read.parquet(out).filter(~F.col("_ok")).select("topic", "_error"))
+        landed.append(jobs.read_landed(spark, out)[1].select("topic", "_error"))
     return (
         landed[0]
         .unionByName(landed[1])

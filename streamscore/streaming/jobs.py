@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.storagelevel import StorageLevel
@@ -110,7 +110,7 @@ def backfill_then_stream(
 def stream_ingest(
     messages: DataFrame, topic: str, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Topic messages into a raw table; bad ones land beside it under `_ok=false`.
+    """Topic messages into a raw table; bad ones land beside it, see `read_landed`.
 
     `messages` are envelopes in column `value`, or rows that carry topic and
     offset already, as from `read_topic`. Every micro-batch owns one folder and
@@ -121,17 +121,26 @@ def stream_ingest(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         parsed = parse(unwrap_envelope(batch) if enveloped else batch)
+        bad = F.col("_error").isNotNull()
         (
-            parsed.withColumn("_ok", F.col("_error").isNull())
-            .withColumn("value", F.when(~F.col("_ok"), F.col("value")))
+            parsed.withColumn("_state", F.when(bad, "quarantine").otherwise("valid"))
+            .withColumn("value", F.when(bad, F.col("value")))
             .write.mode("overwrite")
-            .partitionBy("_ok")
+            .partitionBy("_state")
             .parquet(f"{out}/batch={batch_id}")
         )
 
     return run(messages.writeStream.foreachBatch(on_batch), checkpoint, every)
 
 
+def read_landed(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Raw rows and quarantine that `stream_ingest` wrote; each reads its own files."""
+    landed = spark.read.parquet(out)
+    valid = landed.filter(F.col("_state") == "valid").drop("_error", "value")
+    bad = landed.filter(F.col("_state") == "quarantine")
+    return valid.drop("_state", "batch"), bad.drop("_state", "batch")
+
+
 def stream_enrich(
     events: DataFrame, campaigns: DataFrame, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
@@ -144,12 +153,16 @@ def stream_dedup(events: DataFrame, delay: str) -> DataFrame:
     """First arrival of every event_id among copies at most `delay` apart.
 
     Bounded state; for the newest copy whenever it arrives see `stream_unify`.
+    Copies are first dropped per input partition, so that an event with very
+    many copies does not send them all to one task.
     """
     return (
         events.withColumn("_at", F.col("event_ts").cast("timestamp"))
         .withWatermark("_at", delay)
+        .withColumn("_split", F.spark_partition_id())
+        .dropDuplicatesWithinWatermark(["event_id", "_split"])
         .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("_at")
+        .drop("_at", "_split")
     )
 
 

@@ -217,3 +217,33 @@ def test_jobs_can_run_at_an_interval(spark, stored, tmp_path):
     finally:
         query.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_copies_in_many_files_leave_one_row(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for arrival in range(3):
+        rows = spark.range(400).select(
+            F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("event_id"),
+            *[F.lit("x").alias(c) for c in ("user_id", "event_type", "campaign_id")],
+            F.lit(f"2024-01-01 10:0{arrival}:00").cast("timestamp_ntz").alias("event_ts"),
+            F.lit(None).cast("double").alias("conversion_value"),
+        )
+        tables.append_events(rows.repartition(4), source)
+        first = jobs.stream_dedup(tables.read_changes(spark, source, UNIFIED), "1 hour")
+        writer = first.writeStream.outputMode("append").format("parquet").option("path", out)
+        jobs.run(writer, progress)
+    kept = spark.read.parquet(out)
+    assert kept.count() == kept.select("event_id").distinct().count() == 400 - 134 + 1
+
+
+def test_ingest_lands_every_message_once(spark, sf_dir, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    messages = fx.envelopes(spark, sf_dir, "conversion_events")
+    for arrival in range(2):
+        messages.write.mode("append").text(source)
+        for _ in range(2):
+            jobs.stream_ingest(spark.readStream.text(source), "conversion_events", out, progress)
+        valid, bad = jobs.read_landed(spark, out)
+        assert valid.count() + bad.count() == (arrival + 1) * messages.count()
+    assert bad.count() > 0 and bad.filter(F.col("value").isNull()).count() == 0
+    assert valid.filter(F.col("event_ts").isNull()).count() == 0
