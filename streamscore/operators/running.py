@@ -20,6 +20,10 @@ from streamscore.functions.scalar import ntz
 LARGE_KEY_ROWS = 1_000_000
 CHUNK = "10 minutes"
 
+# The list of cut keys is broadcast, so it has a fixed size: the largest keys. Any
+# key beyond it holds less than a ten-thousandth of all rows.
+MAX_LARGE_KEYS = 10_000
+
 
 def with_running(
     rows: DataFrame,
@@ -44,11 +48,12 @@ def with_running(
     totals = dict(totals or {})
     steps = {name: measure.cast("bigint") for name, measure in measures.items()}
 
-    # At most (all rows / large_key_rows) keys: a million for 10^12 rows.
     large = (
         rows.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > large_key_rows)
+        .orderBy(F.desc("_n"), key)
+        .limit(MAX_LARGE_KEYS)
         .select(key, F.lit(True).alias("_large"))
     )
     detail = (

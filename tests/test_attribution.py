@@ -164,3 +164,15 @@ def test_comparison_lists_channels_without_credit(events):
     assert set(rows) == {"display", "search", "social", "email"}
     assert rows["email"]["time_decay"] == 0.0
     assert rows["display"]["first_touch"] == pytest.approx(73.2)
+
+
+def test_keys_beyond_the_list_are_computed_the_same(spark, sf_dir, monkeypatch):
+    from streamscore.operators import running
+
+    ev = fx.enriched(spark, sf_dir)
+    plain = sorted(map(str, at.touchpoints(ev).drop("_chunk").collect()))
+    monkeypatch.setattr(running, "MAX_LARGE_KEYS", 2)
+    some = at.touchpoints(ev, large_key_rows=10, chunk="2 hours")
+    per_user = some.groupBy("user_id").agg(F.countDistinct("_chunk").alias("n")).collect()
+    assert {r["n"] > 1 for r in per_user} == {True, False}
+    assert sorted(map(str, some.drop("_chunk").collect())) == plain
