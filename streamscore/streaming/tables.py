@@ -18,9 +18,9 @@ from streamscore.operators.campaigns import (
     performance_from_user_hours,
 )
 from streamscore.operators.features import (
-    window_measures,
     feature_delta,
     merge_user_features,
+    window_measures,
 )
 from streamscore.schemas import ENRICHED, USER_FEATURES
 from streamscore.sources.versions import VersionedTable, hash_part

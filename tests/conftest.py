@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from streamscore.plans import fixtures as fx
-from streamscore.schemas import ENRICHED, UNIFIED
+from streamscore.schemas import UNIFIED
 from streamscore.session import local_session
 
 
@@ -48,8 +48,3 @@ def events(spark, unified_rows):
         return enrich(unified_rows(rows), fx.campaigns(spark))
 
     return make
-
-
-@pytest.fixture(scope="session")
-def enriched_schema():
-    return ENRICHED

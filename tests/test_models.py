@@ -111,9 +111,6 @@ def test_retraining_registers_promotes_and_scores(spark, features, tmp_path):
     assert means[True] > means[False] + 0.3
 
 
-LOG = "predicted_score double, predicted_label int, actual_converted int, scored_at timestamp_ntz"
-
-
 def log_of(spark, rows):
     return spark.createDataFrame(
         rows, "predicted_score double, predicted_label int, actual_converted int, ts string"
