@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,22 +10,27 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder named by `spark.checkpoint.dir`.
+    """A fresh folder name in the folder named by `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Sessions without that setting use their warehouse folder. Nothing is set or
+    created here, and both are shared by the executors of a cluster.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder that all executors can reach"
-            )
-        base = tempfile.mkdtemp(prefix="streamscore-")
-        context.setCheckpointDir(base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/streamscore"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage in a way that survives the loss of executors.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     """No rows, in a form the optimizer recognises and removes from joins."""
     columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
