@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
 from streamscore.llm.words import documents
 
@@ -18,6 +19,14 @@ def query(f):
     return f
 
 
+@query
+def op1_mixing(spark, sf_dir):
+    """How many words of each document does a mix with source weights 5, 2, 1 take?"""
+    return mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     """Which documents pass the base rules and are no outliers in their language and source?"""
