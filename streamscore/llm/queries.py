@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from streamscore.llm import bpe
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
 from streamscore.llm.words import documents
@@ -27,6 +30,20 @@ def op1_mixing(spark, sf_dir):
     )
 
 
+@query
+def op3_byte_bpe(spark, sf_dir):
+    """How is every text encoded by a public vocabulary, and is it decoded again?"""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, path).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     """Which documents pass the base rules and are no outliers in their language and source?"""
