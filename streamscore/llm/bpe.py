@@ -29,7 +29,7 @@ LONG = 256
 BLOCK_PIECES = 400_000
 NONE = np.int32(2**31 - 1)
 # White space as in Unicode's White_Space, which is what the pattern's \s stands for.
-SPACES = r"\x09-\x0D\x20\x85\xA0  -     　"
+SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def compiled(pattern: str):

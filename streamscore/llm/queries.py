@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from streamscore.llm import bpe
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
-from streamscore.llm.words import documents
+from streamscore.llm.warc import archive_round_trip
+from streamscore.llm.words import documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +49,28 @@ def op3_byte_bpe(spark, sf_dir):
 def op6_quality_rules(spark, sf_dir):
     """Which documents pass the base rules and are no outliers in their language and source?"""
     return quality_rules(documents(spark, sf_dir))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    """What do the archives written from all pages hold when they are read back?"""
+    return archive_round_trip(pages(spark, sf_dir))
+
+
+ORACLE["op9_warc"] = """
+    with hashed as (
+        select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+            sha1(coalesce(html, '')) as hex, sha256(coalesce(html, '')) as same from pages
+    ), bits as (
+        select *, max(page_id) over (partition by same) as first,
+            [('0x' || substr(hex, 2 * i + 1, 2))::int for i in range(20)] as bytes
+        from hashed
+    )
+    select page_id, payload_bytes,
+        list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((
+            (bytes[(5 * k) // 8 + 1] * 256 + coalesce(bytes[(5 * k) // 8 + 2], 0))
+            >> (11 - (5 * k) % 8)) & 31 as int), 1) for k in range(32)], 'string_agg', '') as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type,
+        case when page_id <> first then first end as refers_to
+    from bits
+"""
