@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamscore.llm.words import text_of
+from streamscore.llm.arrow import slices, spread
 
 LONG = 256
 BLOCK_PIECES = 400_000
@@ -191,12 +191,6 @@ class Vocabulary:
         return self.bytes[spread(self.starts[ids], self.lengths[ids])].tobytes()
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The ranges [start, start + count) one after the other."""
-    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    return shift + np.arange(len(shift))
-
-
 _LOADED: dict[int, Vocabulary] = {}
 
 
@@ -293,15 +287,3 @@ def decode(encoded: DataFrame, ranks_path: str, tokens: str = "tokens") -> DataF
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
     return encoded.mapInArrow(run, named.schema)
-
-
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `limit` bytes in `column`, at least a row each."""
-    offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)
-    offsets = offsets[batch.column(column).offset :][: batch.num_rows + 1]
-    start = 0
-    while start < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
-        yield batch.slice(start, end - start)
-        start = end

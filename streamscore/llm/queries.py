@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from streamscore.llm import bpe
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
+from streamscore.llm.suffix_dedup import suffix_dedup
 from streamscore.llm.warc import archive_round_trip
 from streamscore.llm.words import documents, pages
 
@@ -45,6 +46,18 @@ def op3_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    """Which bytes lie in strings of 400 bytes that start anywhere else, too?"""
+    return suffix_dedup(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("n_units").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     """Which documents pass the base rules and are no outliers in their language and source?"""
