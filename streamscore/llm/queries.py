@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from streamscore.llm import bpe
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
+from streamscore.llm.substring_dedup import substring_dedup
 from streamscore.llm.suffix_dedup import suffix_dedup
 from streamscore.llm.warc import archive_round_trip
 from streamscore.llm.words import documents, pages
@@ -32,6 +33,40 @@ def op1_mixing(spark, sf_dir):
     )
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    """Which words lie in windows of 50 that also start in an earlier document?"""
+    return substring_dedup(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("n_units").alias("n_words"),
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+ORACLE["op2_substring_dedup"] = r"""
+    with split as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+    ), windows as (
+        select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as same
+        from (select *, unnest(range(1, len(words) - 48)) as i from split where len(words) >= 50)
+    ), late as (
+        select doc_id, i from (select *, min(doc_id) over (partition by same) as first from windows)
+        where first < doc_id
+    ), gone as (
+        select distinct doc_id, unnest(range(i, i + 50)) as j from late
+    ), numbered as (
+        select doc_id, unnest(range(1, len(words) + 1)) as j, unnest(words) as word from split
+    ), kept as (
+        select n.doc_id, count(*) as n, string_agg(word, ' ' order by n.j) as text
+        from numbered n anti join gone g on n.doc_id = g.doc_id and n.j = g.j group by n.doc_id
+    )
+    select s.doc_id, len(words) as n_words, len(words) - coalesce(k.n, 0) as n_removed,
+        sha256(coalesce(k.text, '')) as kept_sha256
+    from split s left join kept k on s.doc_id = k.doc_id
+"""
+
+
 @query
 def op3_byte_bpe(spark, sf_dir):
     """How is every text encoded by a public vocabulary, and is it decoded again?"""
