@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamscore.llm import bpe
+from streamscore.llm.minhash import near_duplicates
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
 from streamscore.llm.substring_dedup import substring_dedup
@@ -99,6 +100,44 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
+@query
+def op7_minhash_dedup(spark, sf_dir):
+    """Which documents are near copies by shingles of two words, and which one stays?"""
+    return near_duplicates(documents(spark, sf_dir))
+
+
+ORACLE["op7_minhash_dedup"] = r"""
+    with recursive split as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as words
+        from documents
+    ), shingles as (
+        select distinct doc_id, words[i] || coalesce(' ' || words[i + 1], '') as shingle
+        from (select *, unnest(range(1, greatest(len(words), 2))) as i from split where len(words) > 0)
+    ), sizes as (
+        select doc_id, count(*) as n from shingles group by doc_id
+    ), common as (
+        select a.doc_id as a, b.doc_id as b, count(*) as n
+        from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+    ), links as (
+        select a, b from common c join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+        where 100 * c.n >= 80 * (x.n + y.n - c.n)
+    ), ways as (
+        select a, b from links union all select b, a from links
+    ), reached as (
+        select a as doc_id, b as other from ways
+        union select r.doc_id, w.b from reached r join ways w on r.other = w.a
+    ), firsts as (
+        select doc_id, min(other) as first from reached group by doc_id
+    )
+    select d.doc_id, coalesce(s.n, 0) as n_shingles,
+        least(d.doc_id, coalesce(f.first, d.doc_id)) as component_id,
+        d.doc_id <= coalesce(f.first, d.doc_id) as kept
+    from documents d left join sizes s on d.doc_id = s.doc_id left join firsts f on d.doc_id = f.doc_id
+"""
+
+
 @query
 def op9_warc(spark, sf_dir):
     """What do the archives written from all pages hold when they are read back?"""
