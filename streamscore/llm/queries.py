@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamscore.llm import bpe
+from streamscore.llm.fingerprint import fingerprints
 from streamscore.llm.minhash import near_duplicates
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
@@ -161,3 +162,9 @@ ORACLE["op9_warc"] = """
         case when page_id <> first then first end as refers_to
     from bits
 """
+
+
+@query
+def op10_fingerprints(spark, sf_dir):
+    """How like are fingerprints of texts, of edited texts and of the next documents?"""
+    return fingerprints(documents(spark, sf_dir))
