@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from streamscore.llm import bpe
 from streamscore.llm.fingerprint import fingerprints
+from streamscore.llm.html_text import extract
 from streamscore.llm.minhash import near_duplicates
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
@@ -95,6 +96,25 @@ def op4_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op5_html_text(spark, sf_dir):
+    """What is the main text of each page?"""
+    return extract(pages(spark, sf_dir))
+
+
+ORACLE["op5_html_text"] = r"""
+    with articles as (
+        select page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) as body
+        from pages
+    ), texts as (
+        select page_id, url, trim(regexp_replace(
+            replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) as text
+        from articles
+    )
+    select page_id, url, text, length(text) as n_chars from texts
+"""
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     """Which documents pass the base rules and are no outliers in their language and source?"""
