@@ -106,10 +106,14 @@ ORACLE["op5_html_text"] = r"""
     with articles as (
         select page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) as body
         from pages
-    ), texts as (
-        select page_id, url, trim(regexp_replace(
-            replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) as text
+    ), decoded as (
+        select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            regexp_replace(body, '<[^>]*>', ' ', 'g'),
+            '&quot;?', '"', 'g'), '&(#39|#x27|apos);?', '''', 'g'),
+            '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') as body
         from articles
+    ), texts as (
+        select page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) as text from decoded
     )
     select page_id, url, text, length(text) as n_chars from texts
 """
