@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamscore.llm.arrow import slices
@@ -155,6 +155,11 @@ def _pairs(rows: DataFrame, similarity: int) -> DataFrame:
     return rows.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _own() -> Column:
+    """The id, or for a null id a negative number made from the text."""
+    return F.coalesce("doc_id", -1 - F.xxhash64(text_of()).bitwiseAND((1 << 63) - 1))
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -166,10 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
     that share an id count as linked. An empty table gives an empty result. Only
     doc_id and text are read.
     """
-    mask = (1 << 63) - 1
-    body = text_of()
-    own = F.coalesce("doc_id", -1 - F.xxhash64(body).bitwiseAND(mask))
-    docs = docs.select("doc_id", own.alias("own"), body.alias("text"))
+    docs = docs.select("doc_id", _own().alias("own"), text_of().alias("text"))
     signed = stored(_signed(docs, words), "minhash-signed")
     full = signed.filter("n > 0")
     classes = full.groupBy("set_low", "set_high").agg(F.min("own").alias("node"))
@@ -225,3 +227,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that stay when one document of each group of near copies stays.
+
+    That is the one with the smallest id, and of rows that share it the one with the
+    smallest text. Rows without an id stay if no row of their group has one, one of
+    each text. Columns stay as they are.
+    """
+    gone = near_duplicates(docs, words, similarity).filter(~F.col("kept")).select("doc_id")
+    gone = stored(gone.distinct(), "minhash-gone")
+    d, g = docs.alias("d"), gone.alias("g")
+    left = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    row = left.select(_own().alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("own").orderBy("row.text")
+    one = row.withColumn("turn", F.row_number().over(order)).filter("turn = 1")
+    return one.select("row.*")

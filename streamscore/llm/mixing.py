@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamscore.llm.words import WORD, text_of
+from streamscore.llm.words import WORD, text_of, words_of
 from streamscore.sources.storage import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -133,7 +133,7 @@ def mix(
     seed: int = SEED,
     quality=symbol_weight,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, size, source_size, target, epochs, part, taken.
+    """One row per row of `docs`: its keys, size, source_size, target, epochs, part, taken.
 
     `size` counts words (0 for null texts), `epochs` whole passes, `part` the words
     of the fractional pass; taken = epochs * size + part. Documents without words
@@ -152,6 +152,7 @@ def mix(
         "source",
         F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"),
         F.floor((place + 64) * float(1 << SCALE_BITS)).cast("long").alias("key"),
+        F.xxhash64(body).alias("text_hash"),
     )
     rows = stored(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -168,6 +169,7 @@ def mix(
     drawn = draw(joined)
     return drawn.select(
         F.col("id").alias("doc_id"),
+        "text_hash",
         "source",
         "size",
         "source_size",
@@ -176,3 +178,48 @@ def mix(
         "part",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix: each as often as it is taken as a whole.
+
+    The one document of a source that the budget cuts comes once more with its first
+    words only, joined by spaces, and n_chars, if there is such a column, to match.
+    Rows that share doc_id, source and text come as often as all of them are taken,
+    with the other columns of one of them. Columns stay as they are.
+    """
+    taken = mix(docs, **options).withColumn("is_whole", F.col("part") == F.col("size"))
+    copies = F.col("epochs") + F.when((F.col("size") > 0) & F.col("is_whole"), 1).otherwise(0)
+    cut = F.when(~F.col("is_whole"), F.col("part")).otherwise(0)
+    keys = ["doc_id", "text_hash", "source"]
+    taken = taken.groupBy(*keys).agg(F.sum(copies).alias("copies"), F.max(cut).alias("cut"))
+    taken = stored(taken.filter("copies > 0 or cut > 0"), "mix-taken")
+
+    text_hash = F.xxhash64(text_of())
+    row = docs.select("doc_id", "source", text_hash.alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same_key = Window.partitionBy("doc_id", "text_hash", "source")
+    first = F.row_number().over(same_key.orderBy(*[f"row.{c}" for c in ("lang", "n_chars") if c in docs.columns] or [F.lit(0)]))
+    one = row.withColumn("turn", first).filter("turn = 1")
+    match = (
+        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
+        & F.col("d.source").eqNullSafe(F.col("t.source"))
+        & (F.col("d.text_hash") == F.col("t.text_hash"))
+    )
+    both = one.alias("d").join(taken.alias("t"), match).select("row", "copies", "cut")
+    times = F.concat(
+        F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")),
+        F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<bigint>")),
+    )
+    rows = both.select("row", F.explode(times).alias("upto"))
+    words = F.slice(words_of(F.col("row.text")), 1, F.greatest(F.col("upto"), F.lit(1)).cast("int"))
+    text = F.when(F.col("upto") > 0, F.array_join(words, " ")).otherwise(F.col("row.text"))
+    out = rows.select("row", "upto", text.alias("new_text"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == "text":
+            value = F.col("new_text")
+        elif c == "n_chars":
+            value = F.when(F.col("upto") > 0, F.char_length("new_text").cast("long")).otherwise(value)
+        columns.append(value.alias(c))
+    return out.select(*columns)

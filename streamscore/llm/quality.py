@@ -191,6 +191,13 @@ def mcd_verdicts(
     return judged.withColumn("kept", ~F.col("base_failed") & fine)
 
 
+def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
+    kept = ["doc_id", "lang", "source"]
+    text_hash = F.xxhash64(text_of()).alias("text_hash")
+    base = base_statistics(docs.select(*kept, "text", text_hash)).drop("text")
+    return mcd_verdicts(stored(base, "quality-base"), cutoff)
+
+
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, base counts, base_failed, distance, kept.
 
@@ -198,8 +205,16 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rule; repeated rows are judged alike; an empty table gives an empty result.
     Columns other than doc_id, text, lang and source are not looked at.
     """
-    kept = ["doc_id", "lang", "source"]
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    base = base_statistics(docs.select(*kept, "text")).select(*kept, *counts, "n_lines", "base_failed")
-    judged = mcd_verdicts(stored(base, "quality-base"), cutoff)
-    return judged.select("doc_id", *counts, "base_failed", "distance", "kept")
+    return _judged(docs, cutoff).select("doc_id", *counts, "base_failed", "distance", "kept")
+
+
+def passing_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of `docs` that the rules keep, as they are."""
+    kept = _judged(docs, cutoff).filter("kept").select("doc_id", "lang", "source", "text_hash")
+    kept = stored(kept.distinct(), "quality-kept")
+    d, k = docs.alias("d"), kept.alias("k")
+    same = F.xxhash64(text_of("d.text")) == F.col("k.text_hash")
+    for c in ("doc_id", "lang", "source"):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}"))
+    return d.join(k, same, "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from streamscore.llm import bpe
 from streamscore.llm.fingerprint import fingerprints
 from streamscore.llm.html_text import extract
+from streamscore.llm.licences import licence_scan
 from streamscore.llm.minhash import near_duplicates
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
@@ -163,6 +164,19 @@ ORACLE["op7_minhash_dedup"] = r"""
 """
 
 
+@query
+def op8_licence_scan(spark, sf_dir):
+    """Which licences do the paragraphs of each document name?"""
+    found = licence_scan(documents(spark, sf_dir))
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(families, ",").alias("families"),
+    )
+
+
 @query
 def op9_warc(spark, sf_dir):
     """What do the archives written from all pages hold when they are read back?"""

@@ -232,6 +232,29 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spans.remove(own, repeated_spans(own, window), _remove_bytes)
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` whose text has lost all repeated strings, and n_chars, if there is one, to match.
+
+    Spans shrink to whole characters, so that the text stays valid; other columns
+    stay as they are, and a document that loses all of its text stays with an empty one.
+    """
+    own = spans.identified(docs.drop(*spans.RESULTS))
+    rest = spans.remove(own, repeated_spans(own, window), _remove_characters)
+    text = F.col("kept").cast("string")
+    rest = rest.withColumns({"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {}))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _remove_characters(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
+    if not len(starts):
+        return _remove_bytes(text, starts, ends)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of characters
+    starts = begins[np.searchsorted(begins, starts)]
+    ends = begins[np.searchsorted(begins, ends, "right") - 1]
+    return _remove_bytes(text, starts, np.maximum(starts, ends))
+
+
 def _remove_bytes(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     raw = text.encode()
     if not len(starts):
