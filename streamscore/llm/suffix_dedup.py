@@ -185,11 +185,12 @@ def _window_rows(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """Rows doc_id, th, span of all repeated windows, joined into runs where that is cheap.
 
     `docs` is as `spans.identified` makes it.
     """
+    gram = max(1, GRAM * window // WINDOW)
     rows = spans.segments(docs, _symbols, window, gram)
     twice = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
     found = stored(rows.join(twice, "anchor", "left_semi"), "suffix-found")
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     return whole.unionByName(sorted_).unionByName(hashed)
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """`docs` with n_units (bytes), n_removed, n_spans and `kept`, the remaining bytes of its texts.
 
     A byte is removed if it lies in a string of `window` bytes that also starts
@@ -229,7 +230,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     table gives an empty result.
     """
     own = spans.identified(docs)
-    return spans.remove(own, repeated_spans(own, window), _remove_bytes)
+    return spans.remove(own, repeated_spans(own, window, group), _remove_bytes)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
