@@ -64,14 +64,13 @@ def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable, window: int) -> Dat
 
     Each text is shuffled once and meets the list of the segments wanted from it,
     which is no longer than the text has segments. cut(text, starts, ends) gives the
-    content of each span.
+    content of each span. A document that is repeated gives its segments each time.
     """
     fields = [c for c in wanted.columns if c != "doc_id"]
     lists = wanted.groupBy("doc_id", text_hash_of("pack").alias("th")).agg(
         F.collect_list(F.struct(*fields)).alias("wanted")
     )
-    texts = docs.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"])
-    joined = match(texts, lists, "inner")
+    joined = match(docs.select("doc_id", "th", "text"), lists, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
