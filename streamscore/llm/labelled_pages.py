@@ -35,6 +35,39 @@ LAYOUTS = [
     f"<body><div class='login'>{FORM}</div><section class='story'><h1>{{T}}</h1>[[<section><h3>{{S}}</h3><p>{{P}}</p></section>]]</section><section class='reviews'>[[<p>{{p}}</p>]]</section><div class='popup consent'><p>{{p}}</p><button>{{n}}</button></div><footer>{MENU}{{p}}</footer>",
 ]
 
+# Names that sites use for the same part of a page; one of them is drawn per page.
+SYNONYMS = {
+    "content": ["content", "main-content", "page-content", "body-content", "text"],
+    "entry-content": ["entry-content", "entry", "article-body", "article-content", "richtext"],
+    "post-body": ["post-body", "post", "post-content", "blog-post", "body-text"],
+    "story": ["story", "story-body", "article", "main-article", "longform"],
+    "main": ["main", "main-column", "primary", "content-main"],
+    "sidebar": ["sidebar", "side", "rail", "right-column", "secondary", "sidenav"],
+    "widget": ["widget", "box", "module", "panel", "teaser"],
+    "menu": ["menu", "navigation", "nav-links", "top-menu", "mainnav"],
+    "navbar": ["navbar", "nav", "navigation", "topnav"],
+    "breadcrumbs": ["breadcrumbs", "breadcrumb", "path"],
+    "header": ["header", "masthead", "top", "branding"],
+    "footer": ["footer", "bottom", "site-info", "colophon"],
+    "site-footer": ["site-footer", "page-footer", "foot", "footer-links"],
+    "copyright": ["copyright", "legal", "imprint", "disclaimer"],
+    "ad": ["ad", "ads", "advert", "advertisement", "adbox", "ad-slot", "sponsor"],
+    "advert": ["advert", "ad", "advertisement", "banner-ad", "promoted"],
+    "promo": ["promo", "promotion", "offer", "sponsored", "cta"],
+    "cookie-notice": ["cookie-notice", "cookie-banner", "gdpr", "consent", "notice", "privacy-notice"],
+    "alert": ["alert", "notice", "message", "announcement", "warning"],
+    "popup": ["popup", "modal", "overlay", "dialog", "lightbox"],
+    "comments": ["comments", "comment-section", "discussion", "responses", "replies", "user-comments"],
+    "comment": ["comment", "comment-body", "reply", "response", "user-comment"],
+    "comment-list": ["comment-list", "commentlist", "thread", "discussion"],
+    "reviews": ["reviews", "ratings", "feedback", "comments"],
+    "related-posts": ["related-posts", "related", "recommended", "read-more", "see-also"],
+    "newsletter": ["newsletter", "subscribe", "signup", "subscription", "mailing-list"],
+    "login": ["login", "signin", "search", "account"],
+    "share": ["share", "social", "sharing", "follow-us"],
+    "tags": ["tags", "categories", "meta", "topics"],
+}
+
 _SYLLABLES = "ka to mi re lu san ver den al ti po est ra un shi gor".split()
 
 
@@ -48,6 +81,8 @@ def _fill(layout: str, rng: random.Random) -> str:
     repeat = re.compile(r"\[\[((?:(?!\[\[|\]\]).)*)\]\]")
     while repeat.search(layout):
         layout = repeat.sub(lambda m: m.group(1) * rng.choice([1, 1, 2, 3, 5, 9]), layout)
+    drawn = {name: rng.choice(names) for name, names in SYNONYMS.items()}
+    layout = re.sub(r"(?<=[' ])[a-z-]+(?=[ ']?[^=]*'[ >])", lambda m: drawn.get(m.group(), m.group()), layout)
     end = lambda: rng.choice([".", ".", ".", "", "!", "?"])
     make = {
         "T": lambda: MARK + _words(rng, 2, 14) + rng.choice(["", "."]),
