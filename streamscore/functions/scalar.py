@@ -45,7 +45,8 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def money(value: Column | str) -> Column:
-    return col(value).cast("decimal(18,2)")
+    """A value that adds up exactly: up to 28 digits before the point and 10 after it."""
+    return col(value).cast("decimal(38,10)")
 
 
 def money_sum(value: Column | str) -> Column:
@@ -87,6 +88,5 @@ def recommendation_count(text: Column | str) -> Column:
 
 def version_number(name: Column | str) -> Column:
     """Number in a version name such as V12; NULL for any other name."""
-    return F.try_to_number(F.nullif(F.regexp_extract(col(name), r"^[Vv](\d+)$", 1), F.lit("")), F.lit("999999999")).cast(
-        "bigint"
-    )
+    digits = F.regexp_extract(col(name), r"^[Vv](\d+)$", 1)
+    return digits.try_cast("bigint")

@@ -24,12 +24,12 @@ def _converting(alias: str = "event_type") -> Column:
     return F.col(alias) == CONVERSION
 
 
-def touchpoints(events: DataFrame, **large_keys) -> DataFrame:
+def touchpoints(events: DataFrame) -> DataFrame:
     """Events of converted users with their position in the user's journey.
 
     Adds `touch_idx` (0 for the earliest), `touchpoint_count` and the user's
     total `conversion_value`. Ties in time are ordered by event_id.
-    `large_keys` are settings of `with_running`, whose chunks are in `_chunk`.
+    The minute of the event is in `_minute`.
     """
     rows = events.select(
         "user_id",
@@ -54,7 +54,6 @@ def touchpoints(events: DataFrame, **large_keys) -> DataFrame:
         },
         keep=F.col("_conversions") > 0,
         order=["event_ts", "event_id"],
-        **large_keys,
     )
     return (
         numbered.withColumn("touch_idx", F.col("touch_idx") - 1)
@@ -63,18 +62,14 @@ def touchpoints(events: DataFrame, **large_keys) -> DataFrame:
     )
 
 
-def journeys(
-    events: DataFrame, segment_rows: int = SEGMENT_ROWS, max_touchpoints: int | None = None
-) -> DataFrame:
+def journeys(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Journeys of converted users as arrays of touchpoints in time order.
 
     One row per user, or several for a long journey: `segment` numbers the
     slices, each of at most `segment_rows` touchpoints, so no array grows without
-    bound. `max_touchpoints` is an optional view of the first ones only.
+    bound.
     """
     touches = touchpoints(events)
-    if max_touchpoints is not None:
-        touches = touches.filter(F.col("touch_idx") < max_touchpoints)
     touch = F.struct(
         "touch_idx",
         "channel",
@@ -135,7 +130,7 @@ def journey_channels(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("touches"),
         count_if(_converting()).alias("conversions"),
         F.sum(F.when(_converting(), money("conversion_value")).otherwise(0))
-        .cast("decimal(28,2)")
+        .cast("decimal(38,10)")
         .alias("value"),
         F.min(position).alias("first_any"),
         F.max(position).alias("last_any"),
@@ -150,7 +145,7 @@ def add_journey_channels(*tables: DataFrame) -> DataFrame:
     return union.groupBy("user_id", "channel").agg(
         F.sum("touches").alias("touches"),
         F.sum("conversions").alias("conversions"),
-        F.sum("value").cast("decimal(28,2)").alias("value"),
+        F.sum("value").cast("decimal(38,10)").alias("value"),
         F.min("first_any").alias("first_any"),
         F.max("last_any").alias("last_any"),
         F.min("first_marketing").alias("first_marketing"),
@@ -226,19 +221,20 @@ def linear_from_touchpoints(touches: DataFrame) -> DataFrame:
 def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
     """Credit that falls by exp(-decay) with every touch before the last.
 
-    `touches` come from `touchpoints`. Weights are summed per chunk relative to the chunk's last marketing touch,
-    then brought to the user's last one, so long journeys neither travel whole
-    nor lose precision. Conversions take no credit but hold a position.
+    `touches` come from `touchpoints`. Weights are summed per minute relative to the
+    minute's last marketing touch, then brought to the user's last one, so long
+    journeys neither travel whole nor lose precision. Conversions take no credit but
+    hold a position.
     """
     if decay < 0:
         raise ValueError("decay must not be negative")
     marketing = touches.filter(~_converting())
-    in_chunk = Window.partitionBy("user_id", "_chunk")
+    in_minute = Window.partitionBy("user_id", "_minute")
     user = Window.partitionBy("user_id")
-    per_chunk = (
-        marketing.withColumn("_last", F.max("touch_idx").over(in_chunk))
+    per_minute = (
+        marketing.withColumn("_last", F.max("touch_idx").over(in_minute))
         .withColumn("_weight", F.exp((F.col("touch_idx") - F.col("_last")) * F.lit(decay)))
-        .groupBy("user_id", "_chunk", "channel")
+        .groupBy("user_id", "_minute", "channel")
         .agg(
             F.sum("_weight").alias("_weight"),
             F.max("_last").alias("_last"),
@@ -246,7 +242,7 @@ def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
         )
     )
     per_channel = (
-        per_chunk.withColumn("_user_last", F.max("_last").over(user))
+        per_minute.withColumn("_user_last", F.max("_last").over(user))
         .groupBy("user_id", "channel")
         .agg(
             F.sum(
@@ -260,6 +256,55 @@ def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
     return _sum_credit(per_channel.withColumn("_credit", F.col("_value") * share))
 
 
+def converted_users(events: DataFrame) -> DataFrame:
+    """Touches, marketing touches and value of every user who converted."""
+    return (
+        events.groupBy("user_id")
+        .agg(
+            F.count(F.lit(1)).alias("_touches"),
+            count_if(~_converting()).alias("_marketing"),
+            money_sum(F.when(_converting(), F.col("conversion_value")).otherwise(0)).alias("_value"),
+        )
+        .filter(F.col("_touches") > F.col("_marketing"))
+    )
+
+
+def _end_touch(events: DataFrame, last: bool) -> DataFrame:
+    """The first or last touch of every user; the rank filter starts in the map tasks."""
+    turn = F.desc if last else F.asc
+    order = Window.partitionBy("user_id").orderBy(turn("event_ts"), turn("event_id"))
+    ranked = events.select("user_id", "channel", F.row_number().over(order).alias("_rank"))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
+
+
+def simple_credits(
+    events: DataFrame,
+    models: list[str],
+    exclude_conversions: bool = False,
+    denominator: str = "all",
+) -> DataFrame:
+    """One row per model, user and channel with `_credit`, for the three simple models.
+
+    First and last touch look at all touches unless `exclude_conversions`; linear
+    gives credit to marketing touches but divides by all touches unless
+    `denominator` is "non_conversion".
+    """
+    users = converted_users(events)
+    marketing = events.filter(~_converting())
+    parts = []
+    for model in models:
+        if model == "linear":
+            count = F.col("_marketing" if denominator == "non_conversion" else "_touches")
+            touches = marketing.groupBy("user_id", "channel").agg(F.count(F.lit(1)).alias("_n"))
+            credit = F.col("_value") / count * F.col("_n")
+        else:
+            touches = _end_touch(marketing if exclude_conversions else events, model == "last_touch")
+            credit = F.col("_value")
+        rows = touches.join(users, "user_id")
+        parts.append(rows.select(F.lit(model).alias("model"), "channel", credit.alias("_credit")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def attribute(
     events: DataFrame,
     model: str = "linear",
@@ -275,14 +320,12 @@ def attribute(
         return time_decay_credit(touchpoints(events), decay)
     if model not in MODELS:
         model = "linear"
-    return credit_from_channels(
-        journey_channels(events), model, exclude_conversions, denominator
-    )
+    return _sum_credit(simple_credits(events, [model], exclude_conversions, denominator))
 
 
-def credit_pct(credit: DataFrame) -> DataFrame:
-    """Add each channel's percentage of all credit, to one decimal."""
-    total = F.sum("attributed_revenue").over(Window.partitionBy(F.lit(0)))
+def credit_pct(credit: DataFrame, *models: str) -> DataFrame:
+    """Add each channel's percentage of all credit (of its model), to one decimal."""
+    total = F.sum("attributed_revenue").over(Window.partitionBy(*(models or [F.lit(0)])))
     share = F.round(F.col("attributed_revenue") / total * 100, 1)
     return credit.withColumn("credit_pct", F.when(total > 0, share).otherwise(F.lit(0.0)))
 
@@ -290,13 +333,12 @@ def credit_pct(credit: DataFrame) -> DataFrame:
 def attribution_comparison(events: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """Percentages of all four models side by side; no credit shows as 0."""
     listed = COMPARED_CHANNELS if channels is None else channels
-    by_model = reduce(
-        DataFrame.unionByName,
-        [
-            credit_pct(attribute(events, model)).withColumn("model", F.lit(model))
-            for model in MODELS
-        ],
+    simple = simple_credits(events, [m for m in MODELS if m != "time_decay"])
+    summed = simple.groupBy("model", "channel").agg(F.sum("_credit").alias("attributed_revenue"))
+    decayed = time_decay_credit(touchpoints(events)).select(
+        F.lit("time_decay").alias("model"), "channel", "attributed_revenue"
     )
+    by_model = credit_pct(summed.unionByName(decayed), "model")
     wide = (
         by_model.filter(F.col("channel").isin(listed))
         .groupBy("channel")

@@ -154,50 +154,50 @@ def online_user_features(events: DataFrame, as_of) -> DataFrame:
     )
 
 
-def rolling_history(events: DataFrame, **large_keys) -> DataFrame:
+def rolling_history(events: DataFrame) -> DataFrame:
     """The windowed features as they stood right after every single event.
 
-    Each event adds one to its windows when it happens and takes it off again
-    just after the window's length, so every count is one running sum.
-    `large_keys` are settings of `with_running`.
+    Each event adds one to its windows when it happens and takes it off again just
+    after the window's length, so every count is one running sum over moments. Events
+    of a user that share a moment are counted together before anything is summed.
     """
 
     def lengths(code: str | None) -> Column:
         used = {h for c, h in WINDOWED.values() if c in (None, code)}
         return F.array(*[F.lit(h).cast("smallint") for h in [0, *sorted(used)]])
 
+    moments = events.groupBy("user_id", "event_type", "event_ts").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     by_type = lengths(None)
     for code in sorted({c for c, _ in WINDOWED.values() if c is not None}):
         by_type = F.when(F.col("event_type") == code, lengths(code)).otherwise(by_type)
-    left_after = F.explode(by_type)
-    gone = F.col("_left_after") > 0
-    changes = events.select(
-        "event_id", "user_id", "event_type", "event_ts", left_after.alias("_left_after")
-    ).select(
-        F.when(~gone, F.col("event_id")).alias("event_id"),
-        "user_id",
-        "event_type",
-        (F.col("event_ts") + F.make_dt_interval(hours="_left_after")).alias("at"),
-        "_left_after",
+    changes = moments.withColumn("_left_after", F.explode(by_type)).withColumns(
+        {
+            "at": F.col("event_ts") + F.make_dt_interval(hours="_left_after"),
+            # Whatever leaves a window just after a moment is not gone at the moment.
+            "_gone": F.col("_left_after") > 0,
+        }
     )
-    measures = {}
+    steps = {}
     for name, (code, h) in WINDOWED.items():
         mine = F.lit(True) if code is None else F.col("event_type") == code
-        measures[name] = (
-            F.when(mine & ~gone, 1).when(mine & (F.col("_left_after") == h), -1).otherwise(0)
+        step = F.when(mine & ~F.col("_gone"), F.col("_n")).when(
+            mine & (F.col("_left_after") == h), -F.col("_n")
         )
+        steps[name] = F.sum(step.otherwise(0)).alias(name)
+    summed = changes.groupBy("user_id", "at", "_gone").agg(*steps.values())
     running = with_running(
-        changes.withColumn("_gone", gone),
+        summed.withColumnsRenamed({name: f"_{name}" for name in WINDOWED}),
         "user_id",
         "at",
-        measures,
+        {name: F.col(f"_{name}") for name in WINDOWED},
         order=["at", "_gone"],
-        peers=True,
-        **large_keys,
-    )
-    return running.filter(~F.col("_gone")).select(
-        "event_id", "user_id", "event_type", F.col("at").alias("event_ts"), *WINDOWED
     )
+    known = running.filter(~F.col("_gone")).select("user_id", F.col("at").alias("event_ts"), *WINDOWED)
+    return events.select("event_id", "user_id", "event_type", "event_ts").join(
+        known, ["user_id", "event_ts"]
+    ).select("event_id", "user_id", "event_type", "event_ts", *WINDOWED)
 
 
 def feature_group(*views: DataFrame) -> DataFrame:

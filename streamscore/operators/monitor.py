@@ -37,27 +37,32 @@ def inference_rows(
 def log_inferences(
     scores: DataFrame, features: DataFrame, as_of, path: str, version: str = "V1"
 ) -> str:
-    """Append one snapshot to the log, by scoring date; says how many rows it had."""
+    """Store one snapshot in the log; says how many rows it had.
+
+    Every moment of scoring has a folder of its own, so a snapshot that is logged
+    again replaces itself.
+    """
     counted = Observation("inference_log")
     rows = inference_rows(scores, features, as_of, version).observe(
         counted, F.count(F.lit(1)).alias("rows")
     )
     (
-        rows.withColumn("scored_date", F.to_date("scored_at"))
-        .write.mode("append")
-        .partitionBy("scored_date")
+        rows.withColumn("snapshot", F.date_format("scored_at", "yyyyMMddHHmmssSSSSSS"))
+        .write.mode("overwrite")
+        .partitionBy("snapshot")
+        .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
     return f"Logged {counted.get['rows']} inference rows"
 
 
 def _bin_shares() -> Column:
-    """Share of every score bin, empty bins included."""
-    n = F.count("predicted_score")
+    """Share of every score bin, empty bins included; NULL without any score."""
+    n = F.nullif(F.count("predicted_score"), F.lit(0))
     slot = F.least(F.floor(F.col("predicted_score") * SCORE_BINS), F.lit(SCORE_BINS - 1))
     return F.array(
         *[
-            F.greatest(count_if(slot == b).cast("double") / n, F.lit(MIN_SHARE))
+            F.when(n.isNotNull(), F.greatest(count_if(slot == b).cast("double") / n, F.lit(MIN_SHARE)))
             for b in range(SCORE_BINS)
         ]
     )
@@ -66,8 +71,8 @@ def _bin_shares() -> Column:
 def monitor(log: DataFrame, baseline: DataFrame, window: str = "1 day") -> DataFrame:
     """Volume, quality and drift per time window.
 
-    Drift is the population stability index of the scores against `baseline`.
-    Ratios are NULL when undefined, F1 is zero.
+    Drift is the population stability index of the scores against `baseline`, NULL if
+    either side has no scores. Ratios are NULL when undefined, F1 is zero.
     """
     predicted, actual = F.col("predicted_label") == 1, F.col("actual_converted") == 1
     windows = log.groupBy(F.window("scored_at", window)["start"].cast("timestamp_ntz").alias("day")).agg(

@@ -1,10 +1,12 @@
-"""Per-key running totals that never need a very large key in one task.
+"""Per-key running totals that never need a whole key in one task.
 
-A window over one key puts all rows of that key into one task. Here the time of
-keys with very many rows is cut into chunks: totals per (key, chunk) are
-aggregated first, their running sum gives what each chunk starts from, and the
-row-level window then runs per (key, chunk) on top of that. Other keys are one
-chunk. The result is exact either way.
+A window over one key would put all rows of that key into one task. Here the time of
+every key is cut into seconds. Totals per (key, second) are aggregated first and
+summed up over the seconds of a minute and over the minutes of a key, which gives
+what each second starts from; the row-level window then runs per (key, second) on top
+of that. The plan is the same for all sizes, and the result is exact. What meets in
+one task is one row per minute of a key, one row per second of a minute, or the rows
+of one second of a key.
 """
 
 from __future__ import annotations
@@ -14,15 +16,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamscore.functions.scalar import ntz
 
-# Keys with more rows than this are cut, into chunks of this length.
-LARGE_KEY_ROWS = 1_000_000
-CHUNK = "10 minutes"
-
-# The list of cut keys is broadcast, so it has a fixed size: the largest keys. Any
-# key beyond it holds less than a ten-thousandth of all rows.
-MAX_LARGE_KEYS = 10_000
+def _before(totals: list[str], window) -> list[Column]:
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_from_{n}") for n in totals]
 
 
 def with_running(
@@ -33,69 +30,51 @@ def with_running(
     order: list[str],
     totals: Mapping[str, Column] | None = None,
     keep: Column | None = None,
-    peers: bool = False,
-    large_key_rows: int = LARGE_KEY_ROWS,
-    chunk: str = CHUNK,
 ) -> DataFrame:
     """Add running sums, and totals of the whole key, to every row.
 
-    `measures` maps a new column to what each row adds to it; the sums include
-    the row itself and, with `peers`, all rows equal to it in `order`.
-    `totals` maps a new column to a count or sum over the rows of one chunk,
-    which is added up over the key. `keep` is a condition on the totals that
-    drops whole keys. Key and time must not be NULL. Adds `_chunk` as well.
+    `measures` maps a new column to what each row adds to it; the sums include the row
+    itself. `totals` maps a new column to a count or sum over the rows of one second,
+    which is added up over the key. `keep` is a condition on the totals that drops
+    whole keys. Key and time must not be NULL. Adds `_minute` as well.
     """
     totals = dict(totals or {})
     steps = {name: measure.cast("bigint") for name, measure in measures.items()}
+    start_of = lambda unit: F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    detail = rows.withColumns({"_minute": start_of("minute"), "_second": start_of("second")})
 
-    large = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > large_key_rows)
-        .orderBy(F.desc("_n"), key)
-        .limit(MAX_LARGE_KEYS)
-        .select(key, F.lit(True).alias("_large"))
-    )
-    detail = (
-        rows.join(F.broadcast(large), key, "left")
-        .withColumn(
-            "_chunk",
-            F.when(F.col("_large"), F.window(ts, chunk)["start"].cast("timestamp_ntz")).otherwise(
-                ntz("1970-01-01 00:00:00")
-            ),
-        )
-        .drop("_large")
+    seconds = detail.groupBy(key, "_minute", "_second").agg(
+        *[F.sum(step).alias(n) for n, step in steps.items()],
+        *[t.alias(n) for n, t in totals.items()],
     )
-
+    names = [*steps, *totals]
+    minutes = seconds.groupBy(key, "_minute").agg(*[F.sum(n).alias(n) for n in names])
     whole_key = Window.partitionBy(key)
-    earlier = whole_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        detail.groupBy(key, "_chunk")
-        .agg(
-            *[F.sum(step).alias(n) for n, step in steps.items()],
-            *[t.alias(n) for n, t in totals.items()],
-        )
-        .select(
-            key,
-            "_chunk",
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_from_{n}") for n in measures],
-            *[F.sum(n).over(whole_key).alias(n) for n in totals],
-        )
+    minutes = minutes.select(
+        key,
+        "_minute",
+        *_before(list(steps), whole_key.orderBy("_minute")),
+        *[F.sum(n).over(whole_key).alias(n) for n in totals],
     )
     if keep is not None:
-        starts = starts.filter(keep)
+        minutes = minutes.filter(keep)
+    in_minute = Window.partitionBy(key, "_minute").orderBy("_second")
+    seconds = seconds.select(key, "_minute", "_second", *_before(list(steps), in_minute))
+    starts = seconds.alias("s").join(minutes.alias("m"), [key, "_minute"]).select(
+        key,
+        "_second",
+        *[(F.col(f"s._from_{n}") + F.col(f"m._from_{n}")).alias(f"_from_{n}") for n in steps],
+        *[f"m.{n}" for n in totals],
+    )
 
     # Without this, rows that arrive partitioned by the key would stay that way.
     # What a row adds is computed after the shuffle, to move fewer bytes.
-    spread = detail.repartition(key, "_chunk")
-    running = Window.partitionBy(key, "_chunk").orderBy(*order)
-    if peers:
-        running = running.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spread.join(starts, [key, "_chunk"]).select(
+    spread = detail.repartition(key, "_second")
+    running = Window.partitionBy(key, "_second").orderBy(*order)
+    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spread.join(starts, [key, "_second"]).select(
         *rows.columns,
-        "_chunk",
+        "_minute",
         *[(F.col(f"_from_{n}") + F.sum(s).over(running)).alias(n) for n, s in steps.items()],
         *totals,
     )

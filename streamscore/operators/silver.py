@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamscore.operators.joins import join_dimension
 from streamscore.schemas import EVENT_COLUMNS
 
 
+def newest_first() -> list[Column]:
+    """Order of the copies of an event; the first one counts."""
+    return [
+        F.desc("event_ts"),
+        F.desc_nulls_last("conversion_value"),
+        F.desc("event_type"),
+        F.desc("user_id"),
+        F.desc_nulls_last("campaign_id"),
+    ]
+
+
 def dedup_latest(events: DataFrame) -> DataFrame:
     """The newest row of every event_id.
 
     The rank filter lets Spark keep one row per key inside each map task, so an
     event with very many copies never travels whole to one reducer.
     """
-    newest_first = Window.partitionBy("event_id").orderBy(
-        F.desc("event_ts"),
-        F.desc_nulls_last("conversion_value"),
-        F.desc("event_type"),
-        F.desc("user_id"),
-        F.desc_nulls_last("campaign_id"),
-    )
+    order = Window.partitionBy("event_id").orderBy(*newest_first())
     return (
-        events.withColumn("_rank", F.row_number().over(newest_first))
+        events.withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )
@@ -50,10 +54,11 @@ def unify_events(
 def enrich(events: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Add campaign name and channel; events of unknown campaigns stay.
 
-    Works on a stream of events as well as on a table.
+    Works on a stream of events as well as on a table. How the dimension is joined is
+    left to its statistics; adaptive execution splits a campaign with very many events.
     """
     names = campaigns.select("campaign_id", "campaign_name", "channel")
-    return join_dimension(events, names, "campaign_id").select(
+    return events.join(names, "campaign_id", "left").select(
         "event_id",
         "user_id",
         "event_type",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from streamscore.operators.scoring import COEFFICIENTS, INTERCEPT
 from streamscore.plans.fixtures import AS_OF, BATCHES, CREATED_AT
 from streamscore.schemas import CAMPAIGNS
 
@@ -77,9 +76,10 @@ def _windowed(as_of: str) -> str:
     )
 
 
-_Z = f"({INTERCEPT}" + "".join(
-    f" + {w} * cast(coalesce({n}, 0) as double)" for n, w in COEFFICIENTS.items()
-) + ")"
+_Z = """(-2.1 + 0.8 * cast(coalesce(clicks_1h, 0) as double) + 0.4 * cast(coalesce(clicks_24h, 0) as double)
+  + 0.1 * cast(coalesce(clicks_7d, 0) as double) + 0.3 * cast(coalesce(impressions_1h, 0) as double)
+  + 0.15 * cast(coalesce(impressions_24h, 0) as double) + 0.2 * cast(coalesce(paid_search_1h, 0) as double)
+  + 1.2 * cast(coalesce(paid_search_24h, 0) as double) + 2.5 * cast(coalesce(conversions_7d, 0) as double))"""
 _SCORE = f"1.0 / (1.0 + exp(-cast({_Z} as double)))"
 _BUCKET = "case when propensity_score >= 0.7 then 'HIGH' when propensity_score >= 0.4 then 'MED' else 'LOW' end"
 
@@ -162,9 +162,9 @@ state_{b} as ({_merge(f"state_{b - 1}" if b else None, f"delta_{b}", _clock(b))}
 ) + f""",
 features as (select * from state_{len(BATCHES) - 1})"""
 
-_MONEY = "cast({} as decimal(18,2))"
+_MONEY = "cast({} as decimal(38,10))"
 _REVENUE = (
-    "cast(sum(case when event_type = 'CN' then cast(conversion_value as decimal(18,2)) else 0 end) as double)"
+    "cast(sum(case when event_type = 'CN' then cast(conversion_value as decimal(38,10)) else 0 end) as double)"
 )
 
 
@@ -184,7 +184,7 @@ _SUMMARY = _PERFORMANCE + """,
 summary as (
   select campaign_name, channel, cast(sum(impressions) as bigint) as impressions,
          cast(sum(clicks) as bigint) as clicks, cast(sum(conversions) as bigint) as conversions,
-         cast(sum(cast(revenue as decimal(18,2))) as double) as revenue,
+         cast(sum(cast(revenue as decimal(38,10))) as double) as revenue,
          cast(sum(clicks) as double) / nullif(cast(sum(impressions) as double), 0) as ctr,
          cast(sum(conversions) as double) / nullif(cast(sum(clicks) as double), 0) as conv_rate
   from performance group by campaign_name, channel)"""
@@ -393,7 +393,10 @@ group by topic, partition"""
 union all
 select event_id, event_ts, null, null, {_ORDER} from fx_conversion"""
     )
-    sql["load_campaigns"] = _query("select * from dim_campaigns")
+    sql["load_campaigns"] = _query(
+        """select d.*, count(e.event_id) as events
+from dim_campaigns d left join unified e on d.campaign_id = e.campaign_id group by all"""
+    )
 
     # Silver
     sql["unify_conversion_scope"] = _query(
@@ -417,7 +420,7 @@ from (select *, row_number() over (partition by event_id order by event_ts desc,
         f"""select user_id,
        cast(count(*) filter (where event_ts >= {AS_OF_SQL} - interval 1 hour) as bigint) as events_1h,
        cast(count(*) filter (where event_ts >= {AS_OF_SQL} - interval 24 hour) as bigint) as events_24h,
-       cast(sum(cast(conversion_value as decimal(18,2)))
+       cast(sum(cast(conversion_value as decimal(38,10)))
             filter (where event_ts >= {AS_OF_SQL} - interval 24 hour) as double) as conversion_value_24h,
        max(event_ts) as latest_event_48h
 from ev where event_ts >= {AS_OF_SQL} - interval 48 hour and event_ts <= {AS_OF_SQL} group by user_id"""
@@ -475,11 +478,11 @@ from (select e.event_id, e.user_id, {_SCORE} as propensity_score
 where rn = 1"""
     )
     sql["serving_scores"] = _query(
-        "select user_id, round(propensity_score, 6) as propensity_score, score_bucket, last_updated from scores where score_bucket = 'MED'",
+        "select user_id, round(propensity_score, 6) as propensity_score, score_bucket, last_updated from scores",
         _SCORES,
     )
     sql["serving_campaigns"] = _query(
-        "select * from performance where channel = 'search'", _PERFORMANCE
+        "select * from performance", _PERFORMANCE
     )
     sql["top_users"] = _query(
         """select user_id, round(propensity_score, 6) as propensity_score, score_bucket, last_updated
@@ -542,7 +545,7 @@ from (select f.user_id, p.propensity_score as score, p.score_bucket, f.clicks_24
        total_revenue / nullif(total_conversions, 0) as avg_order_value
 from (select cast(sum(impressions) as bigint) as total_impressions, cast(sum(clicks) as bigint) as total_clicks,
              cast(sum(conversions) as bigint) as total_conversions,
-             cast(sum(cast(revenue as decimal(18,2))) as double) as total_revenue,
+             cast(sum(cast(revenue as decimal(38,10))) as double) as total_revenue,
              count(distinct unique_users) as total_reach from performance)""",
         _PERFORMANCE,
     )
@@ -585,7 +588,7 @@ from reach group by campaign_name, channel""",
     # Attribution
     sql["journeys"] = _query(
         """select user_id, touch_idx, touchpoint_count, conversion_value, channel,
-       campaign_name as campaign, event_type from touches""",
+       campaign_name as campaign, event_type, cast(event_ts as varchar) as ts from touches""",
         _JOURNEYS,
     )
     sql["journey_totals"] = _query("select * from totals", _JOURNEYS)
@@ -619,12 +622,33 @@ from confusion c join drift d on c.day = d.day""",
     )
 
     # Streaming jobs give what the batch query gives
-    sql["stream_ingest"] = sql["ingest_quarantine"]
+    sql["stream_ingest"] = _query(
+        f"""select 'marketing_events' as topic, event_id, user_id, event_type, campaign_id, event_ts,
+       cast(null as double) as conversion_value, cast(null as varchar) as error
+from fx_marketing where n % 50 <> 0 and n % 75 <> 1 and n % 90 <> 2
+union all
+select 'conversion_events', event_id, user_id, event_type, campaign_id, event_ts, conversion_value, null
+from fx_conversion where n % 50 <> 0 and n % 75 <> 1 and n % 90 <> 2
+union all
+select topic, null, null, null, null, null, null, error
+from ({_health('fx_marketing', 'marketing_events')} union all
+      {_health('fx_conversion', 'conversion_events')}) where error is not null"""
+    )
     sql["stream_enrich"] = sql["enrich"]
     sql["stream_unify"] = sql["unify_all"]
     sql["stream_dedup"] = _query(
-        "select event_id, user_id, event_type, campaign_id from unified"
+        """select event_id, user_id, event_type, campaign_id, event_ts, conversion_value, arrival
+from (select *, row_number() over (partition by event_id
+        order by arrival, event_ts desc, conversion_value desc nulls last, event_type desc) as rn
+      from (select *, cast((n + minute(event_ts) + hour(event_ts)) % 3 as bigint) as arrival
+            from (select event_id, user_id, event_type, campaign_id, event_ts,
+                    cast(null as double) as conversion_value, n from fx_marketing
+                  union all
+                  select event_id, user_id, event_type, campaign_id, event_ts, conversion_value, n
+                  from fx_conversion)))
+where rn = 1"""
     )
+    sql["stream_pipeline"] = sql["serving_scores"]
     sql["stream_user_features"] = sql["merge_user_features"]
     sql["stream_tiles"] = sql["rolling_features"]
     sql["stream_tiles_watermark"] = sql["rolling_features"]

@@ -19,7 +19,6 @@ from streamscore.session import prepare
 from streamscore.sources import ingest, tables
 from streamscore.sources.registry import ModelRegistry
 from streamscore.sources.storage import shared_dir
-from streamscore.sources.versions import VersionedTable, hash_part
 from streamscore.streaming import jobs
 from streamscore.streaming import tables as streams
 
@@ -244,8 +243,7 @@ def latest_per_key(spark, sf_dir):
 def serving_scores(spark, sf_dir):
     path = shared_dir(spark, "serving_scores")
     tables.write_serving(_scores(spark, sf_dir), ["score_bucket", "user_id"], path)
-    stored = spark.read.parquet(path).filter(F.col("score_bucket") == "MED")
-    return _rounded(stored, "propensity_score")
+    return _rounded(spark.read.parquet(path), "propensity_score")
 
 
 @query
@@ -253,7 +251,7 @@ def serving_campaigns(spark, sf_dir):
     path = shared_dir(spark, "serving_campaigns")
     performance = campaigns.campaign_performance(fx.enriched(spark, sf_dir))
     tables.write_serving(performance, ["channel", "campaign_id"], path)
-    return spark.read.parquet(path).filter(F.col("channel") == "search")
+    return spark.read.parquet(path)
 
 
 @query
@@ -322,7 +320,9 @@ def segment_count(spark, sf_dir):
 
 @query
 def load_campaigns(spark, sf_dir):
-    return fx.campaigns(spark)
+    """The dimension with the events of each campaign."""
+    events = fx.unified(spark, sf_dir).groupBy("campaign_id").agg(F.count("*").alias("events"))
+    return fx.campaigns(spark).join(events, "campaign_id", "left").fillna(0, subset=["events"])
 
 
 @query
@@ -386,7 +386,7 @@ def reach_report(spark, sf_dir):
 @query
 def journeys(spark, sf_dir):
     arrays = at.journeys(fx.enriched(spark, sf_dir))
-    return at.explode_touchpoints(arrays).drop("ts")
+    return at.explode_touchpoints(arrays)
 
 
 @query
@@ -423,13 +423,14 @@ def attr_comparison(spark, sf_dir):
 
 
 def _inference_log(spark, sf_dir) -> DataFrame:
-    events = fx.enriched(spark, sf_dir)
-    snapshots = []
+    """The stored log of three snapshots, each of which was logged twice."""
+    events, path = fx.enriched(spark, sf_dir), shared_dir(spark, "inference_log")
     for state, (_, _, clock) in zip(_states(events), fx.BATCHES):
         rolling = features.rolling_user_features(events, clock)
         scores = scoring.propensity_scores(rolling, clock)
-        snapshots.append(monitor.inference_rows(scores, state, clock))
-    return reduce(DataFrame.unionByName, snapshots)
+        for _ in range(2):
+            monitor.log_inferences(scores, state, clock, path)
+    return spark.read.parquet(path).drop("snapshot")
 
 
 @query
@@ -448,7 +449,7 @@ def monitor_daily(spark, sf_dir):
 def leaderboard(spark, sf_dir):
     training = ml.stratified_split(features.training_frame(_features(spark, sf_dir)))
     n_train = training.filter(F.col("split") == "train").count()
-    _, board = ml.train_candidates(training, ml.candidates(n_train, rounds=10, trees=20))
+    _, board = ml.train_candidates(training, ml.candidates(n_train))
     return board
 
 
@@ -456,7 +457,7 @@ def leaderboard(spark, sf_dir):
 def user_propensity(spark, sf_dir):
     state = _features(spark, sf_dir)
     registry = ModelRegistry(spark, shared_dir(spark, "registry"))
-    ml.retrain(state, registry, run_tag="weekly", rounds=5, trees=10)
+    ml.retrain(state, registry, run_tag="weekly")
     return ml.user_propensity(state, registry.load_default())
 
 
@@ -470,15 +471,6 @@ def _stored_events(spark, sf_dir) -> str:
     return path
 
 
-def _raw_events(spark, sf_dir) -> str:
-    path = shared_dir(spark, "raw")
-    marketing = fx.raw_marketing(spark, sf_dir).drop("properties", "n")
-    conversions = fx.raw_conversions(spark, sf_dir).drop("properties", "n")
-    both = marketing.unionByName(conversions, allowMissingColumns=True)
-    tables.append_events(both.select([f.name for f in UNIFIED.fields]), path)
-    return path
-
-
 @query
 def stream_ingest(spark, sf_dir):
     landed = []
@@ -488,13 +480,14 @@ def stream_ingest(spark, sf_dir):
         jobs.stream_ingest(
             spark.readStream.text(source), topic, out, shared_dir(spark, "progress")
         )
-        landed.append(jobs.read_landed(spark, out)[1].select("topic", "_error"))
-    return (
-        landed[0]
-        .unionByName(landed[1])
-        .groupBy("topic", F.col("_error").alias("error"))
-        .agg(F.count(F.lit(1)).alias("bad_rows"))
-    )
+        valid, bad = jobs.read_landed(spark, out)
+        columns = [F.lit(topic).alias("topic"), *[f.name for f in UNIFIED.fields]]
+        if "conversion_value" not in valid.columns:
+            valid = valid.withColumn("conversion_value", F.lit(None).cast("double"))
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in UNIFIED.fields]
+        landed.append(valid.select(*columns, F.lit(None).cast("string").alias("error")))
+        landed.append(bad.select("topic", *missing, F.col("_error").alias("error")))
+    return reduce(DataFrame.unionByName, landed)
 
 
 @query
@@ -510,46 +503,73 @@ def stream_enrich(spark, sf_dir):
     return spark.read.schema(ENRICHED).parquet(out)
 
 
+def _arriving(spark, sf_dir):
+    """Raw events in three batches; the copies of an event come in different ones."""
+    marketing = fx.raw_marketing(spark, sf_dir).drop("properties")
+    conversions = fx.raw_conversions(spark, sf_dir).drop("properties")
+    both = marketing.unionByName(conversions, allowMissingColumns=True)
+    arrival = F.pmod(F.col("n") + F.minute("event_ts") + F.hour("event_ts"), F.lit(len(fx.BATCHES)))
+    columns = [f.name for f in UNIFIED.fields]
+    for batch in range(len(fx.BATCHES)):
+        yield both.filter(arrival == batch).select(columns)
+
+
 @query
 def stream_dedup(spark, sf_dir):
-    out = shared_dir(spark, "stream_dedup")
-    source = tables.read_changes(spark, _raw_events(spark, sf_dir), UNIFIED)
-    first = jobs.stream_dedup(source, "2 hours")
-    writer = first.writeStream.outputMode("append").format("parquet").option("path", out)
-    jobs.run(writer, shared_dir(spark, "progress"))
-    return spark.read.schema(UNIFIED).parquet(out).select(
-        "event_id", "user_id", "event_type", "campaign_id"
-    )
+    """First arrivals, of which many are far behind the events that came before."""
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    table = jobs.arrivals_table(spark, shared_dir(spark, "stream_dedup"))
+    for batch in _arriving(spark, sf_dir):
+        tables.append_events(batch, source)
+        jobs.stream_dedup(tables.read_changes(spark, source, UNIFIED), table, progress)
+    return table.read()
 
 
 @query
 def stream_unify(spark, sf_dir):
-    table = VersionedTable(
-        spark, shared_dir(spark, "stream_unify"), UNIFIED, hash_part("event_id", 16)
-    )
-    source = tables.read_changes(spark, _raw_events(spark, sf_dir), UNIFIED)
-    jobs.stream_unify(source, table, shared_dir(spark, "progress"))
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    table = jobs.unified_table(spark, shared_dir(spark, "stream_unify"))
+    for batch in _arriving(spark, sf_dir):
+        tables.append_events(batch, source)
+        jobs.stream_unify(tables.read_changes(spark, source, UNIFIED), table, progress)
     return table.read()
 
 
+@query
+def stream_pipeline(spark, sf_dir):
+    """Raw copies out of order in, served scores out."""
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    serving = shared_dir(spark, "serving")
+    table = jobs.unified_table(spark, shared_dir(spark, "unified"))
+    for batch in _arriving(spark, sf_dir):
+        tables.append_events(batch, source)
+        jobs.stream_pipeline(
+            tables.read_changes(spark, source, UNIFIED),
+            table,
+            fx.campaigns(spark),
+            serving,
+            clock=lambda i: fx.AS_OF,
+            checkpoint=progress,
+        )
+    return _rounded(tables.read_published(spark, serving), "propensity_score")
+
+
 @query
 def stream_user_features(spark, sf_dir):
     events = fx.enriched(spark, sf_dir)
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
-    table = streams.user_features_table(spark, shared_dir(spark, "user_features"), parts=8)
+    clock = lambda i: fx.BATCHES[i][2]
+    table = streams.user_features_table(spark, shared_dir(spark, "user_features"), clock)
     for batch in range(len(fx.BATCHES)):
         tables.append_events(fx.batch_of(events, batch), source)
         streams.stream_user_features(
-            tables.read_changes(spark, source, ENRICHED),
-            table,
-            clock=lambda i: fx.BATCHES[i][2],
-            checkpoint=progress,
+            tables.read_changes(spark, source, ENRICHED), table, clock, progress
         )
     return table.read()
 
 
 def _tiles(spark, sf_dir, late: str) -> DataFrame:
-    table = streams.tiles_table(spark, shared_dir(spark, "tiles"), part="day")
+    table = streams.tiles_table(spark, shared_dir(spark, "tiles"), late=late)
     source = tables.read_changes(spark, _stored_events(spark, sf_dir), ENRICHED)
     streams.stream_feature_tiles(source, table, shared_dir(spark, "progress"), late=late)
     return table.read(parts=streams.tile_parts(datetime.fromisoformat(fx.AS_OF), 168, "day"))
@@ -567,48 +587,49 @@ def stream_tiles_watermark(spark, sf_dir):
 
 @query
 def stream_online_features(spark, sf_dir):
-    """History up to a cutover as a batch, later events as a stream."""
-    table = streams.tiles_table(spark, shared_dir(spark, "tiles"), part="day")
-    stored = _stored_events(spark, sf_dir)
-    jobs.backfill_then_stream(
-        spark.read.schema(ENRICHED).parquet(stored),
-        tables.read_changes(spark, stored, ENRICHED),
-        F.lit(fx.BATCHES[1][2]).cast("timestamp_ntz"),
-        "event_ts",
-        table,
-        prepare=lambda batch, _: streams.feature_tiles(batch),
-        fold=lambda old, new, _: streams.add_tiles(old, new),
-        checkpoint=shared_dir(spark, "progress"),
-    )
+    """A backfill, then a stream that brings events from before the backfill, too."""
+    table = streams.tiles_table(spark, shared_dir(spark, "tiles"))
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    events = fx.enriched(spark, sf_dir)
+    number = F.regexp_extract("event_id", "([0-9]+)", 1).cast("bigint")
+    for batch in range(4):
+        tables.append_events(events.filter(number % 4 == batch), source)
+        jobs.backfill_then_stream(
+            spark,
+            source,
+            ENRICHED,
+            table,
+            prepare=lambda rows, _: streams.feature_tiles(rows),
+            checkpoint=progress,
+        )
     return streams.online_from_tiles(table.read(), fx.AS_OF)
 
 
-def _campaign_tables(spark, sf_dir) -> tuple[VersionedTable, VersionedTable]:
-    user_hours = streams.user_hours_table(spark, shared_dir(spark, "user_hours"), "day")
-    performance = streams.performance_table(spark, shared_dir(spark, "performance"), "day")
+def _user_hours(spark, sf_dir) -> DataFrame:
+    user_hours = streams.user_hours_table(spark, shared_dir(spark, "user_hours"))
     events = fx.enriched(spark, sf_dir)
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in range(len(fx.BATCHES)):
         tables.append_events(fx.batch_of(events, batch), source)
         streams.stream_campaign_performance(
-            tables.read_changes(spark, source, ENRICHED), user_hours, performance, progress
+            tables.read_changes(spark, source, ENRICHED), user_hours, progress
         )
-    return user_hours, performance
+    return user_hours.read()
 
 
 @query
 def stream_campaign_performance(spark, sf_dir):
-    return _campaign_tables(spark, sf_dir)[1].read()
+    return campaigns.performance_from_user_hours(_user_hours(spark, sf_dir))
 
 
 @query
 def stream_reach_frequency(spark, sf_dir):
-    return campaigns.reach_from_user_hours(_campaign_tables(spark, sf_dir)[0].read())
+    return campaigns.reach_from_user_hours(_user_hours(spark, sf_dir))
 
 
 @query
 def stream_attribution(spark, sf_dir):
-    table = streams.journey_channels_table(spark, shared_dir(spark, "journeys"), parts=8)
+    table = streams.journey_channels_table(spark, shared_dir(spark, "journeys"))
     events = fx.enriched(spark, sf_dir)
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in range(len(fx.BATCHES)):
@@ -621,19 +642,10 @@ def stream_attribution(spark, sf_dir):
 @query
 def stream_latest_events(spark, sf_dir):
     columns = ["user_id", "event_ts", "event_id", "event_type"]
-    stored = _stored_events(spark, sf_dir)
-    table = VersionedTable(
-        spark,
-        shared_dir(spark, "latest"),
-        T.StructType([ENRICHED[c] for c in columns]),
-        hash_part("user_id", 16),
-    )
-    source = tables.read_changes(spark, stored, ENRICHED)
+    schema = T.StructType([ENRICHED[c] for c in columns])
+    table = jobs.latest_table(spark, shared_dir(spark, "latest"), schema, "user_id", "event_ts")
+    source = tables.read_changes(spark, _stored_events(spark, sf_dir), ENRICHED)
     jobs.stream_latest(
-        source.select(columns),
-        "user_id",
-        "event_ts",
-        table,
-        shared_dir(spark, "progress"),
+        source.select(columns), "user_id", "event_ts", table, shared_dir(spark, "progress")
     )
     return table.read()

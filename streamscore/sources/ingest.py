@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamscore.functions.scalar import ntz
@@ -107,12 +107,25 @@ def extract_properties(rows: DataFrame) -> DataFrame:
 def ingest_health(parsed: DataFrame) -> DataFrame:
     """Last offset, good and bad rows, and the newest error, per partition.
 
-    Partial aggregates keep a hot partition from moving whole.
+    Counts come from a hash aggregate over all rows; only bad ones are ranked for the
+    newest error.
     """
     bad = F.col("_error").isNotNull()
-    return parsed.groupBy("topic", "partition").agg(
+    keys = ["topic", "partition"]
+    counts = parsed.groupBy(*keys).agg(
         F.max("offset").alias("committed_offset"),
         F.sum(F.when(bad, 0).otherwise(1)).alias("rows_inserted"),
         F.sum(F.when(bad, 1).otherwise(0)).alias("rows_error"),
-        F.max(F.when(bad, F.struct("offset", "_error")))["_error"].alias("last_error"),
     )
+    newest = Window.partitionBy(*keys).orderBy(F.desc("offset"), F.desc("_error"))
+    errors = (
+        parsed.filter(bad)
+        .withColumn("_rank", F.row_number().over(newest))
+        .filter(F.col("_rank") == 1)
+        .select(*keys, F.col("_error").alias("last_error"))
+    )
+    c, e = counts.alias("c"), errors.alias("e")
+    same = F.col("c.topic").eqNullSafe(F.col("e.topic")) & F.col("c.partition").eqNullSafe(
+        F.col("e.partition")
+    )
+    return c.join(e, same, "left").select("c.*", "e.last_error")

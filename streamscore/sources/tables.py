@@ -5,7 +5,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,12 +116,33 @@ def write_serving(
     )
 
 
+def publish(rows: DataFrame, keys: Sequence[str], path: str, version: int) -> None:
+    """A clustered copy that replaces the served one as soon as it is complete.
+
+    Every version has a folder of its own, so readers of the one before are not
+    disturbed; a version that is published again is replaced.
+    """
+    write_serving(rows, keys, f"{path.rstrip('/')}/version={version}")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete copy that `publish` wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [
+        int(status.getPath().getName().removeprefix("version="))
+        for status in files.listStatus(folder)
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+    ]
+    return spark.read.parquet(f"{path.rstrip('/')}/version={max(versions)}")
+
+
 def latest_per_key(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """The newest row of every key; the other columns break ties."""
+    """The newest row of every key; the other columns break ties.
+
+    The rank filter keeps one row per key inside each map task already.
+    """
     rest = [c for c in rows.columns if c not in (key, ts)]
-    newest = F.max(F.struct(ts, *rest)).alias("_newest")
-    return (
-        rows.groupBy(key)
-        .agg(newest)
-        .select(key, *[F.col("_newest")[c].alias(c) for c in rows.columns if c != key])
-    )
+    newest_first = Window.partitionBy(key).orderBy(*[F.desc(c) for c in (ts, *rest)])
+    ranked = rows.withColumn("_rank", F.row_number().over(newest_first))
+    return ranked.filter(F.col("_rank") == 1).select(key, *[c for c in rows.columns if c != key])

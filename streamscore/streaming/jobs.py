@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.storagelevel import StorageLevel
 
-from streamscore.operators.silver import dedup_latest, enrich
+from streamscore.operators.features import rolling_user_features
+from streamscore.operators.scoring import propensity_scores
+from streamscore.operators.silver import dedup_latest, enrich, newest_first
+from streamscore.schemas import UNIFIED
+from streamscore.sources.increments import IncrementTable
 from streamscore.sources.ingest import parse_conversion, parse_marketing, unwrap_envelope
-from streamscore.sources.tables import latest_per_key
-from streamscore.sources.versions import VersionedTable
+from streamscore.sources.tables import latest_per_key, publish
 
-BOOTSTRAP_VERSION = -1
+BACKFILL = -1
+
+# Batches that readers of a stream table combine at most, unless a job says otherwise.
+COMPACT_EVERY = 32
 
 
 def run(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -44,67 +51,58 @@ def rates(query: StreamingQuery) -> dict[str, float]:
 
 def maintain(
     source: DataFrame,
-    table: VersionedTable,
+    table: IncrementTable,
     prepare: Callable[[DataFrame, int], DataFrame],
-    fold: Callable[[DataFrame, DataFrame, int], DataFrame],
     checkpoint: str,
     every: str | None = None,
-    derived: Sequence[tuple[VersionedTable, Callable[[DataFrame], DataFrame]]] = (),
     mode: str = "append",
+    compact_every: int | None = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Fold every micro-batch into a keyed table.
+    """Append what `prepare` makes of every micro-batch to a table.
 
-    `prepare` aggregates the batch by key; `fold` combines the stored rows of
-    the touched parts with it. Tables in `derived` are recomputed for those
-    parts. A batch that is run again ends in the same content.
+    A batch writes no more than its own aggregated rows; one that is run again
+    replaces them. The table is compacted after every `compact_every` batches.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(table, prepare(batch, batch_id), fold, batch_id, derived)
+        table.write(prepare(batch, batch_id), batch_id)
+        if compact_every and len(table.batches()) >= compact_every:
+            table.compact()
 
     return run(source.writeStream.outputMode(mode).foreachBatch(on_batch), checkpoint, every)
 
 
-def apply_batch(
-    table: VersionedTable,
-    delta: DataFrame,
-    fold: Callable[[DataFrame, DataFrame, int], DataFrame],
-    version: int,
-    derived: Sequence[tuple[VersionedTable, Callable[[DataFrame], DataFrame]]] = (),
-) -> None:
-    delta = delta.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parts = table.parts_of(delta)
-        if not parts:
-            return
-        table.write(fold(table.read(version, parts), delta, version), version, parts)
-        for target, derive in derived:
-            target.write(derive(table.read(version + 1, parts)), version, parts)
-    finally:
-        delta.unpersist()
-
-
 def backfill_then_stream(
-    history: DataFrame,
-    stream: DataFrame,
-    cutover: Column,
-    ts: str,
-    table: VersionedTable,
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    table: IncrementTable,
     prepare: Callable[[DataFrame, int], DataFrame],
-    fold: Callable[[DataFrame, DataFrame, int], DataFrame],
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Fill a table from history before `cutover`, then go on with the stream.
+    """Fill a table from the files in `path` in one go, then follow new files.
 
-    The backfill is skipped if the table already holds something.
+    The hand-over is by position in the source: the files that the backfill read are
+    listed beside the checkpoint, and the stream leaves out exactly these. When an
+    event happened plays no part, so late ones count whichever way they come. A
+    table that already holds something is not filled again.
     """
-    if not table.versions():
-        old = history.filter(F.col(ts) < cutover)
-        apply_batch(table, prepare(old, BOOTSTRAP_VERSION), fold, BOOTSTRAP_VERSION)
-    return maintain(
-        stream.filter(F.col(ts) >= cutover), table, prepare, fold, checkpoint, every
-    )
+    listed = f"{checkpoint.rstrip('/')}-backfilled"
+    if not table.holds_anything():
+        history = spark.read.schema(schema).parquet(path)
+        files = history.select(F.col("_metadata.file_path").alias("file")).distinct()
+        files.write.mode("overwrite").parquet(listed)
+        done = spark.read.parquet(listed)
+        table.write(prepare(_of_files(history, done, "left_semi"), BACKFILL), BACKFILL)
+    done = spark.read.parquet(listed)
+    new = _of_files(spark.readStream.schema(schema).parquet(path), done, "left_anti")
+    return maintain(new, table, prepare, checkpoint, every)
+
+
+def _of_files(rows: DataFrame, files: DataFrame, how: str) -> DataFrame:
+    placed = rows.withColumn("file", F.col("_metadata.file_path"))
+    return placed.join(files, "file", how).drop("file")
 
 
 def stream_ingest(
@@ -149,42 +147,62 @@ def stream_enrich(
     return run(writer.option("path", out), checkpoint, every)
 
 
-def stream_dedup(events: DataFrame, delay: str) -> DataFrame:
-    """First arrival of every event_id among copies at most `delay` apart.
+def arrivals_table(spark: SparkSession, path: str) -> IncrementTable:
+    """Events as they arrived, read as the first arrival of every event_id."""
+    arrived = T.StructType([*UNIFIED.fields, T.StructField("arrival", T.LongType())])
+    return IncrementTable(spark, path, arrived, combine=_first_arrivals)
 
-    Bounded state; for the newest copy whenever it arrives see `stream_unify`.
-    Copies are first dropped per input partition, so that an event with very
-    many copies does not send them all to one task.
-    """
-    return (
-        events.withColumn("_at", F.col("event_ts").cast("timestamp"))
-        .withWatermark("_at", delay)
-        .withColumn("_split", F.spark_partition_id())
-        .dropDuplicatesWithinWatermark(["event_id", "_split"])
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("_at", "_split")
-    )
 
+def _first_arrivals(rows: DataFrame) -> DataFrame:
+    """One row per event_id: of its first batch, and there the newest copy."""
+    order = Window.partitionBy("event_id").orderBy("arrival", *newest_first())
+    ranked = rows.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
-def stream_unify(
-    events: DataFrame, table: VersionedTable, checkpoint: str, every: str | None = None
+
+def stream_dedup(
+    events: DataFrame, table: IncrementTable, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the newest copy of every event, however late it comes."""
+    """Keep the first arrival of every event, however far apart its copies come.
+
+    Nothing is dropped for being late: copies are removed within a batch, and again
+    when the table is read or compacted.
+    """
     return maintain(
         events,
         table,
-        prepare=lambda batch, _: dedup_latest(batch),
-        fold=lambda old, new, _: dedup_latest(old.unionByName(new)),
+        prepare=lambda batch, i: dedup_latest(batch).withColumn("arrival", F.lit(i).cast("bigint")),
         checkpoint=checkpoint,
         every=every,
     )
 
 
+def unified_table(spark: SparkSession, path: str) -> IncrementTable:
+    return IncrementTable(spark, path, UNIFIED, combine=dedup_latest)
+
+
+def stream_unify(
+    events: DataFrame, table: IncrementTable, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Keep the newest copy of every event, however late it comes."""
+    return maintain(
+        events, table, prepare=lambda batch, _: dedup_latest(batch), checkpoint=checkpoint, every=every
+    )
+
+
+def latest_table(
+    spark: SparkSession, path: str, schema: T.StructType, key: str, ts: str
+) -> IncrementTable:
+    return IncrementTable(
+        spark, path, schema, combine=lambda rows: latest_per_key(rows.drop("_batch"), key, ts)
+    )
+
+
 def stream_latest(
     rows: DataFrame,
     key: str,
     ts: str,
-    table: VersionedTable,
+    table: IncrementTable,
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
@@ -193,7 +211,33 @@ def stream_latest(
         rows,
         table,
         prepare=lambda batch, _: latest_per_key(batch, key, ts),
-        fold=lambda old, new, _: latest_per_key(old.unionByName(new), key, ts),
         checkpoint=checkpoint,
         every=every,
     )
+
+
+def stream_pipeline(
+    events: DataFrame,
+    unified: IncrementTable,
+    campaigns: DataFrame,
+    serving: str,
+    clock: Callable[[int], datetime | str],
+    checkpoint: str,
+    every: str | None = None,
+    score: Callable[[DataFrame, datetime | str], DataFrame] = propensity_scores,
+) -> StreamingQuery:
+    """Raw events to served scores in one job, refreshed by every micro-batch.
+
+    New copies are appended to the unified events; events of the last seven days are
+    enriched and aggregated into features, `score` scores them (the fixed scorer, or a
+    registered model), and the scores replace the served ones without a gap for
+    readers. A batch that is run again ends in the same scores.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        as_of = clock(batch_id)
+        unified.write(dedup_latest(batch), batch_id)
+        features = rolling_user_features(enrich(unified.read(), campaigns), as_of)
+        publish(score(features, as_of), ["score_bucket", "user_id"], serving, batch_id)
+
+    return run(events.writeStream.foreachBatch(on_batch), checkpoint, every)

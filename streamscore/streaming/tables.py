@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +15,6 @@ from streamscore.operators.attribution import add_journey_channels, journey_chan
 from streamscore.operators.campaigns import (
     add_campaign_user_hours,
     campaign_user_hours,
-    performance_from_user_hours,
 )
 from streamscore.operators.features import (
     feature_delta,
@@ -23,11 +22,10 @@ from streamscore.operators.features import (
     window_measures,
 )
 from streamscore.schemas import ENRICHED, USER_FEATURES
-from streamscore.sources.versions import VersionedTable, hash_part
+from streamscore.sources.increments import IncrementTable
+from streamscore.sources.storage import empty
 from streamscore.streaming.jobs import maintain
 
-USER_PARTS = 64
-
 # How a time-partitioned table is cut: in Spark's notation and in Python's.
 PART_FORMATS = {"hour": ("yyyyMMddHH", "%Y%m%d%H"), "day": ("yyyyMMdd", "%Y%m%d")}
 
@@ -54,10 +52,6 @@ USER_HOURS = T.StructType(
     + _COUNTS
     + [T.StructField(c, T.TimestampNTZType()) for c in ("first_touch", "last_touch")]
 )
-PERFORMANCE = T.StructType(
-    _CAMPAIGN_KEYS + [_HOUR] + _COUNTS + [T.StructField("unique_users", T.LongType())]
-)
-
 _POSITION = T.StructType([ENRICHED["event_ts"], ENRICHED["event_id"]])
 JOURNEY_CHANNELS = T.StructType(
     [
@@ -74,29 +68,41 @@ JOURNEY_CHANNELS = T.StructType(
 )
 
 
-def user_features_table(spark: SparkSession, path: str, parts: int = USER_PARTS) -> VersionedTable:
-    return VersionedTable(spark, path, USER_FEATURES, hash_part("user_id", parts))
+def user_features_table(
+    spark: SparkSession, path: str, clock: Callable[[int], datetime | str]
+) -> IncrementTable:
+    """User features; `clock` gives the refresh time of a batch id.
+
+    The merge depends on the order of batches, so the increments since the last
+    compaction are merged one after the other.
+    """
+    return IncrementTable(
+        spark,
+        path,
+        USER_FEATURES,
+        follow=lambda state, delta, i: merge_user_features(state, delta, clock(i)),
+        increment=feature_delta(empty(spark, ENRICHED), "1970-01-01 00:00:00").schema,
+    )
 
 
 def stream_user_features(
     events: DataFrame,
-    table: VersionedTable,
+    table: IncrementTable,
     clock: Callable[[int], datetime | str],
     checkpoint: str,
     every: str | None = None,
 ) -> StreamingQuery:
     """Merge the events of every micro-batch into the user features.
 
-    `clock` gives the refresh time of a batch id; late events count whenever
-    they arrive.
+    Late events count whenever they arrive.
     """
     return maintain(
         events,
         table,
         prepare=lambda batch, i: feature_delta(batch, clock(i)),
-        fold=lambda old, delta, i: merge_user_features(old, delta, clock(i)),
         checkpoint=checkpoint,
         every=every,
+        compact_every=8,
     )
 
 
@@ -104,9 +110,12 @@ def _time_part(column: str, part: str):
     return F.date_format(column, PART_FORMATS[part][0])
 
 
-def tiles_table(spark: SparkSession, path: str, part: str = "hour") -> VersionedTable:
-    """Parts by hour suit a live stream, which mostly touches the latest ones."""
-    return VersionedTable(spark, path, TILES, _time_part("tile", part))
+def tiles_table(
+    spark: SparkSession, path: str, part: str = "day", late: str = "accept"
+) -> IncrementTable:
+    """Tiles in folders by day or hour; see `stream_feature_tiles` for `late`."""
+    combine = add_tiles if late == "accept" else newest_tiles
+    return IncrementTable(spark, path, TILES, combine=combine, part=_time_part("tile", part))
 
 
 def feature_tiles(events: DataFrame) -> DataFrame:
@@ -119,21 +128,25 @@ def feature_tiles(events: DataFrame) -> DataFrame:
     )
 
 
-def add_tiles(old: DataFrame, new: DataFrame) -> DataFrame:
-    return (
-        old.unionByName(new)
-        .groupBy("user_id", "event_type", "tile")
-        .agg(
-            F.sum("events").alias("events"),
-            money_sum("value").alias("value"),
-            F.max("latest_ts").alias("latest_ts"),
-        )
+def add_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles that batches counted apart, added up."""
+    return tiles.groupBy("user_id", "event_type", "tile").agg(
+        F.sum("events").alias("events"),
+        money_sum("value").alias("value"),
+        F.max("latest_ts").alias("latest_ts"),
     )
 
 
+def newest_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles of which every batch wrote the total so far."""
+    order = Window.partitionBy("user_id", "event_type", "tile").orderBy(F.desc("_batch"))
+    ranked = tiles.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") == 1)
+
+
 def stream_feature_tiles(
     events: DataFrame,
-    table: VersionedTable,
+    table: IncrementTable,
     checkpoint: str,
     every: str | None = None,
     late: str = "accept",
@@ -150,7 +163,6 @@ def stream_feature_tiles(
             events,
             table,
             prepare=lambda batch, _: feature_tiles(batch),
-            fold=lambda old, new, _: add_tiles(old, new),
             checkpoint=checkpoint,
             every=every,
         )
@@ -174,12 +186,10 @@ def stream_feature_tiles(
             F.col("latest_ts").cast("timestamp_ntz").alias("latest_ts"),
         )
     )
-    keys = ["user_id", "event_type", "tile"]
     return maintain(
         open_tiles,
         table,
         prepare=lambda batch, _: batch,
-        fold=lambda old, new, _: old.join(new.select(keys), keys, "left_anti").unionByName(new),
         checkpoint=checkpoint,
         every=every,
         mode="update",
@@ -227,52 +237,51 @@ def online_from_tiles(tiles: DataFrame, as_of) -> DataFrame:
     )
 
 
-def user_hours_table(spark: SparkSession, path: str, part: str = "hour") -> VersionedTable:
-    return VersionedTable(spark, path, USER_HOURS, _time_part("hour_ts", part))
-
-
-def performance_table(spark: SparkSession, path: str, part: str = "hour") -> VersionedTable:
-    return VersionedTable(spark, path, PERFORMANCE, _time_part("hour_ts", part))
+def user_hours_table(spark: SparkSession, path: str, part: str = "day") -> IncrementTable:
+    """Counts per campaign, user and hour, from which KPIs and reach are read."""
+    return IncrementTable(
+        spark,
+        path,
+        USER_HOURS,
+        combine=lambda rows: add_campaign_user_hours(rows.drop("_batch")),
+        part=_time_part("hour_ts", part),
+    )
 
 
 def stream_campaign_performance(
-    events: DataFrame,
-    user_hours: VersionedTable,
-    performance: VersionedTable,
-    checkpoint: str,
-    every: str | None = None,
+    events: DataFrame, user_hours: IncrementTable, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Keep hourly KPIs, recomputing only the hours a batch touched.
+    """Keep the counts that hourly KPIs are made of.
 
     The counts per user and hour make the distinct users exact without state of
-    its own; reach and frequency are read from the same table.
+    its own; `performance_from_user_hours` and `reach_from_user_hours` read them.
     """
     return maintain(
         events,
         user_hours,
         prepare=lambda batch, _: campaign_user_hours(batch),
-        fold=lambda old, new, _: add_campaign_user_hours(old, new),
         checkpoint=checkpoint,
         every=every,
-        derived=[(performance, performance_from_user_hours)],
     )
 
 
-def journey_channels_table(
-    spark: SparkSession, path: str, parts: int = USER_PARTS
-) -> VersionedTable:
-    return VersionedTable(spark, path, JOURNEY_CHANNELS, hash_part("user_id", parts))
+def journey_channels_table(spark: SparkSession, path: str) -> IncrementTable:
+    return IncrementTable(
+        spark,
+        path,
+        JOURNEY_CHANNELS,
+        combine=lambda rows: add_journey_channels(rows.drop("_batch")),
+    )
 
 
 def stream_journeys(
-    events: DataFrame, table: VersionedTable, checkpoint: str, every: str | None = None
+    events: DataFrame, table: IncrementTable, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Keep what first, last and linear credit need, per user and channel."""
     return maintain(
         events,
         table,
         prepare=lambda batch, _: journey_channels(batch),
-        fold=lambda old, new, _: add_journey_channels(old, new),
         checkpoint=checkpoint,
         every=every,
     )
