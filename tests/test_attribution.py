@@ -3,6 +3,7 @@ from collections import defaultdict
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import moment
@@ -80,22 +81,14 @@ def brute_time_decay(rows, decay):
     return dict(revenue), {c: len(u) for c, u in users.items()}
 
 
-@pytest.mark.parametrize(
-    "decay,large_keys",
-    [
-        (0.5, {}),
-        (0.5, {"large_key_rows": 100, "chunk": "3 hours"}),
-        (0.001, {"large_key_rows": 100, "chunk": "10 minutes"}),
-        (0.0, {"large_key_rows": 0, "chunk": "1 hour"}),
-    ],
-)
-def test_long_journey_with_many_trailing_conversions(events, decay, large_keys):
+@pytest.mark.parametrize("decay", [0.5, 0.001, 0.0])
+def test_long_journey_with_many_trailing_conversions(events, decay):
     campaigns = list(CHANNEL)
     hot = [("CL" if i % 3 else "IM", campaigns[(i // 40) % 4], None) for i in range(2500)]
     # More trailing conversions than exp() can represent as a weight.
     hot += [("CN", "C003", 1.25)] * 1600
     rows = journey("HOT", hot) + SIMPLE
-    got = credit(at.time_decay_credit(at.touchpoints(events(rows), **large_keys), decay))
+    got = credit(at.time_decay_credit(at.touchpoints(events(rows)), decay))
     revenue, users = brute_time_decay(rows, decay)
     assert {c: r["conversions"] for c, r in got.items()} == users
     for channel, r in got.items():
@@ -116,8 +109,6 @@ def test_journey_arrays_are_bounded_and_whole(events):
     flat = at.explode_touchpoints(arrays).filter(F.col("user_id") == "HOT").orderBy("touch_idx")
     assert [r["touch_idx"] for r in flat.collect()] == list(range(251))
     assert [r["ts"] for r in flat.collect()] == sorted(r["ts"] for r in flat.collect())
-    short = at.journeys(events(rows), max_touchpoints=2)
-    assert short.agg(F.max(F.size("touchpoints"))).first()[0] == 2
 
 
 def test_array_and_channel_forms_agree(spark, sf_dir):
@@ -143,20 +134,28 @@ def test_credit_percent_of_no_revenue_is_zero(spark):
     assert at.credit_pct(rows).first()["credit_pct"] == 0.0
 
 
-def test_positions_do_not_depend_on_the_chunks(spark, sf_dir):
+def test_positions_are_those_of_a_plain_window(spark, sf_dir):
     ev = fx.enriched(spark, sf_dir)
-    plain = at.touchpoints(ev).drop("_chunk")
-    cut = at.touchpoints(ev, large_key_rows=20, chunk="2 hours")
-    assert cut.select("user_id", "_chunk").distinct().count() > 100
-    assert sorted(map(str, cut.drop("_chunk").collect())) == sorted(map(str, plain.collect()))
-
-
-def test_a_user_is_split_over_tasks(spark, sf_dir):
-    plan = at.touchpoints(fx.enriched(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
-    # Row-level work is keyed by user and chunk; only chunk totals meet per user.
-    assert "hashpartitioning(user_id" in plan and "_chunk" in plan
-    rows_shuffle = [l for l in plan.splitlines() if "REPARTITION_BY_COL" in l]
-    assert rows_shuffle and all("_chunk" in l for l in rows_shuffle)
+    order = Window.partitionBy("user_id").orderBy("event_ts", "event_id")
+    plain = ev.select("event_id", (F.row_number().over(order) - 1).alias("idx"))
+    touches = at.touchpoints(ev).join(plain, "event_id")
+    assert touches.count() > 0 and touches.filter("touch_idx <> idx").count() == 0
+
+
+def test_a_user_whose_rows_share_one_minute_is_split_over_tasks(spark, events):
+    rows = journey("HOT", [("CL", "C001", None)] * 300 + [("CN", "C002", 9.0)])
+    rows = [(*r[:4], f"2024-01-01 10:00:{k % 60:02d}.{k:06d}", r[5]) for k, r in enumerate(rows)]
+    touches = at.touchpoints(events(rows))
+    plan = touches._jdf.queryExecution().executedPlan().toString()
+    by_row = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert by_row and all("_second" in line for line in by_row)
+    assert touches.select("touch_idx").distinct().count() == 301
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = touches.withColumn("task", F.spark_partition_id()).select("task").distinct()
+        assert tasks.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_comparison_lists_channels_without_credit(events):
@@ -164,15 +163,3 @@ def test_comparison_lists_channels_without_credit(events):
     assert set(rows) == {"display", "search", "social", "email"}
     assert rows["email"]["time_decay"] == 0.0
     assert rows["display"]["first_touch"] == pytest.approx(73.2)
-
-
-def test_keys_beyond_the_list_are_computed_the_same(spark, sf_dir, monkeypatch):
-    from streamscore.operators import running
-
-    ev = fx.enriched(spark, sf_dir)
-    plain = sorted(map(str, at.touchpoints(ev).drop("_chunk").collect()))
-    monkeypatch.setattr(running, "MAX_LARGE_KEYS", 2)
-    some = at.touchpoints(ev, large_key_rows=10, chunk="2 hours")
-    per_user = some.groupBy("user_id").agg(F.countDistinct("_chunk").alias("n")).collect()
-    assert {r["n"] > 1 for r in per_user} == {True, False}
-    assert sorted(map(str, some.drop("_chunk").collect())) == plain

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import moment
 from streamscore.functions.scalar import hours_crossed, ntz
+from streamscore.functions import scalar
 from streamscore.operators import features as ft
 from streamscore.operators import scoring
 from streamscore.schemas import USER_FEATURES
@@ -122,10 +123,7 @@ def brute_history(rows, horizon_hours, event_type):
     return out
 
 
-@pytest.mark.parametrize(
-    "large_keys", [{}, {"large_key_rows": 50, "chunk": "1 hour"}, {"large_key_rows": 0, "chunk": "10 minutes"}]
-)
-def test_history_of_a_hot_user_equals_brute_force(events, large_keys):
+def test_history_of_a_hot_user_equals_brute_force(events):
     base = moment("2024-01-01 00:00:00")
     kinds = ["CL", "IM", "PS", "CN"]
     rows = []
@@ -134,8 +132,20 @@ def test_history_of_a_hot_user_equals_brute_force(events, large_keys):
         user = "HOT" if i % 4 else f"U{i % 7}"
         ts = base + timedelta(minutes=20 * (i // 2), seconds=(i % 3 == 0) * 30)
         rows.append((f"E{i:04d}", user, kinds[i % 4 if i % 5 else 0], "C001", ts.isoformat(" "), 1.0))
-    history = {r["event_id"]: r for r in ft.rolling_history(events(rows), **large_keys).collect()}
+    history = {r["event_id"]: r for r in ft.rolling_history(events(rows)).collect()}
     assert len(history) == len(rows)
     for column, kind, hours in [("clicks_1h", "CL", 1), ("clicks_24h", "CL", 24), ("conversions_7d", "CN", 168)]:
         expected = brute_history(rows, hours, kind)
         assert {e: r[column] for e, r in history.items()} == expected
+
+
+@pytest.mark.parametrize("values,total", [([0.004] * 3, 0.012), ([1e17, 1.0, -1e17], 1.0), ([0.1] * 10, 1.0)])
+def test_money_adds_up_exactly(spark, values, total):
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert rows.agg(scalar.money_sum("v")).first()[0] == total
+
+
+@pytest.mark.parametrize("name,number", [("V12", 12), ("v1234567890123", 1234567890123), ("V", None), ("x1", None)])
+def test_version_numbers_have_any_length(spark, name, number):
+    row = spark.range(1).select(scalar.version_number(F.lit(name)).alias("n")).first()
+    assert row["n"] == number

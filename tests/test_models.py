@@ -128,13 +128,25 @@ def test_monitor_per_day(spark):
     assert rows[2]["false_positives"] == 2
 
 
-def test_inference_log_appends_by_date_and_counts(spark, features, tmp_path):
+def test_monitor_without_scores(spark):
+    day_1, day_2 = "2024-01-01 05:00:00", "2024-01-02 23:00:00"
+    log = log_of(spark, [(None, 0, 0, day_1), (0.95, 1, 0, day_2)])
+    rows = {r["day"].day: r for r in monitor.monitor(log, log.filter("predicted_score > 0.9")).collect()}
+    assert rows[1]["psi"] is None and rows[1]["mean_score"] is None
+    assert rows[2]["psi"] == pytest.approx(0.0)
+    rows = monitor.monitor(log, log.limit(0)).collect()
+    assert len(rows) == 2 and all(r["psi"] is None for r in rows)
+
+
+def test_a_snapshot_logged_again_replaces_itself(spark, features, tmp_path):
     scores = features.select("user_id", F.lit(0.5).alias("propensity_score"))
     path = str(tmp_path / "log")
-    assert monitor.log_inferences(scores, features, "2024-01-01 00:00:00", path) == "Logged 300 inference rows"
-    monitor.log_inferences(scores, features, "2024-01-02 00:00:00", path, "V2")
+    for _ in range(2):
+        said = monitor.log_inferences(scores, features, "2024-01-01 00:00:00", path)
+        assert said == "Logged 300 inference rows"
+        monitor.log_inferences(scores, features, "2024-01-01 01:00:00", path, "V2")
     log = spark.read.parquet(path)
-    assert log.groupBy("scored_date").count().count() == 2
+    assert log.groupBy("snapshot").count().count() == 2
     assert log.filter(F.col("predicted_label") == 1).count() == 600
     assert {r[0] for r in log.select("model_version").distinct().collect()} == {"V1", "V2"}
     assert len(MODEL_FEATURES) == 10

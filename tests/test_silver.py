@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from streamscore.operators import joins
 from streamscore.operators.silver import dedup_latest, enrich, unify_events
 from streamscore.plans import fixtures as fx
 
@@ -44,13 +43,13 @@ def test_unknown_campaign_is_kept_without_a_name(events):
     assert row["campaign_name"] is None and row["channel"] is None
 
 
-def test_large_dimension_is_salted_with_the_same_result(spark, unified_rows, monkeypatch):
+def test_enriching_starts_no_job_and_a_hot_campaign_can_be_split(spark, unified_rows):
     rows = unified_rows(ROWS + CONVERSIONS + [("n", "U3", "CL", None, "2024-01-01 10:00:00", None)])
-    small = enrich(rows, fx.campaigns(spark))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
-    names = fx.campaigns(spark).select("campaign_id", "campaign_name", "channel")
-    large = joins.join_dimension(rows, names, "campaign_id", max_rows=2).select(small.columns)
-    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+    assert enrich(rows, fx.campaigns(spark)).count() == rows.count()
+    plain = enrich(rows, fx.campaigns(spark).hint("merge"))
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan
+    assert sorted(map(str, plain.collect())) == sorted(map(str, enrich(rows, fx.campaigns(spark)).collect()))
 
 
 def test_dimension_key_is_unique(spark):

@@ -7,7 +7,7 @@ from streamscore.operators import features as ft
 from streamscore.plans import fixtures as fx
 from streamscore.schemas import ENRICHED, UNIFIED
 from streamscore.sources import tables
-from streamscore.sources.versions import VersionedTable, hash_part
+from streamscore.sources.increments import IncrementTable
 from streamscore.streaming import jobs
 from streamscore.streaming import tables as st
 
@@ -41,7 +41,7 @@ def folded(spark, stored, batches=3):
 
 def test_incremental_merge_equals_folding_by_hand(spark, stored, tmp_path):
     source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    table = st.user_features_table(spark, str(tmp_path / "state"), parts=4)
+    table = st.user_features_table(spark, str(tmp_path / "state"), clock)
     for batch in range(3):
         feed(spark, stored, source, batch)
         st.stream_user_features(
@@ -51,67 +51,77 @@ def test_incremental_merge_equals_folding_by_hand(spark, stored, tmp_path):
 
 
 def test_a_batch_run_again_changes_nothing(spark, stored, tmp_path):
-    table = st.user_features_table(spark, str(tmp_path / "state"), parts=4)
+    table = st.user_features_table(spark, str(tmp_path / "state"), clock)
     events = spark.read.schema(ENRICHED).parquet(stored)
 
     def run(i):
-        delta = ft.feature_delta(fx.batch_of(events, i), clock(i))
-        fold = lambda old, new, _: ft.merge_user_features(old, new, clock(i))
-        jobs.apply_batch(table, delta, fold, i)
+        table.write(ft.feature_delta(fx.batch_of(events, i), clock(i)), i)
 
     run(0)
     run(1)
     once = rows_of(table.read())
     run(1)
-    assert rows_of(table.read()) == once
-    assert once == rows_of(folded(spark, stored, 2))
-
-
-def test_a_batch_that_died_before_its_commit_does_not_count(spark, stored, tmp_path):
-    table = st.user_features_table(spark, str(tmp_path / "state"), parts=4)
-    events = spark.read.schema(ENRICHED).parquet(stored)
-    delta = ft.feature_delta(fx.batch_of(events, 0), clock(0))
-    first = ft.merge_user_features(None, delta, clock(0))
-    table.write(first, 0, table.parts_of(first))
-    before = rows_of(table.read())
-    # Row files of batch 1 without its commit.
-    stray = first.withColumn("clicks_7d", F.lit(-1))
-    target = f"{table.rows_path}/part=0/version=1"
-    stray.limit(1).write.parquet(target)
-    assert rows_of(table.read()) == before
-    delta_1 = ft.feature_delta(fx.batch_of(events, 1), clock(1))
-    jobs.apply_batch(table, delta_1, lambda o, n, _: ft.merge_user_features(o, n, clock(1)), 1)
-    assert rows_of(table.read()) == rows_of(folded(spark, stored, 2))
-
-
-def test_only_touched_parts_are_rewritten_and_old_versions_expire(spark, tmp_path):
-    schema = spark.range(1).selectExpr("'k' as key", "id as n").schema
-    table = VersionedTable(spark, str(tmp_path / "t"), schema, hash_part("key", 8), keep=None)
-    make = lambda keys, n: spark.createDataFrame([(k, n) for k in keys], schema)
-    fold = lambda old, new, _: old.join(new, "key", "left_anti").unionByName(new)
-    for version in range(4):
-        keys = [f"k{i}" for i in range(40)] if version == 0 else ["k1"]
-        jobs.apply_batch(table, make(keys, version), fold, version)
-    newest = table._newest()
-    assert sorted(newest.values())[-1] == 3 and list(newest.values()).count(3) == 1
-    expected = rows_of(table.read())
-    deleted = table.expire(keep=2)
-    assert deleted == 2
-    assert rows_of(table.read()) == expected
-    assert table.versions() == [2, 3]
-    assert rows_of(table.read(before=3)) != expected
-
-
-def test_replaced_versions_go_as_parts_are_rewritten(spark, tmp_path):
-    schema = spark.range(1).selectExpr("'k' as key", "id as n").schema
-    table = VersionedTable(spark, str(tmp_path / "t"), schema, hash_part("key", 1), keep=2)
-    fold = lambda old, new, _: old.join(new, "key", "left_anti").unionByName(new)
-    for version in range(5):
-        jobs.apply_batch(table, spark.createDataFrame([("k", version)], schema), fold, version)
-    assert table.versions() == [3, 4]
-    assert sorted(table._names(f"{table.rows_path}/part=0")) == ["version=3", "version=4"]
+    assert rows_of(table.read()) == once == rows_of(folded(spark, stored, 2))
+    table.compact()
+    assert rows_of(table.read()) == once and table.batches() == []
+    run(2)
+    assert rows_of(table.read()) == rows_of(folded(spark, stored, 3))
+
+
+KEYED = "key string, n long"
+
+
+def summed(rows):
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def test_a_small_batch_writes_a_small_folder(spark, tmp_path):
+    schema = spark.createDataFrame([], KEYED).schema
+    table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed)
+    key = F.concat(F.lit("k"), F.col("id")).alias("key")
+    table.write(spark.range(10_000).select(key, F.lit(1).alias("n")), 0)
+    before = set((tmp_path / "t").rglob("*.parquet"))
+    table.write(spark.range(100).select(key, F.lit(1).alias("n")), 1)
+    new = set((tmp_path / "t").rglob("*.parquet")) - before
+    assert sum(spark.read.parquet(str(f)).count() for f in new) == 100
+    assert table.read().agg(F.sum("n")).first()[0] == 10_100
+
+
+def test_a_batch_that_died_half_way_does_not_count(spark, tmp_path):
+    schema = spark.createDataFrame([], KEYED).schema
+    table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed)
+    table.write(spark.createDataFrame([("a", 1)], KEYED), 0)
+    table.write(spark.createDataFrame([("a", 10)], KEYED), 1)
+    (tmp_path / "t" / "batches" / "batch=1" / "_SUCCESS").unlink()
+    assert [r["n"] for r in table.read().collect()] == [1]
+    table.write(spark.createDataFrame([("a", 10)], KEYED), 1)
+    assert [r["n"] for r in table.read().collect()] == [11]
+
+
+def test_compaction_keeps_the_content_and_drops_what_is_replaced(spark, tmp_path):
+    schema = spark.createDataFrame([], KEYED).schema
+    table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed, part=F.col("key"))
+    for batch in range(6):
+        table.write(spark.createDataFrame([("a", 1), (f"k{batch % 2}", 1)], KEYED), batch)
+        if batch in (1, 3):
+            table.compact()
+    assert table.batches() == [4, 5]
+    assert sorted(p.name for p in (tmp_path / "t" / "batches").iterdir()) == [f"batch={b}" for b in (2, 3, 4, 5)]
+    assert {r["key"]: r["n"] for r in table.read().collect()} == {"a": 6, "k0": 3, "k1": 3}
+    assert [r["n"] for r in table.read(parts=["k0"]).collect()] == [3]
+    assert IncrementTable(spark, str(tmp_path / "none"), schema, combine=summed).read().count() == 0
+
+
+def test_jobs_compact_as_they_go(spark, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    schema = spark.createDataFrame([], KEYED).schema
+    table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed)
+    for _ in range(4):
+        spark.createDataFrame([("a", 1)], KEYED).write.mode("append").parquet(source)
+        rows = tables.read_changes(spark, source, schema)
+        jobs.maintain(rows, table, lambda batch, _: summed(batch), progress, compact_every=2)
+        assert len(table.batches()) < 2
     assert [r["n"] for r in table.read().collect()] == [4]
-    assert [r["n"] for r in table.read(before=4).collect()] == [3]
 
 
 def test_tiles_equal_exact_windows_at_whole_minutes(spark, stored, tmp_path):
@@ -126,13 +136,15 @@ def test_tiles_equal_exact_windows_at_whole_minutes(spark, stored, tmp_path):
 
 def test_horizon_reads_only_its_parts(spark, stored, tmp_path):
     as_of = datetime(2024, 1, 31)
-    table = st.tiles_table(spark, str(tmp_path / "tiles"), part="day")
+    table = st.tiles_table(spark, str(tmp_path / "tiles"))
     tiles = st.feature_tiles(spark.read.schema(ENRICHED).parquet(stored))
-    table.write(tiles, 0, table.parts_of(tiles))
+    table.write(tiles, 0)
     parts = st.tile_parts(as_of, 48, "day")
     assert len(parts) == 3
     some = table.read(parts=parts)
-    assert len(some.inputFiles()) < len(table.read().inputFiles())
+    assert set(r[0] for r in some.select(F.date_format("tile", "yyyyMMdd")).collect()) <= set(parts)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_part" in plan.split("PartitionFilters: [")[1][:200]
     assert rows_of(st.online_from_tiles(some, as_of)) == rows_of(
         st.online_from_tiles(table.read(), as_of)
     )
@@ -145,7 +157,7 @@ def event(i, ts, kind="CL"):
 @pytest.mark.parametrize("late,expected", [("accept", 3), ("drop", 2)])
 def test_late_events(spark, tmp_path, late, expected):
     source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    table = st.tiles_table(spark, str(tmp_path / "tiles"), part="day")
+    table = st.tiles_table(spark, str(tmp_path / "tiles"), late=late)
     arrivals = [event(1, "2024-01-01 10:00:00"), event(2, "2024-01-02 10:00:00"), event(3, "2024-01-01 09:00:00")]
     dropped = 0
     for row in arrivals:
@@ -168,7 +180,7 @@ def test_late_policy_is_checked(spark, stored, tmp_path):
 
 def test_newest_copy_wins_however_late(spark, tmp_path):
     source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
-    table = VersionedTable(spark, str(tmp_path / "t"), UNIFIED, hash_part("event_id", 4))
+    table = jobs.unified_table(spark, str(tmp_path / "t"))
     for ts, value in [("10:00", 1.0), ("12:00", 2.0), ("11:00", 3.0)]:
         row = ("e1", "U1", "CN", "C001", datetime.fromisoformat(f"2024-01-01 {ts}:00"), value)
         tables.append_events(spark.createDataFrame([row], UNIFIED), source)
@@ -187,22 +199,46 @@ def test_enriched_rows_are_appended_once(spark, sf_dir, tmp_path):
 
 
 def test_history_then_stream_counts_every_event_once(spark, stored, tmp_path):
+    """Events from before the backfill that arrive after it are counted, too."""
+    source = str(tmp_path / "in")
     events = spark.read.schema(ENRICHED).parquet(stored)
-    table = st.tiles_table(spark, str(tmp_path / "tiles"), part="day")
-    for _ in range(2):
+    table = st.tiles_table(spark, str(tmp_path / "tiles"))
+    for batch in (1, 0, 2, None):
+        if batch is not None:
+            tables.append_events(fx.batch_of(events, batch), source)
         jobs.backfill_then_stream(
-            events,
-            tables.read_changes(spark, stored, ENRICHED),
-            F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"),
-            "event_ts",
+            spark,
+            source,
+            ENRICHED,
             table,
-            prepare=lambda batch, _: st.feature_tiles(batch),
-            fold=lambda old, new, _: st.add_tiles(old, new),
+            prepare=lambda rows, _: st.feature_tiles(rows),
             checkpoint=str(tmp_path / "progress"),
         )
     assert rows_of(table.read()) == rows_of(st.feature_tiles(events))
 
 
+def test_distinct_events_are_kept_however_late(spark, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    table = jobs.arrivals_table(spark, str(tmp_path / "t"))
+    moments = ["2024-01-05 10:00:00", "2024-01-01 10:00:00", "2024-01-03 10:00:00"]
+    for k, ts in enumerate(moments):
+        rows = [(e, "U1", "CL", "C001", datetime.fromisoformat(ts), None) for e in (f"e{k}", "copy")]
+        tables.append_events(spark.createDataFrame(rows, UNIFIED), source)
+        jobs.stream_dedup(tables.read_changes(spark, source, UNIFIED), table, progress)
+    got = {r["event_id"]: (str(r["event_ts"]), r["arrival"]) for r in table.read().collect()}
+    assert got == {f"e{k}": (ts, k) for k, ts in enumerate(moments)} | {"copy": (moments[0], 0)}
+
+
+def test_served_scores_are_replaced_without_a_gap(spark, tmp_path):
+    path = str(tmp_path / "serving")
+    tables.publish(spark.range(5), ["id"], path, 0)
+    reader = tables.read_published(spark, path)
+    tables.publish(spark.range(9), ["id"], path, 1)
+    assert reader.count() == 5 and tables.read_published(spark, path).count() == 9
+    (tmp_path / "serving" / "version=1" / "_SUCCESS").unlink()
+    assert tables.read_published(spark, path).count() == 5
+
+
 def test_jobs_can_run_at_an_interval(spark, stored, tmp_path):
     query = jobs.stream_enrich(
         tables.read_changes(spark, stored, ENRICHED).drop("campaign_name", "channel"),
@@ -220,7 +256,8 @@ def test_jobs_can_run_at_an_interval(spark, stored, tmp_path):
 
 
 def test_copies_in_many_files_leave_one_row(spark, tmp_path):
-    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    table = jobs.arrivals_table(spark, str(tmp_path / "t"))
     for arrival in range(3):
         rows = spark.range(400).select(
             F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("event_id"),
@@ -229,11 +266,10 @@ def test_copies_in_many_files_leave_one_row(spark, tmp_path):
             F.lit(None).cast("double").alias("conversion_value"),
         )
         tables.append_events(rows.repartition(4), source)
-        first = jobs.stream_dedup(tables.read_changes(spark, source, UNIFIED), "1 hour")
-        writer = first.writeStream.outputMode("append").format("parquet").option("path", out)
-        jobs.run(writer, progress)
-    kept = spark.read.parquet(out)
+        jobs.stream_dedup(tables.read_changes(spark, source, UNIFIED), table, progress)
+    kept = table.read()
     assert kept.count() == kept.select("event_id").distinct().count() == 400 - 134 + 1
+    assert {r[0] for r in kept.select("arrival").distinct().collect()} == {0}
 
 
 def test_ingest_lands_every_message_once(spark, sf_dir, tmp_path):
