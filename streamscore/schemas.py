@@ -66,11 +66,6 @@ ENRICHED = T.StructType(
 
 UNIFIED = T.StructType([ENRICHED[name] for name in EVENT_COLUMNS])
 
-# Source of the streaming feature views.
-STREAM_SOURCE = T.StructType(
-    [ENRICHED[n] for n in ["user_id", "event_ts", "event_type", "campaign_id", "conversion_value"]]
-)
-
 USER_FEATURES = T.StructType(
     [T.StructField("user_id", T.StringType())]
     + [
@@ -86,12 +81,3 @@ USER_FEATURES = T.StructType(
         T.StructField("last_updated", T.TimestampNTZType()),
     ]
 )
-
-USER_PROPENSITY = T.StructType(
-    [
-        T.StructField("user_id", T.StringType()),
-        T.StructField("propensity_score", T.DoubleType()),
-        T.StructField("score_bucket", T.StringType()),
-        T.StructField("last_updated", T.TimestampNTZType()),
-    ]
-)

@@ -63,7 +63,7 @@ class ModelRegistry:
         """Save a model under the next free version."""
         version = next_version(self._read("versions", VERSIONS))
         model.write().overwrite().save(f"{self.path}/models/{version}")
-        comment = f"{version} champion={champion}, selected by F1"
+        comment = f"{champion} had the best F1 of its race"
         values = [float(metrics[m]) for m in ("roc_auc", "accuracy", "f1")]
         row = (version, champion, *values, training_rows, run_tag, comment, None)
         self._append("versions", row, VERSIONS, stamp="registered_at")

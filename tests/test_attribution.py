@@ -150,12 +150,20 @@ def test_a_user_whose_rows_share_one_minute_is_split_over_tasks(spark, events):
     by_row = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
     assert by_row and all("_second" in line for line in by_row)
     assert touches.select("touch_idx").distinct().count() == 301
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    # As with tables too large to broadcast or to put into one partition.
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         tasks = touches.withColumn("task", F.spark_partition_id()).select("task").distinct()
         assert tasks.count() > 1
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for key in settings:
+            spark.conf.unset(key)
 
 
 def test_comparison_lists_channels_without_credit(events):
