@@ -37,14 +37,15 @@ EVENT_COLUMNS = [
 ]
 
 # Payload fields as they arrive in JSON. Scalars stay text so that a bad value is
-# reported for its own field instead of voiding the whole record.
+# reported for its own field instead of voiding the whole record; so do properties,
+# which only `extract_properties` looks into.
 MARKETING_JSON = (
     "event_id string, user_id string, event_type string, campaign_id string, "
-    "event_ts string, properties variant, _corrupt_record string"
+    "event_ts string, properties string, _corrupt_record string"
 )
 CONVERSION_JSON = (
     "event_id string, user_id string, event_type string, campaign_id string, "
-    "event_ts string, conversion_value string, properties variant, _corrupt_record string"
+    "event_ts string, conversion_value string, properties string, _corrupt_record string"
 )
 ENVELOPE_JSON = (
     "data string, metadata struct<topic: string, partition: int, "

@@ -95,13 +95,16 @@ def with_ingest_time(rows: DataFrame, ts=None) -> DataFrame:
 
 
 def extract_properties(rows: DataFrame) -> DataFrame:
-    """Channel, device and order type out of the semi-structured properties."""
-    return rows.withColumns(
-        {
-            name: F.try_variant_get("properties", f"$.{name}", "string")
-            for name in ("channel", "device", "order_type")
-        }
-    ).drop("properties")
+    """Channel, device and order type out of the semi-structured properties.
+
+    Properties are JSON text, or a VARIANT as some raw tables keep them.
+    """
+    names = ("channel", "device", "order_type")
+    if dict(rows.dtypes)["properties"] == "variant":
+        fields = {n: F.try_variant_get("properties", f"$.{n}", "string") for n in names}
+    else:
+        fields = {n: F.get_json_object("properties", f"$.{n}") for n in names}
+    return rows.withColumns(fields).drop("properties")
 
 
 def ingest_health(parsed: DataFrame) -> DataFrame:
