@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Timestamps are stored without a zone and mean UTC. Hot keys in joins are split
@@ -14,9 +17,18 @@ REQUIRED = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings every operator assumes to an existing session."""
+    """Apply the settings every operator assumes to an existing session.
+
+    Python workers look for this package where the driver found it. On a cluster
+    whose machines do not have it there, ship it with the job as usual.
+    """
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
