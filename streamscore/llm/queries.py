@@ -19,13 +19,14 @@ from streamscore.llm.substring_dedup import substring_dedup
 from streamscore.llm.suffix_dedup import suffix_dedup
 from streamscore.llm.warc import archive_round_trip
 from streamscore.llm.words import documents, pages
+from streamscore.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(prepare(spark), sf_dir)
     return f
 
 
