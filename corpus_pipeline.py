@@ -11,6 +11,7 @@ from streamscore.llm.minhash import distinct_documents
 from streamscore.llm.mixing import mixed_documents
 from streamscore.llm.quality import passing_documents
 from streamscore.llm.suffix_dedup import without_repeats
+from streamscore.session import prepare
 from streamscore.sources.storage import stored
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,26 +19,31 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers."""
+    prepare(spark)
     return passing_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by shingles of five words."""
+    prepare(spark)
     return distinct_documents(docs, words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 400 bytes that occur more than once."""
+    prepare(spark)
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    prepare(spark)
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each document, with digests of the ids and of what they decode to."""
+    prepare(spark)
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded.drop("text"), path)
