@@ -218,42 +218,52 @@ def linear_from_touchpoints(touches: DataFrame) -> DataFrame:
     )
 
 
-def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
-    """Credit that falls by exp(-decay) with every touch before the last.
+def _channel_facts(touches: DataFrame, decay: float) -> DataFrame:
+    """One row per user and channel out of `touchpoints`, with what any model needs.
 
-    `touches` come from `touchpoints`. Weights are summed per minute relative to the
-    minute's last marketing touch, then brought to the user's last one, so long
-    journeys neither travel whole nor lose precision. Conversions take no credit but
-    hold a position.
+    Weights fall by exp(-decay) with every touch before the user's last marketing
+    touch. They are summed per minute relative to the minute's last marketing touch,
+    then brought to the user's last one, so long journeys neither travel whole nor
+    lose precision. Conversions take no weight but hold a position.
     """
-    if decay < 0:
-        raise ValueError("decay must not be negative")
-    marketing = touches.filter(~_converting())
+    marketing = ~_converting()
+    idx = F.col("touch_idx")
     in_minute = Window.partitionBy("user_id", "_minute")
     user = Window.partitionBy("user_id")
+    flag = lambda condition: F.max(F.when(condition, 1).otherwise(0))
+    carried = [F.max(c).alias(c) for c in ("_first", "_end", "_value", "_count")]
     per_minute = (
-        marketing.withColumn("_last", F.max("touch_idx").over(in_minute))
-        .withColumn("_weight", F.exp((F.col("touch_idx") - F.col("_last")) * F.lit(decay)))
+        touches.withColumn("_last", F.max(F.when(marketing, idx)).over(in_minute))
+        .withColumn("_weight", F.when(marketing, F.exp((idx - F.col("_last")) * F.lit(decay))))
         .groupBy("user_id", "_minute", "channel")
         .agg(
             F.sum("_weight").alias("_weight"),
             F.max("_last").alias("_last"),
+            count_if(marketing).alias("_marketing"),
+            flag(idx == 0).alias("_first"),
+            flag(idx == F.col("touchpoint_count") - 1).alias("_end"),
             F.max("conversion_value").alias("_value"),
+            F.max("touchpoint_count").alias("_count"),
         )
     )
+    moved = F.col("_weight") * F.exp((F.col("_last") - F.col("_user_last")) * F.lit(decay))
     per_channel = (
         per_minute.withColumn("_user_last", F.max("_last").over(user))
         .groupBy("user_id", "channel")
-        .agg(
-            F.sum(
-                F.col("_weight")
-                * F.exp((F.col("_last") - F.col("_user_last")) * F.lit(decay))
-            ).alias("_weight"),
-            F.max("_value").alias("_value"),
-        )
+        .agg(F.sum(moved).alias("_weight"), F.sum("_marketing").alias("_marketing"), *carried)
     )
-    share = F.col("_weight") / F.sum("_weight").over(user)
-    return _sum_credit(per_channel.withColumn("_credit", F.col("_value") * share))
+    return per_channel.withColumn("_share", F.col("_weight") / F.sum("_weight").over(user))
+
+
+def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
+    """Credit that falls by exp(-decay) with every touch before the last.
+
+    `touches` come from `touchpoints`.
+    """
+    if decay < 0:
+        raise ValueError("decay must not be negative")
+    facts = _channel_facts(touches, decay).filter(F.col("_marketing") > 0)
+    return _sum_credit(facts.withColumn("_credit", F.col("_value") * F.col("_share")))
 
 
 def converted_users(events: DataFrame) -> DataFrame:
@@ -277,13 +287,10 @@ def _end_touch(events: DataFrame, last: bool) -> DataFrame:
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
-def simple_credits(
-    events: DataFrame,
-    models: list[str],
-    exclude_conversions: bool = False,
-    denominator: str = "all",
+def simple_credit(
+    events: DataFrame, model: str, exclude_conversions: bool = False, denominator: str = "all"
 ) -> DataFrame:
-    """One row per model, user and channel with `_credit`, for the three simple models.
+    """First-touch, last-touch or linear credit, without the positions of all touches.
 
     First and last touch look at all touches unless `exclude_conversions`; linear
     gives credit to marketing touches but divides by all touches unless
@@ -291,18 +298,14 @@ def simple_credits(
     """
     users = converted_users(events)
     marketing = events.filter(~_converting())
-    parts = []
-    for model in models:
-        if model == "linear":
-            count = F.col("_marketing" if denominator == "non_conversion" else "_touches")
-            touches = marketing.groupBy("user_id", "channel").agg(F.count(F.lit(1)).alias("_n"))
-            credit = F.col("_value") / count * F.col("_n")
-        else:
-            touches = _end_touch(marketing if exclude_conversions else events, model == "last_touch")
-            credit = F.col("_value")
-        rows = touches.join(users, "user_id")
-        parts.append(rows.select(F.lit(model).alias("model"), "channel", credit.alias("_credit")))
-    return reduce(DataFrame.unionByName, parts)
+    if model == "linear":
+        count = F.col("_marketing" if denominator == "non_conversion" else "_touches")
+        touches = marketing.groupBy("user_id", "channel").agg(F.count(F.lit(1)).alias("_n"))
+        credit = F.col("_value") / count * F.col("_n")
+    else:
+        touches = _end_touch(marketing if exclude_conversions else events, model == "last_touch")
+        credit = F.col("_value")
+    return _sum_credit(touches.join(users, "user_id").withColumn("_credit", credit))
 
 
 def attribute(
@@ -320,12 +323,12 @@ def attribute(
         return time_decay_credit(touchpoints(events), decay)
     if model not in MODELS:
         model = "linear"
-    return _sum_credit(simple_credits(events, [model], exclude_conversions, denominator))
+    return simple_credit(events, model, exclude_conversions, denominator)
 
 
-def credit_pct(credit: DataFrame, *models: str) -> DataFrame:
-    """Add each channel's percentage of all credit (of its model), to one decimal."""
-    total = F.sum("attributed_revenue").over(Window.partitionBy(*(models or [F.lit(0)])))
+def credit_pct(credit: DataFrame) -> DataFrame:
+    """Add each channel's percentage of all credit, to one decimal."""
+    total = F.sum("attributed_revenue").over(Window.partitionBy(F.lit(0)))
     share = F.round(F.col("attributed_revenue") / total * 100, 1)
     return credit.withColumn("credit_pct", F.when(total > 0, share).otherwise(F.lit(0.0)))
 
@@ -333,19 +336,23 @@ def credit_pct(credit: DataFrame, *models: str) -> DataFrame:
 def attribution_comparison(events: DataFrame, channels: list[str] | None = None) -> DataFrame:
     """Percentages of all four models side by side; no credit shows as 0."""
     listed = COMPARED_CHANNELS if channels is None else channels
-    simple = simple_credits(events, [m for m in MODELS if m != "time_decay"])
-    summed = simple.groupBy("model", "channel").agg(F.sum("_credit").alias("attributed_revenue"))
-    decayed = time_decay_credit(touchpoints(events)).select(
-        F.lit("time_decay").alias("model"), "channel", "attributed_revenue"
-    )
-    by_model = credit_pct(summed.unionByName(decayed), "model")
-    wide = (
-        by_model.filter(F.col("channel").isin(listed))
-        .groupBy("channel")
-        .pivot("model", MODELS)
-        .agg(F.max("credit_pct"))
-    )
+    facts = _channel_facts(touchpoints(events), 0.5)
+    value = F.col("_value")
+    credits = {
+        "first_touch": F.when(F.col("_first") == 1, value),
+        "last_touch": F.when(F.col("_end") == 1, value),
+        "linear": value / F.col("_count") * F.col("_marketing"),
+        "time_decay": value * F.col("_share"),
+    }
+    summed = facts.groupBy("channel").agg(*[F.sum(c).alias(m) for m, c in credits.items()])
+    whole = Window.partitionBy(F.lit(0))
+    shares = {}
+    for model in MODELS:
+        total = F.sum(model).over(whole)
+        share = F.round(F.col(model) / total * 100, 1)
+        shares[model] = F.when(total > 0, share).otherwise(F.lit(0.0))
     rows = literal_rows(events.sparkSession, "channel", listed)
+    wide = summed.withColumns(shares).filter(F.col("channel").isin(listed))
     return rows.join(wide, "channel", "left").fillna(0.0, subset=MODELS)
 
 
