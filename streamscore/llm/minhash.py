@@ -8,9 +8,9 @@ all such pairs share a key. At a similarity of 0.8 a pair exceeds the threshold
 all chunks with a probability below one in a million.
 
 Pairs within a key are not written out. Every document of a key is first compared to
-one of them; documents found alike form components, and only pairs of different
-components that share a key are compared after that, which no group of copies makes
-many. Every link is confirmed on the full sets.
+one of them; documents found alike form components. Documents of different components
+that share a key are compared after that, block by block, and only links are written.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamscore.llm.arrow import slices
-from streamscore.llm.components import components
+from streamscore.llm.arrow import slices, spread
+from streamscore.llm.components import components, joined_components
 from streamscore.llm.substring_dedup import word_hashes
 from streamscore.llm.winnow import mixed
 from streamscore.llm.words import text_of
@@ -37,6 +37,7 @@ ERRORS = 2
 BITS = 16
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 SIMILARITY = 80  # per cent
+BLOCK = 256
 SEED = 7
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,6 +156,96 @@ def _pairs(rows: DataFrame, similarity: int) -> DataFrame:
     return rows.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _first_links(rows: list[tuple], words: int, similarity: int) -> list[tuple[int, int]]:
+    """Links of a block: for every query one to each other component that it reaches."""
+    sets = shingle_sets([row[5].decode() for row in rows], words)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    labels = np.array([row[4] for row in rows])
+    queries = [k for k, row in enumerate(rows) if row[3]]
+    held = np.array([k for k, row in enumerate(rows) if not row[3]], np.int64)
+    if not queries or not len(held):
+        return []
+    # Which of the held sets have a shingle: ranges of a list sorted by shingle.
+    flat = np.concatenate([sets[k] for k in held])
+    owner = np.repeat(np.arange(len(held)), sizes[held])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for k in queries:
+        first, last = np.searchsorted(flat, sets[k]), np.searchsorted(flat, sets[k], "right")
+        common = np.bincount(owner[spread(first, last - first)], minlength=len(held))
+        linked = 100 * common >= similarity * (sizes[k] + sizes[held] - common)
+        linked &= labels[held] != labels[k]
+        hits = np.flatnonzero(linked)
+        _, one = np.unique(labels[held[hits]], return_index=True)
+        out += [(rows[k][6], rows[held[h]][6]) for h in hits[one]]
+    return out
+
+
+def _between(
+    members: DataFrame, labels: DataFrame, texts: DataFrame, words: int, similarity: int
+) -> DataFrame:
+    """Links between different components that share a key.
+
+    Each key with several components is given to the largest of them. Its documents
+    of other components are the queries of that component; they are compared with
+    all its documents and with each other, in blocks of about `BLOCK` by `BLOCK`
+    documents that spread over all tasks. No pair is written out unless it is a link.
+    """
+    nodes = members.select("node").distinct().join(labels, "node", "left")
+    nodes = stored(nodes.withColumn("label", F.coalesce("label", "node")), "minhash-labelled")
+    sizes = stored(nodes.groupBy("label").agg(F.count("*").alias("size")), "minhash-sizes")
+    placed = members.select("key", "node").join(nodes, "node").join(sizes, "label")
+    per_key = placed.groupBy("key").agg(
+        F.max(F.struct("size", "label"))["label"].alias("main"),
+        F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+    )
+    per_key = stored(per_key.filter("lo < hi").select("key", "main"), "minhash-mixed")
+    queries = placed.join(per_key, "key").filter("label <> main").select("main", "node", "label")
+    queries = stored(queries.distinct(), "minhash-queries")
+    mains = queries.select("main").distinct()
+    held = nodes.join(mains, F.col("label") == F.col("main")).select("main", "node", "label")
+    held = held.unionByName(queries)
+    blocks = lambda rows, name: rows.groupBy("main").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias(name)
+    )
+    counts = stored(blocks(queries, "rows").join(blocks(held, "columns"), "main"), "minhash-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asked = queries.join(counts, "main").select(
+        "main", own("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("asks"), "label", "node"
+    )
+    given = held.join(counts, "main").select(
+        "main", every("rows").alias("i"), own("columns").alias("j"), F.lit(False).alias("asks"), "label", "node"
+    )
+    rows = asked.unionByName(given).join(
+        texts.select(F.col("own").alias("node"), F.col("text").cast("binary").alias("text")), "node"
+    )
+    block = ["main", "i", "j"]
+    names = [*block, "asks", "label", "text", "node"]
+    rows = rows.select(names).repartition(*block).sortWithinPartitions(*block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in names)):
+                if row[:3] != now and group:
+                    yield _linked(_first_links(group, words, similarity))
+                    group = []
+                now = row[:3]
+                group.append(row)
+        if group:
+            yield _linked(_first_links(group, words, similarity))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _own() -> Column:
     """The id, or for a null id a negative number made from the text."""
     return F.coalesce("doc_id", -1 - F.xxhash64(text_of()).bitwiseAND((1 << 63) - 1))
@@ -174,14 +265,17 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
     docs = docs.select("doc_id", _own().alias("own"), text_of().alias("text"))
     signed = stored(_signed(docs, words), "minhash-signed")
     full = signed.filter("n > 0")
+    # What is aggregated is written before it is joined: a join of two plain shuffles
+    # can split a key with very many rows.
     classes = full.groupBy("set_low", "set_high").agg(F.min("own").alias("node"))
+    classes = stored(classes, "minhash-classes")
     placed = stored(full.join(classes, ["set_low", "set_high"]), "minhash-placed")
     nodes = placed.filter("own = node").dropDuplicates(["node", "set_low", "set_high"])
     nodes = stored(nodes.select("node", "n", "signature"), "minhash-nodes")
 
     keys = _keys(nodes)
     shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = shared.filter("lo < hi").drop("hi")
+    shared = stored(shared.filter("lo < hi").drop("hi"), "minhash-shared")
     members = stored(keys.join(shared, "key"), "minhash-members")
     needed = members.select(F.col("node").alias("own")).distinct()
     texts = stored(
@@ -195,30 +289,12 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
     links = stored(_confirmed(_near(stars, nodes), texts, words, similarity), "minhash-links")
     labels = components(links)
 
-    # Members of keys that still belong to different components.
-    own_label = F.coalesce("label", "node")
-    labelled = members.select("key", "node", "n").join(labels, "node", "left").withColumn("label", own_label)
-    per_label = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = per_label.groupBy("key").agg(
-        F.max(F.struct("size", "label"))["label"].alias("main"), F.count("*").alias("labels")
-    )
-    labelled = stored(labelled.join(split.filter("labels > 1").drop("labels"), "key"), "minhash-split")
-    others = labelled.filter("label <> main").select(
-        "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")
-    )
-    all_ = labelled.select(
-        "key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main"
-    )
-    crossed = others.join(all_, "key").filter(
-        "la <> lb and (lb = main or a < b) and 100 * least(na, nb) >= "
-        f"{similarity} * greatest(na, nb)"
-    )
-    crossed = _pairs(crossed, similarity)
-    more = stored(_confirmed(_near(crossed, nodes), texts, words, similarity), "minhash-more")
-    labels = components(links.unionByName(more))
+    more = stored(_between(members, labels, texts, words, similarity), "minhash-more")
+    labels = joined_components(labels, more)
 
-    grouped = placed.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", own_label)
-    firsts = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    grouped = placed.select("doc_id", "n", "node").join(labels, "node", "left")
+    grouped = grouped.withColumn("label", F.coalesce("label", "node"))
+    firsts = stored(grouped.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minhash-firsts")
     found = grouped.join(firsts, "label").select("doc_id", "n", "component_id")
     empty = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).select(

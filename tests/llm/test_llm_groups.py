@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from streamscore.llm.components import components
+from streamscore.llm.components import components, joined_components
 from streamscore.llm.minhash import distinct_documents, near_duplicates, shingle_sets
 
 
@@ -44,6 +44,17 @@ def test_components(spark, kind):
     assert partition(got) == partition(roots(nodes, [e for e in edges if e[0] != e[1]]))
 
 
+def test_components_joined_along_more_edges(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)]
+    more = [(rng.randrange(300), rng.randrange(320)) for _ in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    got = joined_components(components(frame(edges)), frame(more)).collect()
+    nodes = {x for e in edges if e[0] != e[1] for x in e} | {x for e in more for x in e}
+    assert len(got) == len(nodes)
+    assert partition({r.node: r.label for r in got}) == partition(roots(nodes, [e for e in edges + more if e[0] != e[1]]))
+
+
 def brute(rows, words):
     """(n_shingles, component_id) per row, by all pairs."""
     sets = []
