@@ -39,7 +39,7 @@ def test_held_out_layouts():
     for k in range(0, len(LAYOUTS), 3):
         other = train(labelled_pages(8, 1, LAYOUTS[:k] + LAYOUTS[k + 1 :]), steps=100)
         scores.append(accuracy(other, labelled_pages(5, 2, [LAYOUTS[k]])))
-    assert sum(scores) / len(scores) > 0.85
+    assert sum(scores) / len(scores) > 0.8
 
 
 def test_viterbi_is_the_best_labelling(model):
