@@ -10,8 +10,12 @@ import pyarrow as pa
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `limit` bytes in `column`, at least a row each."""
-    offsets = np.frombuffer(batch.column(column).buffers()[1], np.int32)
-    offsets = offsets[batch.column(column).offset :][: batch.num_rows + 1]
+    if not batch.num_rows:
+        return
+    values = batch.column(column)
+    wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+    offsets = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)
+    offsets = offsets[values.offset :][: batch.num_rows + 1]
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1

@@ -84,6 +84,8 @@ def segments(
     lead. Sequences shorter than `window` have none. Work goes in blocks; a segment
     that crosses a block ends there and goes on as another one.
     """
+    if window - gram >= 512:
+        raise ValueError("a segment may have 512 windows at most, see pack")
     ends = np.cumsum(lengths)
     parts = []
     for start in range(0, max(len(symbols) - window + 1, 0), BLOCK):
