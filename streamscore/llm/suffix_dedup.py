@@ -30,8 +30,8 @@ from streamscore.sources.storage import stored
 
 WINDOW = 400
 GRAM = 128
-GROUP = 1200
-CHUNK_BYTES = 1 << 20
+GROUP = 700
+CHUNK_BYTES = 1 << 19
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -192,13 +192,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     """
     gram = max(1, GRAM * window // WINDOW)
     rows = spans.segments(docs, _symbols, window, gram)
-    twice = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # Written first: a join of two plain shuffles can split an anchor with very many rows.
+    twice = stored(rows.groupBy("anchor").count().filter("count > 1").select("anchor"), "suffix-twice")
     found = stored(rows.join(twice, "anchor", "left_semi"), "suffix-found")
     variants = found.groupBy("anchor", "segment").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "pack")).alias("one")
     )
     variants = stored(variants.select("anchor", "segment", "copies", "one.*"), "suffix-segments")
-    per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1")
+    per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("variants"))
+    per_anchor = stored(per_anchor.filter("variants > 1"), "suffix-variants")
     whole = found.join(
         variants.filter("copies > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi"
     ).select("doc_id", spans.text_hash_of("pack").alias("th"), spans.whole("pack", window).alias("span"))
@@ -214,7 +216,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
         "anchor long, doc_id long, copies long, hash long, th long, span long",
     )
     again = large.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).filter("n > 1")
-    hashed = large.join(again.drop("n"), ["anchor", "hash"], "left_semi").select("doc_id", "th", "span")
+    again = stored(again.drop("n"), "suffix-again")
+    hashed = large.join(again, ["anchor", "hash"], "left_semi").select("doc_id", "th", "span")
     return whole.unionByName(sorted_).unionByName(hashed)
 
 
