@@ -79,7 +79,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(NO_ID))
     rows = spans.segments(docs, _symbols, window, window // 2)
     several = rows.groupBy("anchor").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    several = several.filter("lo < hi").select("anchor")
+    # Written first: a join of two plain shuffles can split an anchor with very many rows.
+    several = stored(several.filter("lo < hi").select("anchor"), "substring-several")
     found = stored(rows.join(several, "anchor", "left_semi"), "substring-found")
     variants = found.groupBy("anchor", "segment").agg(
         F.min(F.struct(order.alias("first"), "doc_id", "pack")).alias("one")
@@ -93,6 +94,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     # The windows of all others, of which the earliest document stands for each segment.
     per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    per_anchor = stored(per_anchor, "substring-variants")
     different = variants.join(per_anchor, "anchor", "left_semi")
     contents = spans.fetch(docs, different, _cut, window)
     windows = stored(
@@ -105,7 +107,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     again = windows.groupBy("anchor", "hash").agg(
         F.min("first").alias("earliest"), F.max("first").alias("latest")
     )
-    again = again.filter("earliest < latest").drop("latest")
+    again = stored(again.filter("earliest < latest").drop("latest"), "substring-again")
     late = windows.join(again, ["anchor", "hash"]).filter(F.col("first") > F.col("earliest"))
     return whole.unionByName(late.select("doc_id", "th", "span"))
 
