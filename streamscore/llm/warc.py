@@ -54,7 +54,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         "page_id", "key", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("n_bytes")
     )
     small = stored(small.distinct(), "warc-digests")
-    groups = small.groupBy("key").agg(F.max("page_id").alias("first"))
+    groups = stored(small.groupBy("key").agg(F.max("page_id").alias("first")), "warc-groups")
     judged = small.join(groups, "key").withColumn(
         "refers_to",
         F.when((F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")),
