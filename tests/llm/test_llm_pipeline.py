@@ -9,9 +9,9 @@ import tiktoken
 import corpus_pipeline
 from streamscore.llm.mixing import mix
 from streamscore.sources.storage import stored
-from test_llm_groups import brute as near_groups
-from test_llm_quality import judged
-from test_llm_repeats import brute_bytes
+from .test_llm_groups import brute as near_groups
+from .test_llm_quality import judged
+from .test_llm_repeats import brute_bytes
 
 
 def test_stages_against_brute_force(spark, sf_dir):
