@@ -44,7 +44,7 @@ def _cut(text: str, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def _extended(window: int):
-    """One row per window of twice the length, with its hash and place."""
+    """One row per window of twice the length, with its hash and its offset in the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,18 +57,11 @@ def _extended(window: int):
                 owner = np.repeat(np.arange(len(sizes)), counts)
                 offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 hashes = Rolling(flat).windows(window)[begins[owner] + offset]
-                pack = part.column("pack").to_numpy()[owner]
                 take = pa.array(owner)
-                columns = [
-                    part.column("anchor").take(take),
-                    pa.array(hashes.view(np.int64)),
-                    part.column("first").take(take),
-                    part.column("doc_id").take(take),
-                    pa.array(pack & 8191),
-                    pa.array(((pack >> 31) + offset) << 24 | window),
-                ]
+                columns = [part.column(c).take(take) for c in ("anchor", "segment", "first")]
+                columns += [pa.array(hashes.view(np.int64)), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(
-                    columns, ["anchor", "hash", "first", "doc_id", "th", "span"]
+                    columns, ["anchor", "segment", "first", "hash", "offset"]
                 )
 
     return run
@@ -86,12 +79,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.min(F.struct(order.alias("first"), "doc_id", "pack")).alias("one")
     )
     variants = stored(variants.select("anchor", "segment", "one.*"), "substring-segments")
-    # Segments of which an earlier document has an equal one.
-    firsts = variants.select("anchor", "segment", "first")
-    whole = found.join(firsts, ["anchor", "segment"]).filter(order > F.col("first"))
-    whole = whole.select(
-        "doc_id", spans.text_hash_of("pack").alias("th"), spans.whole("pack", window).alias("span")
-    )
     # The windows of all others, of which the earliest document stands for each segment.
     per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     per_anchor = stored(per_anchor, "substring-variants")
@@ -100,7 +87,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = stored(
         contents.mapInArrow(
             _extended(window),
-            "anchor long, hash long, first long, doc_id long, th long, span long",
+            "anchor long, segment long, first long, hash long, offset long",
         ),
         "substring-windows",
     )
@@ -109,7 +96,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     again = stored(again.filter("earliest < latest").drop("latest"), "substring-again")
     late = windows.join(again, ["anchor", "hash"]).filter(F.col("first") > F.col("earliest"))
-    return whole.unionByName(late.select("doc_id", "th", "span"))
+    late = stored(late.groupBy("anchor", "segment").agg(F.collect_set("offset").alias("late")), "substring-late")
+    # What an earlier document has as a whole goes as a whole. Of a segment's earliest
+    # document, the late windows go in every place of the segment.
+    firsts = variants.select("anchor", "segment", "first").join(late, ["anchor", "segment"], "left")
+    firsts = stored(firsts, "substring-firsts")
+    places = found.join(firsts, ["anchor", "segment"]).filter((order > F.col("first")) | F.col("late").isNotNull())
+    gone = F.when(order > F.col("first"), F.array(spans.whole("pack", window))).otherwise(
+        F.transform("late", lambda x: F.shiftleft(F.shiftright("pack", 31) + x, 24).bitwiseOR(F.lit(window)))
+    )
+    return places.select("doc_id", spans.text_hash_of("pack").alias("th"), F.explode(gone).alias("span"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -126,3 +126,20 @@ def test_suffix_query_against_brute_force(spark, sf_dir):
         row = rows[d]
         assert (row.n_bytes, row.n_removed, row.n_spans) == (n, gone, runs)
         assert row.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_substring_dedup_of_a_passage_repeated_within_its_first_document(make_docs):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(55)
+    join = lambda *parts: " ".join(w for part in parts for w in part)
+    rows = [
+        (1, join(text(20), passage[:52], text(30))),  # shares three windows, in another segment
+        (2, join(text(20), *[passage] * 13, text(20))),
+        (3, join(text(9), passage[2:], text(9), passage, text(9), passage)),
+        (None, join(passage, text(5), passage)),
+        (None, join(text(7), passage, text(60))),
+    ]
+    got = substring_dedup(make_docs([(*r, "en", "s") for r in rows]).repartition(3)).collect()
+    found = Counter((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got)
+    assert found == Counter((d, *w) for (d, _), w in zip(rows, brute_words(rows, 50)))
