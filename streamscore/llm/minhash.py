@@ -251,18 +251,12 @@ def _own() -> Column:
     return F.coalesce("doc_id", -1 - F.xxhash64(text_of()).bitwiseAND((1 << 63) - 1))
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+def _grouped(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of doc_id, own, text as doc_id, own, n, label, and those without shingles as doc_id, own, n.
 
-    Documents are linked if 100 * |common shingles| >= similarity * |all shingles|.
-    component_id is the smallest doc_id that can be reached over links, kept tells
-    whether it is the document's own. Null texts and texts without words have no
-    shingles and are linked with nothing. A null id is no smallest one: a group has a
-    null component_id only if all its ids are null, and keeps all of them then. Rows
-    that share an id count as linked. An empty table gives an empty result. Only
-    doc_id and text are read.
+    Rows of a label can be reached from each other over links; rows that share `own`
+    count as linked.
     """
-    docs = docs.select("doc_id", _own().alias("own"), text_of().alias("text"))
     signed = stored(_signed(docs, words), "minhash-signed")
     full = signed.filter("n > 0")
     # What is aggregated is written before it is joined: a join of two plain shuffles
@@ -292,11 +286,27 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
     more = stored(_between(members, labels, texts, words, similarity), "minhash-more")
     labels = joined_components(labels, more)
 
-    grouped = placed.select("doc_id", "n", "node").join(labels, "node", "left")
-    grouped = grouped.withColumn("label", F.coalesce("label", "node"))
+    grouped = placed.select("doc_id", "own", "n", "node").join(labels, "node", "left")
+    grouped = grouped.withColumn("label", F.coalesce("label", "node")).drop("node")
+    return grouped, signed.filter("n = 0").select("doc_id", "own", "n")
+
+
+def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * |common shingles| >= similarity * |all shingles|.
+    component_id is the smallest doc_id that can be reached over links, kept tells
+    whether it is the document's own. Null texts and texts without words have no
+    shingles and are linked with nothing. A null id is no smallest one: a group has a
+    null component_id only if all its ids are null, and keeps all of them then. Rows
+    that share an id count as linked. An empty table gives an empty result. Only
+    doc_id and text are read.
+    """
+    docs = docs.select("doc_id", _own().alias("own"), text_of().alias("text"))
+    grouped, empty = _grouped(docs, words, similarity)
     firsts = stored(grouped.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minhash-firsts")
     found = grouped.join(firsts, "label").select("doc_id", "n", "component_id")
-    empty = signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    empty = empty.select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -308,15 +318,32 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: int = SIMILARIT
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of `docs` that stay when one document of each group of near copies stays.
 
-    That is the one with the smallest id, and of rows that share it the one with the
-    smallest text. Rows without an id stay if no row of their group has one, one of
-    each text. Columns stay as they are.
+    That is the one with the smallest id, and of rows that share it in this group the
+    one with the smallest text. Rows are judged by their texts: unlike texts that share
+    an id, null too, are documents of their own. Rows without an id stay if no row of
+    their group has one, one of each text. Texts without words stay, one of each id
+    and text. Columns stay as they are.
     """
-    gone = near_duplicates(docs, words, similarity).filter(~F.col("kept")).select("doc_id")
-    gone = stored(gone.distinct(), "minhash-gone")
-    d, g = docs.alias("d"), gone.alias("g")
-    left = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
-    row = left.select(_own().alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    order = Window.partitionBy("own").orderBy("row.text")
-    one = row.withColumn("turn", F.row_number().over(order)).filter("turn = 1")
+    text_hash = F.xxhash64(text_of())
+    shared = docs.filter("doc_id is not null").groupBy("doc_id")
+    shared = shared.agg(F.min(text_hash).alias("lo"), F.max(text_hash).alias("hi"))
+    shared = stored(shared.filter("lo <> hi").select(F.col("doc_id").alias("clash")), "minhash-shared-ids")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    of_text = -1 - F.xxhash64("row.doc_id", text_of("row.text")).bitwiseAND((1 << 63) - 1)
+    rows = docs.select(row).join(shared, F.col("row.doc_id") == F.col("clash"), "left")
+    own = F.when(F.col("clash").isNotNull(), of_text).otherwise(F.coalesce("row.doc_id", of_text))
+    rows = rows.select("row", own.alias("own"))
+    grouped, _ = _grouped(
+        rows.select(F.col("row.doc_id").alias("doc_id"), "own", text_of("row.text").alias("text")), words, similarity
+    )
+    firsts = stored(grouped.groupBy("label").agg(F.min("doc_id").alias("component_id")), "minhash-firsts")
+    judged = stored(grouped.join(firsts, "label").select("doc_id", "own", "label", "component_id"), "minhash-judged")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = stored(judged.filter(~kept).select("own").distinct(), "minhash-gone")
+    # Texts that share the smallest id of their group take turns.
+    again = judged.filter(kept & (F.col("doc_id") != F.col("own"))).select("own", "label").distinct()
+    again = stored(again, "minhash-again")
+    left = rows.join(gone, "own", "left_anti").join(again, "own", "left")
+    order = Window.partitionBy(F.coalesce("label", "own")).orderBy("row.text")
+    one = left.withColumn("turn", F.row_number().over(order)).filter("turn = 1")
     return one.select("row.*")

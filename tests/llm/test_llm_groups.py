@@ -123,3 +123,20 @@ def test_shingles():
     assert [len(s) for s in shingle_sets(["", "A", "a b", "A B a b A", "\x0b"], 2)] == [0, 1, 1, 2, 0]
     a, b = shingle_sets(["One Two", "one two"], 2)
     assert (a == b).all()
+
+
+def test_near_copies_among_rows_that_share_an_id(make_docs):
+    rng = random.Random(6)
+    text = lambda n=60: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, clean, other, third, twin = text(), text(), text(), text(), text()
+    copy = lambda t: t + " more"
+    rows = [
+        (1, one), (None, copy(one)), (None, clean), (None, twin), (None, copy(twin)), (None, clean),
+        (5, one + " again"), (5, other), (5, copy(other)), (5, ""), (6, third), (6, copy(other)),
+        (7, ""), (7, text(9)), (8, "b"), (8, "a"), (8, "b"), (9, None), (None, ""), (None, None),
+    ]
+    kept = distinct_documents(make_docs([(*r, "en", "s") for r in rows]).repartition(3)).collect()
+    gone = {(None, copy(one)), (5, one + " again"), (5, copy(other)), (6, copy(other))}
+    want = {(d, t or "") for d, t in rows} - gone
+    found = [(r.doc_id, r.text or "") for r in kept]
+    assert len(found) == len(set(found)) and set(found) == want
