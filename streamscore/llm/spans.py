@@ -1,7 +1,7 @@
 """Repeated stretches of documents: finding segments, fetching them, removing spans.
 
 Shared by the dedup of bytes and of words. A document is known by doc_id and `th`, a
-13-bit hash of its text. A span is one number, start << 24 | length.
+64-bit hash of its text. A span is one number, start << 24 | length.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from streamscore.llm import winnow
 from streamscore.llm.arrow import slices
 from streamscore.llm.words import text_of
 
-SEGMENTS = "anchor long, segment long, doc_id long, pack long"
+SEGMENTS = "anchor long, segment long, doc_id long, th long, pack long"
 SPANS = "doc_id long, th long, span long"
 RESULTS = ["n_units", "n_removed", "n_spans", "kept"]
 
@@ -25,18 +25,18 @@ RESULTS = ["n_units", "n_removed", "n_spans", "kept"]
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text (empty for null), th, and the other columns in `row`."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *RESULTS)]
-    th = F.xxhash64(text_of()).bitwiseAND(8191)
+    th = F.xxhash64(text_of())
     return docs.select("doc_id", text_of().alias("text"), th.alias("th"), F.struct(*others).alias("row"))
 
 
-def text_hash_of(pack: str) -> Column:
-    return F.col(pack).bitwiseAND(8191)
+def first_window(pack: str) -> Column:
+    return F.shiftright(pack, 18)
 
 
 def whole(pack: str, window: int) -> Column:
     """The span of all windows of a segment."""
-    count = F.shiftright(pack, 22).bitwiseAND(511)
-    return F.shiftleft(F.shiftright(pack, 31), 24).bitwiseOR(count + window)
+    count = F.shiftright(pack, 9).bitwiseAND(511)
+    return F.shiftleft(first_window(pack), 24).bitwiseOR(count + window)
 
 
 def segments(docs: DataFrame, symbols: Callable, window: int, gram: int) -> DataFrame:
@@ -47,50 +47,48 @@ def segments(docs: DataFrame, symbols: Callable, window: int, gram: int) -> Data
             for part in slices(batch, "text"):
                 flat, lengths = symbols(part.column("text").to_pylist())
                 owner, anchor, segment, first, count, lead = winnow.segments(flat, lengths, window, gram)
-                th = part.column("th").to_numpy()[owner]
+                take = pa.array(owner)
                 columns = [
                     pa.array(anchor.view(np.int64)),
                     pa.array(segment.view(np.int64)),
-                    part.column("doc_id").take(pa.array(owner)),
-                    pa.array(winnow.pack(first, count, lead, th)),
+                    part.column("doc_id").take(take),
+                    part.column("th").take(take),
+                    pa.array(winnow.pack(first, count, lead)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "segment", "doc_id", "pack"])
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "segment", "doc_id", "th", "pack"])
 
     return docs.select("doc_id", "text", "th").mapInArrow(run, SEGMENTS)
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable, window: int) -> DataFrame:
-    """`wanted` segments (anchor, segment, doc_id, pack and more) with their `content`.
+    """`wanted` segments (anchor, segment, doc_id, th, pack and more) with their `content`.
 
     Each text is shuffled once and meets the list of the segments wanted from it,
     which is no longer than the text has segments. cut(text, starts, ends) gives the
     content of each span. A document that is repeated gives its segments each time.
     """
-    fields = [c for c in wanted.columns if c != "doc_id"]
-    lists = wanted.groupBy("doc_id", text_hash_of("pack").alias("th")).agg(
-        F.collect_list(F.struct(*fields)).alias("wanted")
-    )
+    fields = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     joined = match(docs.select("doc_id", "th", "text"), lists, "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                lists, ids = part.column("wanted"), part.column("doc_id")
+                lists = part.column("wanted")
                 flat = lists.flatten()
                 owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
                 columns = {c: flat.field(c) for c in fields}
-                pack = columns["pack"].to_numpy()
-                start = pack >> 31
-                end = start + (pack >> 22 & 511) + window
+                start, more = winnow.unpacked(columns["pack"].to_numpy())
+                end = start + more + window
                 content, cuts = [], np.searchsorted(owner, np.arange(len(lists) + 1))
                 for k, text in enumerate(part.column("text").to_pylist()):
                     some = slice(cuts[k], cuts[k + 1])
                     content += cut(text, start[some], end[some])
-                columns["doc_id"] = ids.take(pa.array(owner))
+                columns |= {c: part.column(c).take(pa.array(owner)) for c in ("doc_id", "th")}
                 columns["content"] = pa.array(content, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = wanted.select(*fields, "doc_id").withColumn("content", F.lit(None).cast("binary")).schema
+    schema = wanted.select(*fields, "doc_id", "th").withColumn("content", F.lit(None).cast("binary")).schema
     return joined.mapInArrow(run, schema)
 
 

@@ -76,7 +76,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = stored(several.filter("lo < hi").select("anchor"), "substring-several")
     found = stored(rows.join(several, "anchor", "left_semi"), "substring-found")
     variants = found.groupBy("anchor", "segment").agg(
-        F.min(F.struct(order.alias("first"), "doc_id", "pack")).alias("one")
+        F.min(F.struct(order.alias("first"), "doc_id", "th", "pack")).alias("one")
     )
     variants = stored(variants.select("anchor", "segment", "one.*"), "substring-segments")
     # The windows of all others, of which the earliest document stands for each segment.
@@ -103,9 +103,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = stored(firsts, "substring-firsts")
     places = found.join(firsts, ["anchor", "segment"]).filter((order > F.col("first")) | F.col("late").isNotNull())
     gone = F.when(order > F.col("first"), F.array(spans.whole("pack", window))).otherwise(
-        F.transform("late", lambda x: F.shiftleft(F.shiftright("pack", 31) + x, 24).bitwiseOR(F.lit(window)))
+        F.transform("late", lambda x: F.shiftleft(spans.first_window("pack") + x, 24).bitwiseOR(F.lit(window)))
     )
-    return places.select("doc_id", spans.text_hash_of("pack").alias("th"), F.explode(gone).alias("span"))
+    return places.select("doc_id", "th", F.explode(gone).alias("span"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

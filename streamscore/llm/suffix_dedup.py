@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from streamscore.llm import spans
 from streamscore.llm.arrow import slices, spread
-from streamscore.llm.winnow import Rolling
+from streamscore.llm.winnow import Rolling, unpacked
 from streamscore.sources.storage import stored
 
 WINDOW = 400
@@ -131,17 +131,18 @@ def _sorted_groups(window: int):
     """Repeated windows of segments that arrive ordered by their anchor."""
 
     def resolve(rows: list[tuple]) -> pa.RecordBatch:
-        pieces = [row[4] for row in rows]
+        pieces = [row[5] for row in rows]
         counts = [len(x) - window + 1 for x in pieces]
         out = []
         for row, hits in zip(rows, repeated_starts(pieces, counts, window)):
-            _, doc_id, pack, copies, _ = row
+            _, doc_id, th, pack, copies, _ = row
             if copies > 1 or not len(hits):  # segments found twice are removed as a whole
                 continue
             cuts = np.flatnonzero(np.diff(hits) > 1) + 1
-            first = hits[np.concatenate([[0], cuts])] + (pack >> 31)
-            last = hits[np.concatenate([cuts - 1, [len(hits) - 1]])] + (pack >> 31)
-            out += [(doc_id, pack & 8191, int(x) << 24 | int(y - x + window)) for x, y in zip(first, last)]
+            start, _ = unpacked(pack)
+            first = hits[np.concatenate([[0], cuts])] + start
+            last = hits[np.concatenate([cuts - 1, [len(hits) - 1]])] + start
+            out += [(doc_id, th, int(x) << 24 | int(y - x + window)) for x, y in zip(first, last)]
         columns = list(zip(*out)) or [[], [], []]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], ["doc_id", "th", "span"]
@@ -149,14 +150,15 @@ def _sorted_groups(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, anchor = [], 0, None
+        names = ("anchor", "doc_id", "th", "pack", "copies", "content")
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "doc_id", "pack", "copies", "content"))):
+            for row in zip(*(batch.column(n).to_pylist() for n in names)):
                 if row[0] != anchor and held > CHUNK_BYTES:
                     yield resolve(rows)
                     rows, held = [], 0
                 anchor = row[0]
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[5])
         if rows:
             yield resolve(rows)
 
@@ -172,15 +174,15 @@ def _window_rows(window: int):
                 for k in range(part.num_rows):
                     content = np.frombuffer(part.column("content")[k].as_buffer(), np.uint8)
                     hashes = Rolling(content).windows(window).view(np.int64)
-                    n, pack = len(hashes), part.column("pack")[k].as_py()
-                    fixed = {c: part.column(c)[k].as_py() for c in ("anchor", "doc_id", "copies")}
+                    n = len(hashes)
+                    start, _ = unpacked(part.column("pack")[k].as_py())
+                    fixed = {c: part.column(c)[k].as_py() for c in ("anchor", "doc_id", "th", "copies")}
                     columns = [pa.array([v] * n, pa.int64()) for v in fixed.values()]
                     columns += [
                         pa.array(hashes),
-                        pa.array(np.full(n, pack & 8191)),
-                        pa.array(((pack >> 31) + np.arange(n)) << 24 | window),
+                        pa.array((start + np.arange(n)) << 24 | window),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, [*fixed, "hash", "th", "span"])
+                    yield pa.RecordBatch.from_arrays(columns, [*fixed, "hash", "span"])
 
     return run
 
@@ -196,14 +198,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     twice = stored(rows.groupBy("anchor").count().filter("count > 1").select("anchor"), "suffix-twice")
     found = stored(rows.join(twice, "anchor", "left_semi"), "suffix-found")
     variants = found.groupBy("anchor", "segment").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "pack")).alias("one")
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "pack")).alias("one")
     )
     variants = stored(variants.select("anchor", "segment", "copies", "one.*"), "suffix-segments")
     per_anchor = variants.groupBy("anchor").agg(F.count("*").alias("variants"))
     per_anchor = stored(per_anchor.filter("variants > 1"), "suffix-variants")
     whole = found.join(
         variants.filter("copies > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi"
-    ).select("doc_id", spans.text_hash_of("pack").alias("th"), spans.whole("pack", window).alias("span"))
+    ).select("doc_id", "th", spans.whole("pack", window).alias("span"))
 
     different = variants.join(per_anchor, "anchor")
     contents = spans.fetch(docs, different, _cut, window)
@@ -213,7 +215,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     sorted_ = small.mapInArrow(_sorted_groups(window), spans.SPANS)
     large = contents.filter(F.col("variants") > group).mapInArrow(
         _window_rows(window),
-        "anchor long, doc_id long, copies long, hash long, th long, span long",
+        "anchor long, doc_id long, th long, copies long, hash long, span long",
     )
     again = large.groupBy("anchor", "hash").agg(F.sum("copies").alias("n")).filter("n > 1")
     again = stored(again.drop("n"), "suffix-again")
@@ -228,8 +230,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> D
     anywhere else, in the same document or another; nothing crosses documents.
     Judged on the input: all copies go, the first one too. Null and empty texts have
     no bytes. Rows that repeat a document are documents of their own, so repeated
-    rows remove each other; rows that share an id are told apart by a hash of their
-    texts. Other columns pass through, except those named like a result. An empty
+    rows remove each other; rows that share an id are told apart by a 64-bit hash of
+    their texts. Other columns pass through, except those named like a result. An empty
     table gives an empty result.
     """
     own = spans.identified(docs)

@@ -114,6 +114,11 @@ def segments(
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def pack(first: np.ndarray, count: np.ndarray, lead: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
-    """First window (32 bits), windows - 1 and lead (9 bits each) and 13 bits of the text's hash."""
-    return first << 31 | (count - 1) << 22 | lead << 13 | text_hash & 8191
+def pack(first: np.ndarray, count: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """First window (32 bits), windows - 1 and lead (9 bits each)."""
+    return first << 18 | (count - 1) << 9 | lead
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and windows - 1."""
+    return packed >> 18, packed >> 9 & 511

@@ -143,3 +143,22 @@ def test_substring_dedup_of_a_passage_repeated_within_its_first_document(make_do
     got = substring_dedup(make_docs([(*r, "en", "s") for r in rows]).repartition(3)).collect()
     found = Counter((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got)
     assert found == Counter((d, *w) for (d, _), w in zip(rows, brute_words(rows, 50)))
+
+
+def test_unlike_texts_that_share_an_id_are_told_apart(spark, make_docs):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long = [text(200) for _ in range(4)]
+    # Short texts whose hashes agree in the low 13 bits with those of texts to be cut.
+    hashed = lambda texts: {
+        r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) & 8191 as h").collect()
+    }
+    low = set(hashed(long).values())
+    short = [t for t, h in hashed([text(60) for _ in range(20_000)]).items() if h in low]
+    assert len(short) >= 2
+    rows = [(None, t) for t in long + short] + [(k, t) for k, t in enumerate(long)]
+    docs = make_docs([(*r, "en", "s") for r in rows]).repartition(3)
+    found = Counter((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in substring_dedup(docs).collect())
+    assert found == Counter((d, *w) for (d, _), w in zip(rows, brute_words(rows, 50)))
+    found = Counter((r.doc_id, r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs).collect())
+    assert found == Counter((d, *w) for (d, _), w in zip(rows, brute_bytes([t for _, t in rows], 400)))
