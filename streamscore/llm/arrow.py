@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,3 +29,12 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The ranges [start, start + count) one after the other."""
     shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
     return shift + np.arange(len(shift))
+
+
+def cut(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of UTF-8 bytes that end at ASCII white space, each of little more than `size`."""
+    start = 0
+    while end := re.compile(rb"[\t-\r ]").search(data, start + size):
+        yield data[start : end.end()]
+        start = end.end()
+    yield data[start:]

@@ -8,18 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamscore.llm import bpe
+from streamscore.llm import bpe, packing
+from streamscore.llm.clustering import cluster
 from streamscore.llm.fingerprint import fingerprints
 from streamscore.llm.html_text import extract
 from streamscore.llm.licences import licence_scan
 from streamscore.llm.minhash import near_duplicates
 from streamscore.llm.mixing import mix
 from streamscore.llm.quality import quality_rules
+from streamscore.llm.search import ranked_search
 from streamscore.llm.substring_dedup import substring_dedup
 from streamscore.llm.suffix_dedup import suffix_dedup
 from streamscore.llm.warc import archive_round_trip
 from streamscore.llm.words import documents, pages
 from streamscore.session import prepare
+from streamscore.sources.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -207,3 +210,101 @@ ORACLE["op9_warc"] = """
 def op10_fingerprints(spark, sf_dir):
     """How like are fingerprints of texts, of edited texts and of the next documents?"""
     return fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    """Which 20 documents answer each benchmark item best?"""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search(documents(spark, sf_dir), items).drop("query")
+
+
+ORACLE["op11_ranked_search"] = r"""
+    with words as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+        from documents
+    ), wanted as (
+        select item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark
+    ), whole as (
+        select count(*) as docs, sum(len(terms))::bigint as n_terms from words where len(terms) > 0
+    ), lengths as (
+        select doc_id, 100 - 25 + (25 * len(terms) * docs) // n_terms as m from words, whole where len(terms) > 0
+    ), postings as (
+        select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from words)
+        where term in (select term from wanted) group by doc_id, term
+    ), weights as (
+        select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+        from (select term, count(*) as df from postings group by term), whole
+    ), scores as (
+        select item_id, doc_id,
+            sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+        from wanted join postings using (term) join weights using (term) join lengths using (doc_id)
+        group by item_id, doc_id
+    )
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank,
+        doc_id, score
+    from scores where score > 0
+    qualify rank <= 20
+"""
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    """Into which sequences of 2048 tokens do the pieces of all documents go?"""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pieces(documents(spark, sf_dir), path)
+    items = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(stored(items, "pieces"))
+
+
+@query
+def op13_centroids(spark, sf_dir):
+    """To which of 40 centroids does each embedding belong after five rounds?"""
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _centroid_sql(rounds: int = 5, clusters: int = 40) -> str:
+    nearest = """
+        select vec_id, v, unnest(min_by(struct_pack(cluster := cluster, distance := d), (d, cluster))) from (
+            select p.vec_id, p.v, c.cluster,
+                list_sum(list_transform(list_zip(p.v, c.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint as d
+            from points p, c{0} c
+        ) group by vec_id, v
+    """
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} as materialized ({nearest.format(k)})")
+        steps.append(f"""
+        c{k + 1} as materialized (
+            select cluster, coalesce(m.c, c{k}.c) as c from c{k} left join (
+                select cluster, list(x order by place) as c from (
+                    select cluster, place, floor(sum(x)::bigint // count(*)
+                        - case when sum(x) < 0 and sum(x) % count(*) <> 0 then 1 else 0 end)::bigint as x
+                    from (select cluster, unnest(v) as x, unnest(range(64)) as place from a{k})
+                    group by cluster, place
+                ) group by cluster
+            ) m using (cluster)
+        )""")
+    return f"""
+    with points as materialized (
+        select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+        from embeddings
+        where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64
+    ), c0 as materialized (
+        select (row_number() over (order by h) - 1)::int as cluster, v as c
+        from (select v, sha256('2:' || vec_id) as h from points order by h limit {clusters})
+    ), {", ".join(steps)}, a as materialized ({nearest.format(rounds)})
+    select vec_id, cluster, distance,
+        (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+        (sum(distance) over ())::bigint as inertia,
+        sha256(array_to_string(c, ',')) as centroid_sha256
+    from a join c{rounds} using (cluster)
+    """
+
+
+ORACLE["op13_centroids"] = _centroid_sql()
