@@ -8,8 +8,10 @@ above a piece's length is the best fit, the lowest bit of all the fullest bin, w
 closes first once `OPEN_BINS` are open.
 
 Spark deals the pieces evenly to groups of about `GROUP` pieces, whatever their ids, and
-a task packs one group. Pieces arrive in the order of a hash, long and short ones mixed.
-A group ends with at most one bin that is less than half full.
+a task packs one group. Pieces arrive in waves of about `WAVE`, dealt by a hash, the
+longest of a wave first: it opens no more bins than may be open, and its short pieces
+fill what the long ones of this wave and the bins of earlier waves have left. A group
+ends with at most one bin that is less than half full.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from streamscore.llm.arrow import cut, slices
 CAPACITY = 2048
 OPEN_BINS = 1024
 GROUP = 1 << 17
+WAVE = 2 * OPEN_BINS
 #: Bytes of words and ids that a worker remembers before it starts anew.
 REMEMBERED = 64 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
@@ -171,11 +174,14 @@ def pack(
     sequence_id or offset are replaced. `items` is read twice, so store what is dear to compute.
     """
     items = items.drop("sequence_id", "offset")
-    groups = max(1, -(-items.count() // group))
+    count = items.count()
+    groups = max(1, -(-count // group))
+    waves = max(1, -(-count // (groups * WAVE)))
     names = [F.col(f"`{c}`") for c in items.columns]
     mark = "_group" + "_" * max(map(len, items.columns))
     dealt = items.repartition(groups).withColumn(mark, F.spark_partition_id())
-    arranged = dealt.sortWithinPartitions(F.xxhash64(*names), *names)
+    wave = F.pmod(F.xxhash64(*names), F.lit(waves))
+    arranged = dealt.sortWithinPartitions(wave, F.col(length).desc(), *names)
     schema = StructType(list(items.schema.fields)).add("sequence_id", LongType()).add("offset", LongType())
     run = partial(_packed, capacity=capacity, limit=open_bins, length=length, group=mark)
     return arranged.mapInArrow(run, schema)
