@@ -34,7 +34,9 @@ OPEN_BINS = 1024
 GROUP = 1 << 17
 WAVE = 2 * OPEN_BINS
 #: Bytes of words and ids that a worker remembers before it starts anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 128 << 20
+#: Bytes of text whose words are looked up at a time.
+BLOCK_BYTES = 4 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -42,29 +44,94 @@ class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
     No token of the vocabulary spans ASCII white space, and nothing is composed across it,
-    so a text's ids are those of its words in a row. A word is encoded once.
+    so a text's ids are those of its words in a row, and a word is encoded once while it is
+    remembered. A mark after an ASCII letter that ends a word is a word of its own, and ASCII
+    words are told apart in lower case, as the vocabulary has it.
     """
 
+    MARKS = b".,;:!?"
+    BETWEEN = "\x01"
+
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(content)
-        self.known: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytes] = {}  # words met since `old` was full
+        self.old: dict[bytes, bytes] = {}
         self.size = 0
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(self._words(part.split()) for part in cut(text))
-
-    def _words(self, words: list[bytes]) -> bytes:
-        known = self.known
-        if missing := [w for w in set(words) if w not in known]:
-            if self.size > REMEMBERED:
-                known.clear()
-                self.size, missing = 0, list(set(words))
-            encoded = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            for word, encoding in zip(missing, encoded, strict=True):
-                known[word] = np.array(encoding.ids, "<u4").tobytes()
-                self.size += 150 + len(word) + len(known[word])
-        return b"".join([known[w] for w in words])
+        between = self._encoded([self.BETWEEN])[0]
+        if len(between) != 1:
+            raise ValueError("the vocabulary must have a token for a control character")
+        self.between = between[0]
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of each text; some megabytes of words are in work at a time."""
+        out = [bytearray() for _ in texts]
+        lists, held = [], 0
+        for k, text in enumerate(texts):
+            for part in cut(text):
+                lists.append((k, part.split()))
+                held += len(part)
+                if held > BLOCK_BYTES:
+                    self._block(lists, out)
+                    lists, held = [], 0
+        self._block(lists, out)
+        return out
+
+    def _block(self, lists: list[tuple[int, list[bytes]]], out: list[bytearray]) -> None:
+        if self.size > REMEMBERED:
+            self.new, self.old, self.size = {}, self.new, 0
+        self._learn(set().union(*(words for _, words in lists)).difference(self.new))
+        known = self.new
+        for k, words in lists:
+            out[k] += b"".join([known[w] for w in words])
+
+    def _learn(self, words: set[bytes]) -> None:
+        new, old, parts, missing = self.new, self.old, [], set()
+        for word in words:
+            if found := old.get(word):
+                self._keep(word, found)
+                continue
+            core, mark = word, b""
+            if word.isascii() and b"<|" not in word:
+                core = word.lower()
+            if core[-1] in self.MARKS and core[-2:-1].isalpha():
+                core, mark = core[:-1], core[-1:]
+                if mark not in new:
+                    missing.add(mark)
+            if core not in new:
+                missing.add(core)
+            if core is not word:
+                parts.append((word, core, mark))
+        known = [w for w in missing if w in old]
+        for word in known:
+            self._keep(word, old[word])
+        self._encode_words(missing.difference(known))
+        for word, core, mark in parts:
+            self._keep(word, new[core] + new[mark] if mark else new[core])
+
+    def _encode_words(self, words: set[bytes]) -> None:
+        between = self.BETWEEN.encode()
+        odd = [w for w in words if between in w or b"<|" in w]
+        plain = list(words.difference(odd))
+        for word, ids in zip(odd, self._encoded([w.decode() for w in odd]), strict=True):
+            self._keep(word, ids.tobytes())
+        for start in range(0, len(plain), 4096):
+            some = plain[start : start + 4096]
+            ids = self._encoded([(b" " + between + b" ").join(some).decode()])[0]
+            raw, at = ids.tobytes(), 0
+            ends = np.append(np.flatnonzero(ids == self.between), len(ids)) * 4
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self._keep(word, raw[at:end])
+                at = end + 4
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        if word not in self.new:
+            self.new[word] = ids
+            self.size += 170 + len(word) + len(ids)
 
 
 _LOADED: dict[str, WordIds] = {}  # by a worker, for one vocabulary at a time
@@ -83,8 +150,9 @@ def _pieces(batches, vocabulary, capacity: int, end: int) -> Iterator[pa.RecordB
         for part in slices(batch, "text"):
             rows = []
             texts = part.column("text").cast(pa.large_binary()).to_pylist()
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                ids = words.encode(text or b"") + last
+            encoded = words.encode([x or b"" for x in texts])
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                ids = bytes(ids) + last
                 rows += [
                     (doc_id, number, start // 4, min(width, len(ids) - start) // 4, ids[start : start + width])
                     for number, start in enumerate(range(0, len(ids), width))

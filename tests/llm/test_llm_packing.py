@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from streamscore.llm import packing
+from streamscore.llm.arrow import cut
 from streamscore.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -23,27 +24,34 @@ def expected(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def ids_of(words, texts):
+    return [[*np.frombuffer(x, "<u4").tolist(), 0] for x in words.encode([t.encode() for t in texts])]
+
+
 def test_ids_are_those_of_the_library(library):
     words = packing.WordIds(open(PATH, encoding="utf-8").read())
     texts = [
-        "Don't WE'LL  x\t\n12 ab12", "é ́x \ńy", "ΑΣ Σ ΣΑΣ İ ẞ", "\x1c\x85　 a b",
-        "<|endoftext|>a <|startoftext|> <|end", "日本語" * 700, "", " \t", "\x00 \U0001f600", "a" * 5000,
+        "Don't WE'LL  x\t\n12 ab12", "é ́x \ńy", "ΑΣ Σ ΣΑΣ İ ẞ", "\x1c\x85　 a b",
+        "<|endoftext|>a <|startoftext|> <|end <|ENDOFTEXT|>, <|a|>x, <|endoftext|>a.", "日本語" * 700, "", " \t",
+        "\x00 \U0001f600 \x01 a\x01b \x01, x\x01", "a" * 5000, "It's, it's. 's, x', end... end.. (a), a.b. é, naïve,",
+        "J\u030c H\u0331! T\u0308, I\u0307. E\u0301; Straße: STRASSE?", ". , a, A, A. 1, x1. a,\u0301", "K K.",
     ]
-    for text in texts:
-        ids = np.frombuffer(words.encode(text.encode()), "<u4").tolist()
-        assert [*ids, 0] == expected(library, text), text
+    for _ in range(2):
+        for text, got in zip(texts, ids_of(words, texts), strict=True):
+            assert got == expected(library, text), text
 
 
-def test_long_texts_are_cut_at_white_space(library, monkeypatch):
+def test_long_texts_and_forgetting(library, monkeypatch):
     rng = random.Random(1)
-    text = "".join(rng.choice(["ab", "é", " ", "\n", "12,", "'s "]) for _ in range(4000))
+    parts = ["ab", "é", " ", "\n", "12,", "'s ", "Xy. ", "<|", "\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 4000))) for _ in range(40)]
+    monkeypatch.setattr(packing, "REMEMBERED", 9000)  # forgets again and again
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(packing, "cut", lambda data: cut(data, 50))
     words = packing.WordIds(open(PATH, encoding="utf-8").read())
-    parts = list(packing.cut(text.encode(), 50))
-    assert b"".join(parts) == text.encode() and len(parts) > 50
-    monkeypatch.setattr(packing, "REMEMBERED", 1000)  # forgets again and again
-    monkeypatch.setattr(packing, "cut", lambda data: iter(parts))
-    ids = np.frombuffer(words.encode(text.encode()), "<u4").tolist()
-    assert [*ids, 0] == expected(library, text)
+    for text, got in zip(texts, ids_of(words, texts), strict=True):
+        assert got == expected(library, text)
+        assert b"".join(cut(text.encode(), 50)) == text.encode()
 
 
 def check_packing(rows, capacity):
