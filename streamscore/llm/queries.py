@@ -98,6 +98,7 @@ def op4_suffix_dedup(spark, sf_dir):
         "n_removed",
         "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

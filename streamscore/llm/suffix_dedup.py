@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ from streamscore.llm.winnow import Rolling, unpacked
 from streamscore.sources.storage import stored
 
 WINDOW = 400
+# Passages of over 50 words: their words have three bytes on average at least.
+PASSAGE_WINDOW = 200
+PASSAGE_WORDS = 50
 GRAM = 128
 GROUP = 700
 CHUNK_BYTES = 1 << 19
@@ -238,19 +242,32 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> D
     return spans.remove(own, repeated_spans(own, window, group), _remove_bytes)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` whose text has lost all repeated strings, and n_chars, if there is one, to match.
+def without_repeats(docs: DataFrame, window: int = PASSAGE_WINDOW, words: int = PASSAGE_WORDS) -> DataFrame:
+    """`docs` whose text has lost all repeated passages, and n_chars, if there is one, to match.
 
-    Spans shrink to whole characters, so that the text stays valid; other columns
-    stay as they are, and a document that loses all of its text stays with an empty one.
+    A passage is a maximal run of strings of `window` bytes that also start anywhere else, if it
+    touches `words` words or more (words are runs of other than ASCII white space); shorter runs
+    stay. All copies go. Passages shrink to whole characters, so that the text stays valid; other
+    columns stay as they are, a null text becomes empty, and a document that loses all of its text
+    stays with an empty one. Rows are told apart as in `suffix_dedup`.
     """
     own = spans.identified(docs.drop(*spans.RESULTS))
-    rest = spans.remove(own, repeated_spans(own, window), _remove_characters)
+    rest = spans.remove(own, repeated_spans(own, window), partial(_remove_passages, words=words))
     text = F.col("kept").cast("string")
     rest = rest.withColumns({"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {}))
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _remove_passages(
+    text: str, starts: np.ndarray, ends: np.ndarray, words: int
+) -> tuple[int, int, bytes]:
+    if len(starts):
+        raw = text.encode()
+        long = np.array([len(raw[a:b].split()) >= words for a, b in zip(starts, ends)])
+        starts, ends = starts[long], ends[long]
+    return _remove_characters(text, starts, ends)
+
+
 def _remove_characters(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, bytes]:
     if not len(starts):
         return _remove_bytes(text, starts, ends)

@@ -26,6 +26,31 @@ def brute_bytes(texts, window):
     return out
 
 
+def brute_passages(texts, window, words):
+    """Texts without runs of repeated windows that touch so many words, in whole characters."""
+    raw = [(t or "").encode() for t in texts]
+    digest = lambda x, i: hashlib.blake2b(x[i : i + window], digest_size=16).digest()
+    count = Counter(digest(x, i) for x in raw for i in range(len(x) - window + 1))
+    out = []
+    for x in raw:
+        starts = [i for i in range(len(x) - window + 1) if count[digest(x, i)] > 1]
+        rest, at = [], 0
+        while starts:
+            a = b = starts[0]
+            while starts and starts[0] <= b:
+                b = starts.pop(0) + window
+            if len(x[a:b].split()) >= words:
+                inside = lambda i: i < len(x) and x[i] & 0xC0 == 0x80
+                while inside(a):
+                    a += 1
+                while inside(b):
+                    b -= 1
+                rest.append(x[at:a])
+                at = max(a, b)
+        out.append(b"".join([*rest, x[at:]]).decode())
+    return out
+
+
 def brute_words(rows, window):
     first = {}
     split = [(d, (t or "").encode().split()) for d, t in rows]
@@ -96,13 +121,36 @@ def test_suffix_dedup_of_odd_rows(make_docs, odd_rows):
 
 
 def test_text_without_repeats_is_valid(make_docs):
-    rows = [(0, "xé" * 300 + "q", "fr", "s"), (1, "yé" + "é" * 400, "fr", "s"), (2, None, None, None)]
+    rows = [(0, "x é" * 300 + "q", "fr", "s"), (1, "yé" + " é" * 400, "fr", "s"), (2, None, None, None)]
+    rows += [(3, "é" * 1000, "fr", "s")]  # repeated, but no passage
     out = {r.doc_id: r for r in without_repeats(make_docs(rows)).collect()}
     assert out[2].text == "" and all(r.n_chars == len(r.text) for r in out.values())
-    assert out[0].text.endswith("q") and set(out[1].text) <= {"y", "é"}
+    assert out[0].text.endswith("q") and set(out[1].text) <= {"y", "é", " "} and out[3].text == "é" * 1000
+    assert [out[k].text for k in range(4)] == brute_passages([t for _, t, _, _ in rows], 200, 50)
     assert list(out[0].asDict()) == make_docs(rows).columns
 
 
+@pytest.mark.parametrize("longest", [4, 7, 12])
+def test_every_shared_passage_of_over_50_words_goes(make_docs, longest):
+    rng = random.Random(longest)
+    word = lambda low=1: "".join(rng.choices("abcdeéß", k=rng.randint(low, longest)))
+    prose = lambda n, low=1: " ".join(word(low) for _ in range(n))
+    passages = [prose(rng.randint(52, 70), 3) for _ in range(30)]
+    short = [prose(20, 3) for _ in range(30)]  # shared, but not long enough to go
+    rows, clean = [], []
+    for k in range(90):
+        head, tail = prose(rng.randint(0, 200)), prose(rng.randint(0, 200))
+        rows.append((k, f"{head} . {passages[k % 30]} ; {tail}\n{short[k % 30]}", "en", "s"))
+    for k in range(90, 120):
+        clean.append((k, f"{prose(150)}\n{short[k % 30]}", "en", "s"))
+    out = {r.doc_id: r.text for r in without_repeats(make_docs(rows + clean).repartition(4)).collect()}
+    assert [out[k] for k in range(120)] == brute_passages([r[1] for r in rows + clean], 200, 50)
+    for k, text, *_ in rows:
+        inner = passages[k % 30].split()
+        assert not any(" ".join(inner[i : i + 30]) in out[k] for i in range(len(inner) - 29))
+    assert all(out[k] == text for k, text, *_ in clean)
+
+
 def test_substring_dedup_against_brute_force(make_docs):
     rows = similar_rows(2)
     got = {r.doc_id: r for r in substring_dedup(make_docs(rows).repartition(5), window=8).collect()}
