@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur more than once."""
+    """Documents without the passages of over 50 words that occur more than once."""
     prepare(spark)
     return without_repeats(docs)
 
