@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamscore.functions.scalar import count_if, money, money_sum
+from streamscore.functions.scalar import count_if, hour_of, money, money_sum
 from streamscore.operators.running import with_running
 from streamscore.schemas import CONVERSION
 from streamscore.sources.storage import literal_rows
@@ -69,7 +69,11 @@ def journeys(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     slices, each of at most `segment_rows` touchpoints, so no array grows without
     bound.
     """
-    touches = touchpoints(events)
+    return journey_slices(touchpoints(events), segment_rows)
+
+
+def journey_slices(touches: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """The slices of `journeys` out of `touchpoints`."""
     touch = F.struct(
         "touch_idx",
         "channel",
@@ -266,6 +270,126 @@ def time_decay_credit(touches: DataFrame, decay: float = 0.5) -> DataFrame:
     return _sum_credit(facts.withColumn("_credit", F.col("_value") * F.col("_share")))
 
 
+def _in_cells(events: DataFrame) -> DataFrame:
+    """Events with their position in the cell of their user and hour, and its touches."""
+    cell = F.struct("user_id", hour_of("event_ts").alias("hour_ts"))
+    numbered = with_running(
+        events.withColumn("_cell", cell),
+        "_cell",
+        "event_ts",
+        measures={"_idx": F.lit(1)},
+        totals={"cell_touches": F.count(F.lit(1))},
+        order=["event_ts", "event_id"],
+    )
+    return numbered.withColumn("_idx", F.col("_idx") - 1)
+
+
+def decay_cells(events: DataFrame, decay: float = 0.5) -> DataFrame:
+    """What time decay needs of every hour of a user: one row per channel.
+
+    `weight` is relative to the hour's last marketing touch, whose position in the hour is
+    `last`, so an hour is told apart from what comes before and after it: a touch that
+    enters it late changes this hour's rows alone, see `credit_from_cells`.
+    """
+    marketing = ~_converting()
+    idx = F.col("_idx")
+    in_minute, in_cell = Window.partitionBy("_cell", "_minute"), Window.partitionBy("_cell")
+    value = F.sum(F.when(_converting(), money("conversion_value")).otherwise(0))
+    per_minute = (
+        _in_cells(events)
+        .withColumn("_last", F.max(F.when(marketing, idx)).over(in_minute))
+        .withColumn("_weight", F.when(marketing, F.exp((idx - F.col("_last")) * F.lit(decay))))
+        .groupBy("_cell", "_minute", "channel")
+        .agg(
+            F.sum("_weight").alias("_weight"),
+            F.max("_last").alias("_last"),
+            F.count(F.lit(1)).alias("touches"),
+            count_if(_converting()).alias("conversions"),
+            value.cast("decimal(38,10)").alias("value"),
+            F.max("cell_touches").alias("cell_touches"),
+        )
+        .withColumn("last", F.max("_last").over(in_cell))
+    )
+    moved = F.col("_weight") * F.exp((F.col("_last") - F.col("last")) * F.lit(decay))
+    summed = per_minute.groupBy("_cell", "channel").agg(
+        F.sum("touches").alias("touches"),
+        F.sum("conversions").alias("conversions"),
+        F.sum("value").cast("decimal(38,10)").alias("value"),
+        F.sum(moved).alias("weight"),
+        F.max("last").alias("last"),
+        F.max("cell_touches").alias("cell_touches"),
+    )
+    return summed.select("_cell.user_id", "_cell.hour_ts", *summed.columns[1:])
+
+
+def _cell_starts(cells: DataFrame) -> DataFrame:
+    """One row per user and hour of converted users: where the hour starts in the journey."""
+    user = Window.partitionBy("user_id")
+    earlier = user.orderBy("hour_ts").rowsBetween(Window.unboundedPreceding, -1)
+    hours = cells.groupBy("user_id", "hour_ts").agg(
+        F.max("cell_touches").alias("_touches"),
+        F.max("last").alias("_last"),
+        F.sum("conversions").alias("_conversions"),
+        F.sum("value").alias("_value"),
+    )
+    placed = hours.select(
+        "user_id",
+        "hour_ts",
+        F.coalesce(F.sum("_touches").over(earlier), F.lit(0)).alias("_start"),
+        "_last",
+        F.sum("_touches").over(user).alias("touchpoint_count"),
+        F.sum("_conversions").over(user).alias("_conversions"),
+        F.sum("_value").over(user).cast("double").alias("conversion_value"),
+    )
+    return placed.filter(F.col("_conversions") > 0).drop("_conversions")
+
+
+def credit_from_cells(cells: DataFrame, decay: float = 0.5) -> DataFrame:
+    """Time-decay credit out of `decay_cells` made with the same `decay`.
+
+    Cells are brought to the user's last marketing touch by the number of touches between;
+    a user has one row per hour and channel here, however many touches there were.
+    """
+    user = Window.partitionBy("user_id")
+    starts = _cell_starts(cells)
+    at = F.col("_start") + F.col("_last")
+    starts = starts.withColumn("_behind", at - F.max(at).over(user))
+    shares = (
+        cells.join(starts, ["user_id", "hour_ts"])
+        .groupBy("user_id", "channel")
+        .agg(
+            F.sum(F.col("weight") * F.exp(F.col("_behind") * F.lit(decay))).alias("_weight"),
+            F.sum(F.col("touches") - F.col("conversions")).alias("_marketing"),
+            F.max("conversion_value").alias("_value"),
+        )
+        .withColumn("_share", F.col("_weight") / F.sum("_weight").over(user))
+        .filter(F.col("_marketing") > 0)
+    )
+    return _sum_credit(shares.withColumn("_credit", F.col("_value") * F.col("_share")))
+
+
+def touchpoints_from_cells(events: DataFrame, cells: DataFrame) -> DataFrame:
+    """`touchpoints` of some events, given the cells of all.
+
+    Positions count the whole journey, so the touches of one day can be numbered from the
+    events of that day.
+    """
+    rows = _in_cells(events.drop("conversion_value"))
+    rows = rows.withColumn("hour_ts", F.col("_cell.hour_ts"))
+    starts = _cell_starts(cells).drop("_last")
+    return rows.join(starts, ["user_id", "hour_ts"]).select(
+        "user_id",
+        "event_id",
+        "event_ts",
+        "channel",
+        "campaign_name",
+        "event_type",
+        (F.col("_start") + F.col("_idx")).alias("touch_idx"),
+        "touchpoint_count",
+        "conversion_value",
+    )
+
+
 def converted_users(events: DataFrame) -> DataFrame:
     """Touches, marketing touches and value of every user who converted."""
     return (

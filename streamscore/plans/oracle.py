@@ -681,6 +681,8 @@ where rn = 1"""
     sql["stream_campaign_performance"] = sql["campaign_performance"]
     sql["stream_reach_frequency"] = sql["reach_frequency"]
     sql["stream_attribution"] = sql["attr_linear"]
+    sql["stream_time_decay"] = sql["attr_time_decay"]
+    sql["stream_journeys"] = sql["journeys"]
     sql["stream_latest_events"] = sql["latest_per_key"]
     return sql
 

@@ -692,6 +692,32 @@ def stream_attribution(spark, sf_dir):
     return _rounded(credit, "attributed_revenue")
 
 
+def _decay_state(spark, sf_dir):
+    """Journeys kept by a stream; its first batch brings the latest events."""
+    touches = streams.touches_table(spark, shared_dir(spark, "touches"))
+    cells = streams.decay_cells_table(spark, shared_dir(spark, "cells"))
+    events = fx.enriched(spark, sf_dir)
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    for batch in reversed(range(len(fx.BATCHES))):
+        tables.append_events(fx.batch_of(events, batch), source)
+        streams.stream_time_decay(
+            tables.read_changes(spark, source, ENRICHED), touches, cells, progress, compact_every=2
+        )
+    return touches.read(), cells.read()
+
+
+@query
+def stream_time_decay(spark, sf_dir):
+    _, cells = _decay_state(spark, sf_dir)
+    return _rounded(at.credit_pct(at.credit_from_cells(cells)), "attributed_revenue")
+
+
+@query
+def stream_journeys(spark, sf_dir):
+    touches = at.touchpoints_from_cells(*_decay_state(spark, sf_dir))
+    return at.explode_touchpoints(at.journey_slices(touches))
+
+
 @query
 def stream_latest_events(spark, sf_dir):
     columns = ["user_id", "event_ts", "event_id", "event_type"]

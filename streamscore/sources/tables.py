@@ -120,21 +120,30 @@ def publish(rows: DataFrame, keys: Sequence[str], path: str, version: int) -> No
     """A clustered copy that replaces the served one as soon as it is complete.
 
     Every version has a folder of its own, so readers of the one before are not
-    disturbed; a version that is published again is replaced.
+    disturbed; a version that is published again is replaced, and versions older than
+    the one before are dropped.
     """
     write_serving(rows, keys, f"{path.rstrip('/')}/version={version}")
+    spark = rows.sparkSession
+    for old in _versions(spark, path)[:-2]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete copy that `publish` wrote."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions, the newest last."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [
+    return sorted(
         int(status.getPath().getName().removeprefix("version="))
         for status in files.listStatus(folder)
         if files.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{path.rstrip('/')}/version={max(versions)}")
+    )
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete copy that `publish` wrote."""
+    return spark.read.parquet(f"{path.rstrip('/')}/version={_versions(spark, path)[-1]}")
 
 
 def latest_per_key(rows: DataFrame, key: str, ts: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from streamscore.sources.increments import IncrementTable
 from streamscore.sources.ingest import parse_conversion, parse_marketing, unwrap_envelope
 from streamscore.sources.tables import latest_per_key, publish
 
-BACKFILL = -1
+DAY = "yyyyMMdd"
+# Hours of events that scores are made of.
+SCORED_HOURS = 168
 
 # Batches that readers of a stream table combine at most, unless a job says otherwise.
 COMPACT_EVERY = 32
@@ -83,26 +85,15 @@ def backfill_then_stream(
 ) -> StreamingQuery:
     """Fill a table from the files in `path` in one go, then follow new files.
 
-    The hand-over is by position in the source: the files that the backfill read are
-    listed beside the checkpoint, and the stream leaves out exactly these. When an
-    event happened plays no part, so late ones count whichever way they come. A
-    table that already holds something is not filled again.
+    The backfill is the first micro-batch of the job itself, over all files that are there.
+    So the hand-over is the source's own log in the checkpoint: a batch after the backfill
+    opens new files only, and nothing is listed or joined to leave the old ones out. When an
+    event happened plays no part, so late ones count whichever way they come. A job that has
+    a checkpoint goes on where it stopped.
     """
-    listed = f"{checkpoint.rstrip('/')}-backfilled"
-    if not table.holds_anything():
-        history = spark.read.schema(schema).parquet(path)
-        files = history.select(F.col("_metadata.file_path").alias("file")).distinct()
-        files.write.mode("overwrite").parquet(listed)
-        done = spark.read.parquet(listed)
-        table.write(prepare(_of_files(history, done, "left_semi"), BACKFILL), BACKFILL)
-    done = spark.read.parquet(listed)
-    new = _of_files(spark.readStream.schema(schema).parquet(path), done, "left_anti")
-    return maintain(new, table, prepare, checkpoint, every)
-
-
-def _of_files(rows: DataFrame, files: DataFrame, how: str) -> DataFrame:
-    placed = rows.withColumn("file", F.col("_metadata.file_path"))
-    return placed.join(files, "file", how).drop("file")
+    files = spark.readStream.schema(schema).parquet(path)
+    filled = maintain(files, table, prepare, checkpoint)
+    return filled if every is None else maintain(files, table, prepare, checkpoint, every)
 
 
 def stream_ingest(
@@ -178,7 +169,9 @@ def stream_dedup(
 
 
 def unified_table(spark: SparkSession, path: str) -> IncrementTable:
-    return IncrementTable(spark, path, UNIFIED, combine=dedup_latest)
+    """Newest copies of events, in folders by the day of the event."""
+    day = F.date_format("event_ts", DAY)
+    return IncrementTable(spark, path, UNIFIED, combine=dedup_latest, part=day)
 
 
 def stream_unify(
@@ -225,6 +218,7 @@ def stream_pipeline(
     checkpoint: str,
     every: str | None = None,
     score: Callable[[DataFrame, datetime | str], DataFrame] = propensity_scores,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Raw events to served scores in one job, refreshed by every micro-batch.
 
@@ -232,12 +226,25 @@ def stream_pipeline(
     enriched and aggregated into features, `score` scores them (the fixed scorer, or a
     registered model), and the scores replace the served ones without a gap for
     readers. A batch that is run again ends in the same scores.
+
+    `unified` is cut by day, and a micro-batch opens the days that the last seven days
+    touch and later ones: a copy is only ever replaced by one with a later time, which
+    lies in these days, too. So what a batch reads does not grow with the history.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         as_of = clock(batch_id)
         unified.write(dedup_latest(batch), batch_id)
-        features = rolling_user_features(enrich(unified.read(), campaigns), as_of)
+        recent = unified.read(since=first_day(as_of, SCORED_HOURS))
+        features = rolling_user_features(enrich(recent, campaigns), as_of)
         publish(score(features, as_of), ["score_bucket", "user_id"], serving, batch_id)
+        if len(unified.batches()) >= compact_every:
+            unified.compact()
 
     return run(events.writeStream.foreachBatch(on_batch), checkpoint, every)
+
+
+def first_day(as_of: datetime | str, hours: int) -> str:
+    """The day folder in which a horizon starts."""
+    moment = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    return (moment - timedelta(hours=hours)).strftime("%Y%m%d")

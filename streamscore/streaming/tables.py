@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from streamscore.functions.scalar import hours_before, money, money_sum, ntz
-from streamscore.operators.attribution import add_journey_channels, journey_channels
+from streamscore.functions.scalar import hour_of, hours_before, money, money_sum, ntz
+from streamscore.operators.attribution import (
+    add_journey_channels,
+    decay_cells,
+    journey_channels,
+)
 from streamscore.operators.campaigns import (
     add_campaign_user_hours,
     campaign_user_hours,
@@ -24,7 +28,7 @@ from streamscore.operators.features import (
 from streamscore.schemas import ENRICHED, USER_FEATURES
 from streamscore.sources.increments import IncrementTable
 from streamscore.sources.storage import empty
-from streamscore.streaming.jobs import maintain
+from streamscore.streaming.jobs import COMPACT_EVERY, maintain, run
 
 # How a time-partitioned table is cut: in Spark's notation and in Python's.
 PART_FORMATS = {"hour": ("yyyyMMddHH", "%Y%m%d%H"), "day": ("yyyyMMdd", "%Y%m%d")}
@@ -59,7 +63,7 @@ JOURNEY_CHANNELS = T.StructType(
         ENRICHED["channel"],
         T.StructField("touches", T.LongType()),
         T.StructField("conversions", T.LongType()),
-        T.StructField("value", T.DecimalType(28, 2)),
+        T.StructField("value", T.DecimalType(38, 10)),
     ]
     + [
         T.StructField(c, _POSITION)
@@ -67,6 +71,13 @@ JOURNEY_CHANNELS = T.StructType(
     ]
 )
 
+DECAY_CELLS = T.StructType(
+    [ENRICHED["user_id"], _HOUR, ENRICHED["channel"]]
+    + [T.StructField(c, T.LongType()) for c in ("touches", "conversions")]
+    + [T.StructField("value", T.DecimalType(38, 10)), T.StructField("weight", T.DoubleType())]
+    + [T.StructField(c, T.LongType()) for c in ("last", "cell_touches")]
+)
+
 
 def user_features_table(
     spark: SparkSession, path: str, clock: Callable[[int], datetime | str]
@@ -82,6 +93,7 @@ def user_features_table(
         USER_FEATURES,
         follow=lambda state, delta, i: merge_user_features(state, delta, clock(i)),
         increment=feature_delta(empty(spark, ENRICHED), "1970-01-01 00:00:00").schema,
+        key=["user_id"],
     )
 
 
@@ -285,3 +297,61 @@ def stream_journeys(
         checkpoint=checkpoint,
         every=every,
     )
+
+
+def touches_table(spark: SparkSession, path: str, part: str = "day") -> IncrementTable:
+    """Enriched events by day, as they came."""
+    return IncrementTable(
+        spark,
+        path,
+        ENRICHED,
+        combine=lambda rows: rows.drop("_batch"),
+        part=_time_part("event_ts", part),
+    )
+
+
+def decay_cells_table(spark: SparkSession, path: str, part: str = "day") -> IncrementTable:
+    """Cells of `decay_cells`, of which the newest per user and hour count."""
+    return IncrementTable(
+        spark, path, DECAY_CELLS, combine=_newest_cells, part=_time_part("hour_ts", part)
+    )
+
+
+def _newest_cells(rows: DataFrame) -> DataFrame:
+    newest = F.max("_batch").over(Window.partitionBy("user_id", "hour_ts"))
+    return rows.withColumn("_newest", newest).filter(F.col("_batch") == F.col("_newest"))
+
+
+def stream_time_decay(
+    events: DataFrame,
+    touches: IncrementTable,
+    cells: IncrementTable,
+    checkpoint: str,
+    every: str | None = None,
+    decay: float = 0.5,
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Keep journeys and the cells that time decay is made of; late events count.
+
+    A micro-batch stores its touches, and then makes the cells of the users and hours it
+    touched anew out of all touches of these hours. It reads the days that its events lie
+    in and nothing before or after them. `credit_from_cells` and `touchpoints_from_cells`
+    read the result. `touches` and `cells` must be cut by day. A batch that is run again
+    ends in the same rows.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        touches.write(batch, batch_id)
+        new = touches.rows_of(batch_id).select(
+            "user_id", hour_of("event_ts").alias("hour_ts"), _time_part("event_ts", "day").alias("day")
+        )
+        days = [r["day"] for r in new.select("day").distinct().collect()]  # calendar days
+        touched = new.select("user_id", "hour_ts").distinct()
+        rows = touches.read(parts=days).withColumn("hour_ts", hour_of("event_ts"))
+        rows = rows.join(touched, ["user_id", "hour_ts"], "left_semi").drop("hour_ts")
+        cells.write(decay_cells(rows, decay), batch_id)
+        for table in (touches, cells):
+            if len(table.batches()) >= compact_every:
+                table.compact()
+
+    return run(events.writeStream.foreachBatch(on_batch), checkpoint, every)

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from streamscore.operators import attribution as at
 from streamscore.operators import features as ft
 from streamscore.plans import fixtures as fx
 from streamscore.schemas import ENRICHED, UNIFIED
@@ -92,7 +93,7 @@ def test_a_batch_that_died_half_way_does_not_count(spark, tmp_path):
     table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed)
     table.write(spark.createDataFrame([("a", 1)], KEYED), 0)
     table.write(spark.createDataFrame([("a", 10)], KEYED), 1)
-    (tmp_path / "t" / "batches" / "batch=1" / "_SUCCESS").unlink()
+    (tmp_path / "t" / "_level=0" / "_run=1_1" / "_SUCCESS").unlink()
     assert [r["n"] for r in table.read().collect()] == [1]
     table.write(spark.createDataFrame([("a", 10)], KEYED), 1)
     assert [r["n"] for r in table.read().collect()] == [11]
@@ -106,12 +107,77 @@ def test_compaction_keeps_the_content_and_drops_what_is_replaced(spark, tmp_path
         if batch in (1, 3):
             table.compact()
     assert table.batches() == [4, 5]
-    assert sorted(p.name for p in (tmp_path / "t" / "batches").iterdir()) == [f"batch={b}" for b in (2, 3, 4, 5)]
+    assert sorted(p.name for p in (tmp_path / "t" / "_level=0").iterdir()) == [f"_run={b}_{b}" for b in (2, 3, 4, 5)]
+    assert table.runs() == [(1, 0, 1), (1, 2, 3), (0, 4, 4), (0, 5, 5)]
     assert {r["key"]: r["n"] for r in table.read().collect()} == {"a": 6, "k0": 3, "k1": 3}
     assert [r["n"] for r in table.read(parts=["k0"]).collect()] == [3]
     assert IncrementTable(spark, str(tmp_path / "none"), schema, combine=summed).read().count() == 0
 
 
+def rows_in(folder):
+    """Rows of the Parquet files of each run, by the run's folder."""
+    import pyarrow.parquet as pq
+
+    runs = {}
+    for file in folder.rglob("*.parquet"):
+        run = "/".join(p for p in file.parts if p.startswith(("_level=", "_run=")))
+        runs[run] = runs.get(run, 0) + pq.read_metadata(file).num_rows
+    return runs
+
+
+def test_a_compaction_writes_what_few_batches_brought(spark, tmp_path):
+    """Rows written per compaction do not grow with the table, but for a merge of whole levels."""
+    schema = spark.createDataFrame([], KEYED).schema
+    table = IncrementTable(spark, str(tmp_path / "t"), schema, combine=summed, fan=4)
+    written = []
+    for batch in range(32):
+        key = F.concat(F.lit(f"k{batch}-"), F.col("id")).alias("key")
+        table.write(spark.range(10).select(key, F.lit(1).alias("n")).coalesce(1), batch)
+        if batch % 2:
+            before = set(table._runs())
+            table.compact()
+            new = rows_in(tmp_path / "t")
+            made = sorted(r for r in table._runs() if r not in before)
+            written.append([new[f"_level={r.level}/_run={r.first}_{r.last}"] for r in made])
+    assert table.read().count() == 320 and table.read().agg(F.sum("n")).first()[0] == 320
+    # Two batches each time; four runs of level 1 every fourth time, of level 2 every sixteenth.
+    assert [w[0] for w in written] == [20] * 16
+    assert [len(w) for w in written] == [1, 1, 1, 2, 1, 1, 1, 2, 1, 1, 1, 2, 1, 1, 1, 3]
+    assert [w[1:] for w in written if len(w) > 1] == [[80], [80], [80], [80, 320]]
+    assert table.runs() == [(3, 0, 31)]
+
+
+def test_followed_tables_compact_the_touched_keys_only(spark, tmp_path):
+    """Order matters here: a later value replaces, and the number of changes adds up."""
+    schema = spark.createDataFrame([], "key string, n long, changes long").schema
+
+    def follow(state, rows, batch):
+        joined = state.alias("s").join(rows.alias("r"), "key", "full")
+        changes = F.coalesce("s.changes", F.lit(0)) + F.when(F.col("r.n").isNull(), 0).otherwise(1)
+        return joined.select("key", F.coalesce("r.n", "s.n").alias("n"), changes.alias("changes"))
+
+    table = IncrementTable(
+        spark,
+        str(tmp_path / "t"),
+        schema,
+        follow=follow,
+        key=["key"],
+        increment=spark.createDataFrame([], KEYED).schema,
+        fan=2,
+    )
+    want = {}
+    for batch in range(12):
+        rows = [(f"k{k}", batch) for k in range(100 if batch == 0 else 5 + batch)]
+        want |= {k: (n, want.get(k, (0, 0))[1] + 1) for k, n in rows}
+        table.write(spark.createDataFrame(rows, KEYED), batch)
+        if batch % 2:
+            table.compact()
+        got = {r["key"]: (r["n"], r["changes"]) for r in table.read().collect()}
+        assert got == want
+    sizes = rows_in(tmp_path / "t")
+    assert sizes["_level=1/_run=10_11"] == 16  # and not the 100 keys of the state
+
+
 def test_jobs_compact_as_they_go(spark, tmp_path):
     source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
     schema = spark.createDataFrame([], KEYED).schema
@@ -283,3 +349,149 @@ def test_ingest_lands_every_message_once(spark, sf_dir, tmp_path):
         assert valid.count() + bad.count() == (arrival + 1) * messages.count()
     assert bad.count() > 0 and bad.filter(F.col("value").isNull()).count() == 0
     assert valid.filter(F.col("event_ts").isNull()).count() == 0
+
+
+def test_backfilled_files_are_not_opened_again(spark, stored, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    events = spark.read.schema(ENRICHED).parquet(stored)
+    table = st.tiles_table(spark, str(tmp_path / "tiles"))
+    follow = lambda: jobs.backfill_then_stream(
+        spark, source, ENRICHED, table, lambda rows, _: st.feature_tiles(rows), progress
+    )
+    tables.append_events(fx.batch_of(events, 0).repartition(3), source)
+    assert [p["numInputRows"] for p in follow().recentProgress if p["numInputRows"]] == [
+        fx.batch_of(events, 0).count()
+    ]
+    for file in (tmp_path / "in").glob("part-*"):
+        file.write_bytes(b"this file must not be opened again")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    tables.append_events(fx.batch_of(events, 1), source)
+    follow()
+    both = fx.batch_of(events, 0).unionByName(fx.batch_of(events, 1))
+    assert rows_of(table.read()) == rows_of(st.feature_tiles(both))
+
+
+def unified_row(i, ts, value=1.0):
+    return (f"e{i}", f"U{i % 3}", "CN", "C001", datetime.fromisoformat(ts), value)
+
+
+def test_a_refresh_opens_the_days_of_its_horizon_only(spark, tmp_path):
+    source, progress, serving = (str(tmp_path / n) for n in ("in", "progress", "serving"))
+    table = jobs.unified_table(spark, str(tmp_path / "unified"))
+
+    def refresh(rows, as_of):
+        tables.append_events(spark.createDataFrame(rows, UNIFIED), source)
+        jobs.stream_pipeline(
+            tables.read_changes(spark, source, UNIFIED),
+            table,
+            fx.campaigns(spark),
+            serving,
+            clock=lambda i: as_of,
+            checkpoint=progress,
+            compact_every=10,
+        )
+
+    early = [unified_row(i, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(9)]
+    refresh(early, "2024-01-03 12:00:00")
+    old = list((tmp_path / "unified").rglob("_part=2024010[123]/*.parquet"))
+    assert len(old) >= 3
+    for file in old:
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(b"this file must not be opened again")
+    late = [unified_row(20, "2024-01-20 10:00:00"), unified_row(3, "2024-01-19 10:00:00", 5.0)]
+    refresh(late, datetime(2024, 1, 20, 12))
+    refresh([unified_row(20, "2024-01-20 11:00:00", 2.0)], "2024-01-20 12:00:00")
+    scores = {r["user_id"] for r in tables.read_published(spark, serving).collect()}
+    assert scores == {"U0", "U2"}
+    assert sorted(p.name for p in (tmp_path / "serving").iterdir()) == ["version=1", "version=2"]
+    with pytest.raises(Exception, match="must not be opened|not a Parquet|CANNOT_READ"):
+        table.read().collect()
+
+
+def test_money_below_a_cent_is_kept_in_streams(spark, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    table = st.journey_channels_table(spark, str(tmp_path / "t"))
+    for k in range(3):
+        row = (f"e{k}", "U1", "CN", "C001", "x", "display", datetime(2024, 1, 1, k), 0.004)
+        tables.append_events(spark.createDataFrame([row], ENRICHED), source)
+        st.stream_journeys(tables.read_changes(spark, source, ENRICHED), table, progress)
+        table.compact()
+    assert float(table.read().first()["value"]) == 0.012
+
+
+def decay_tables(spark, tmp_path):
+    return st.touches_table(spark, str(tmp_path / "touches")), st.decay_cells_table(spark, str(tmp_path / "cells"))
+
+
+def close(a, b):
+    a, b = ({r["channel"]: (r["conversions"], r["attributed_revenue"]) for r in x.collect()} for x in (a, b))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-9)
+
+
+def test_streamed_time_decay_takes_late_touches(spark, stored, tmp_path):
+    """Every prefix of batches in any order gives what the batch operator gives."""
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    touches, cells = decay_tables(spark, tmp_path)
+    events = spark.read.schema(ENRICHED).parquet(stored)
+    number = F.pmod(F.xxhash64("event_id"), F.lit(4))  # neighbours in time come apart
+    for batch in range(4):
+        tables.append_events(events.filter(number == batch), source)
+        st.stream_time_decay(
+            tables.read_changes(spark, source, ENRICHED), touches, cells, progress, compact_every=2
+        )
+        so_far = events.filter(number <= batch)
+        close(at.credit_from_cells(cells.read()), at.attribute(so_far, "time_decay"))
+    columns = ["user_id", "event_id", "touch_idx", "touchpoint_count", "conversion_value", "channel", "event_type"]
+    numbered = at.touchpoints_from_cells(touches.read(), cells.read())
+    assert rows_of(numbered, columns) == rows_of(at.touchpoints(events), columns)
+    day = F.to_date("event_ts") == F.lit("2024-01-15").cast("date")
+    some = at.touchpoints_from_cells(touches.read(parts=["20240115"]), cells.read())
+    assert rows_of(some, columns) == rows_of(at.touchpoints(events).filter(day), columns)
+
+
+def touch(i, user, ts, kind="CL", channel="display", value=None):
+    return (f"e{i:03d}", user, kind, "C001", "x", channel, datetime.fromisoformat(ts), value)
+
+
+def test_decay_cells_of_ties_and_odd_rows(spark, tmp_path):
+    touches, cells = decay_tables(spark, tmp_path)
+    same = "2024-01-01 10:00:00"
+    batches = [
+        [touch(5, "U1", same), touch(9, "U1", same, "CN", "email", 10.0), touch(7, "U2", same)],
+        [touch(1, "U1", same, "IM", None), touch(6, "U1", same, "CL", "search"), touch(2, "U3", same, "CN", "x", 3.0)],
+        [touch(3, "U2", "2023-12-31 23:59:59", "CN", "email", None), touch(8, "U1", "2024-01-01 10:59:59.999", "PS")],
+        [],
+        [touch(k + 20, "U1", f"2024-01-02 10:{k:02d}:00", "CN", "email", 0.004) for k in range(40)],
+    ]
+    seen = []
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    for rows in batches:
+        seen += rows
+        tables.append_events(spark.createDataFrame(rows, ENRICHED), source)
+        st.stream_time_decay(tables.read_changes(spark, source, ENRICHED), touches, cells, progress)
+        events = spark.createDataFrame(seen, ENRICHED)
+        close(at.credit_from_cells(cells.read()), at.attribute(events, "time_decay"))
+    assert at.credit_from_cells(st.decay_cells_table(spark, str(tmp_path / "none")).read()).count() == 0
+
+
+def test_a_touch_changes_its_own_hour_only(spark, stored, tmp_path):
+    touches, cells = decay_tables(spark, tmp_path)
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    run = lambda: st.stream_time_decay(
+        tables.read_changes(spark, source, ENRICHED), touches, cells, progress
+    )
+    events = spark.read.schema(ENRICHED).parquet(stored)
+    tables.append_events(events, source)
+    run()
+    first = events.orderBy("event_ts", "event_id").first()
+    late = [("late", *tuple(first)[1:])]
+    tables.append_events(spark.createDataFrame(late, ENRICHED), source)
+    run()
+    changed = rows_in(tmp_path / "cells")["_level=0/_run=1_1"]
+    hour = F.date_trunc("hour", "event_ts") == F.date_trunc("hour", F.lit(first["event_ts"]))
+    own = events.filter((F.col("user_id") == first["user_id"]) & hour)
+    assert changed == own.select("channel").distinct().count()
+    both = events.unionByName(spark.createDataFrame(late, ENRICHED))
+    close(at.credit_from_cells(cells.read()), at.attribute(both, "time_decay"))
