@@ -141,19 +141,15 @@ def campaign_summary(performance: DataFrame) -> DataFrame:
 
 
 def metrics_json(summary: DataFrame) -> DataFrame:
-    """The campaign summary as one JSON document, most revenue first.
+    """The campaign summary as one JSON document per campaign and channel.
 
-    One row per campaign is gathered, which the campaign dimension bounds.
+    A caller who needs them in one text joins them by `revenue`; nothing is gathered here.
     """
     record = F.struct(
-        (-F.col("revenue")).alias("_order"),
-        *["campaign_name", "channel", "impressions", "clicks", "conversions", "revenue", "ctr", "conv_rate"],
-    )
-    ordered = F.sort_array(F.collect_list(record))
-    plain = F.transform(ordered, lambda r: r.dropFields("_order"))
-    return summary.agg(
-        F.to_json(plain, {"ignoreNullFields": "false"}).alias("metrics")
+        *["campaign_name", "channel", "impressions", "clicks", "conversions", "revenue", "ctr", "conv_rate"]
     )
+    metrics = F.to_json(record, {"ignoreNullFields": "false"}).alias("metrics")
+    return summary.select("campaign_name", "channel", "revenue", metrics)
 
 
 def reach_report(reach: DataFrame) -> DataFrame:

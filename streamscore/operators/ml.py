@@ -11,13 +11,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from streamscore.functions.scalar import count_if, ratio, score_bucket
 from streamscore.operators.features import MODEL_FEATURES, training_frame
 from streamscore.sources.registry import ModelRegistry
+from streamscore.sources.storage import shared_dir
 
 SEED = 42
 TRAIN_SHARE = 0.7
@@ -110,10 +111,18 @@ def evaluate(predictions: DataFrame) -> dict[str, float]:
     return {"roc_auc": auc, "accuracy": scores["accuracy"], "f1": scores["f1"]}
 
 
+def _cut_lineage(spark: SparkSession) -> None:
+    """Boosting checkpoints every few rounds, but only if the session has a folder for it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark, "checkpoints"))
+
+
 def train_candidates(
     training: DataFrame, pipelines: dict[str, Pipeline]
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit all candidates on the train rows; models and leaderboard by AUC."""
+    _cut_lineage(training.sparkSession)
     train = training.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
     test = training.filter(F.col("split") == "test").persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -552,14 +552,13 @@ from (select cast(sum(impressions) as bigint) as total_impressions, cast(sum(cli
     sql["reach_users"] = _query("select count(distinct user_id) as reach_users from ev")
     sql["campaign_summary"] = _query("select * from summary", _SUMMARY)
     sql["metrics_json"] = _query(
-        """select '[' || string_agg(
-         '{"campaign_name":' || coalesce('"' || campaign_name || '"', 'null')
+        """select campaign_name, channel, revenue,
+       '{"campaign_name":' || coalesce('"' || campaign_name || '"', 'null')
          || ',"channel":' || coalesce('"' || channel || '"', 'null')
          || ',"impressions":' || impressions || ',"clicks":' || clicks
          || ',"conversions":' || conversions || ',"revenue":' || revenue
          || ',"ctr":' || coalesce(cast(ctr as varchar), 'null')
-         || ',"conv_rate":' || coalesce(cast(conv_rate as varchar), 'null') || '}',
-         ',' order by revenue desc, campaign_name nulls first, channel nulls first) || ']' as metrics
+         || ',"conv_rate":' || coalesce(cast(conv_rate as varchar), 'null') || '}' as metrics
 from summary""",
         _SUMMARY,
     )
@@ -642,6 +641,18 @@ from (select campaign_id as model, cast(0.9 as double) + (count(*) % 3) * cast(0
       from unified group by campaign_id)
 order by case when roc_auc >= 0.999 then 1 else 0 end, f1 desc, roc_auc desc, model limit 1"""
     )
+    sql["registry_scores"] = _query(
+        """select user_id, case when fixed > nobody then round(propensity_score, 6) else 0.0 end as propensity_score,
+       case when fixed > nobody then score_bucket else 'LOW' end as score_bucket,
+       case when fixed > nobody then 'V2' else 'V1' end as version,
+       case when fixed > nobody then 'fixed' else 'nobody' end as champion,
+       round(greatest(fixed, nobody), 6) as accuracy, cast(2 as bigint) as runs
+from scores, (
+  select avg(case when (propensity_score >= 0.5) = (conversions_7d > 0) then 1.0 else 0.0 end) as fixed,
+         avg(case when conversions_7d > 0 then 0.0 else 1.0 end) as nobody
+  from scores join rolling using (user_id))""",
+        _SCORES,
+    )
     sql["registry_versions"] = _query(
         "select 'V' || cast(max(n) filter (where n % 3 < 2) * 1000003 + 1 as varchar) as next_version from fx_base"
     )

@@ -6,14 +6,17 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamscore.functions import scalar
+from streamscore.functions.scalar import score_bucket
 from streamscore.operators import attribution as at
-from streamscore.operators import audience, campaigns, features, ml, monitor, reports, scoring
+from streamscore.operators import audience, campaigns, compiled, features, ml, monitor, reports, scoring
 from streamscore.plans import fixtures as fx
 from streamscore.schemas import ENRICHED, PAID_SEARCH, UNIFIED
 from streamscore.session import prepare
@@ -511,7 +514,37 @@ def user_propensity(spark, sf_dir):
     state = _features(spark, sf_dir)
     registry = ModelRegistry(spark, shared_dir(spark, "registry"))
     ml.retrain(state, registry, run_tag="weekly")
-    return ml.user_propensity(state, registry.load_default())
+    probability = compiled.compiled_probability(spark, registry.model_path())
+    return compiled.compiled_scores(state, probability)
+
+
+@query
+def registry_scores(spark, sf_dir):
+    """Two models are logged, saved and registered; the more accurate one serves."""
+    registry = ModelRegistry(spark, shared_dir(spark, "registry"))
+    rolling = features.rolling_user_features(fx.enriched(spark, sf_dir), fx.AS_OF)
+    z = " + ".join(f"{w}D * coalesce({c}, 0)" for c, w in scoring.COEFFICIENTS.items())
+    scorers = {"nobody": "0D", "fixed": f"1D / (1D + exp(-({scoring.INTERCEPT}D + {z})))"}
+    accuracy = {}
+    for name, sql in scorers.items():
+        step = SQLTransformer(statement=f"SELECT *, {sql} AS propensity_score FROM __THIS__")
+        model = Pipeline(stages=[step]).fit(rolling)
+        right = (F.col("propensity_score") >= 0.5) == (F.col("conversions_7d") > 0)
+        share = model.transform(rolling).agg(F.avg(right.cast("double")).alias("x")).first().x
+        metrics = {"roc_auc": 0.5, "accuracy": share, "f1": share}
+        registry.log_run(name, {"scorer": sql}, metrics)
+        accuracy[registry.register(model, name, metrics, rolling.count(), "registry")] = share
+    registry.promote("V1")
+    if accuracy["V2"] > accuracy["V1"]:
+        registry.promote("V2")
+    served = registry.versions().filter("is_default").select("version", "champion", "accuracy")
+    logged = registry.runs().agg(F.count("*").alias("runs"))
+    scored = registry.load_default().transform(rolling)
+    scored = scored.withColumn("score_bucket", score_bucket("propensity_score"))
+    rows = scored.select("user_id", "propensity_score", "score_bucket").crossJoin(
+        F.broadcast(served.crossJoin(logged))  # one row
+    )
+    return _rounded(rows, "propensity_score", "accuracy")
 
 
 # Streaming

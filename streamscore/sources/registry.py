@@ -84,14 +84,18 @@ class ModelRegistry:
         )
         return latest.first()["version"]
 
+    def model_path(self, version: str | None = None) -> str:
+        """Folder of a version's saved pipeline, of the default one if none is given."""
+        version = version or self.default_version()
+        if version is None:
+            raise LookupError("no version has been promoted")
+        return f"{self.path}/models/{version}"
+
     def load(self, version: str) -> PipelineModel:
-        return PipelineModel.load(f"{self.path}/models/{version}")
+        return PipelineModel.load(self.model_path(version))
 
     def load_default(self) -> PipelineModel:
-        version = self.default_version()
-        if version is None:
-            raise LookupError("no version has been promoted")
-        return self.load(version)
+        return PipelineModel.load(self.model_path())
 
     def log_run(self, run: str, params: dict[str, str], metrics: dict[str, float]) -> None:
         self._append("runs", (run, params, metrics, None), RUNS, stamp="logged_at")

@@ -111,6 +111,48 @@ def test_retraining_registers_promotes_and_scores(spark, features, tmp_path):
     assert means[True] > means[False] + 0.3
 
 
+@pytest.mark.parametrize("family", ["logreg_reg", "random_forest", "gbt_fast", "gbt_slow"])
+def test_compiled_models_score_like_the_saved_pipeline(spark, features, tmp_path, family):
+    from pyspark.ml import PipelineModel
+
+    from streamscore.operators import compiled
+
+    training = ml.training_frame(features)
+    pipeline = ml.candidates(300, rounds=12, trees=25)[family]
+    path = str(tmp_path / "model")
+    pipeline.fit(training).save(path)
+    probability = compiled.compiled_probability(spark, path)
+    got = compiled.compiled_scores(features, probability)
+    want = ml.user_propensity(features, PipelineModel.load(path))
+    assert got.columns == want.columns and got.schema["propensity_score"].dataType.typeName() == "double"
+    want = {r["user_id"]: r for r in want.collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) == 300
+    for row in rows:
+        assert row["propensity_score"] == pytest.approx(want[row["user_id"]]["propensity_score"], abs=1e-12)
+        assert row["score_bucket"] == want[row["user_id"]]["score_bucket"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "Python" not in plan
+    odd = features.limit(2).withColumn("clicks_7d", F.lit(None).cast("long"))
+    odd = compiled.compiled_scores(odd, probability).collect()
+    assert [(r["propensity_score"], r["score_bucket"]) for r in odd] == [(None, "LOW")] * 2
+
+
+def test_pipelines_that_cannot_be_compiled(spark, features, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+
+    from streamscore.operators import compiled
+
+    for name, stage in (
+        ("sql", SQLTransformer(statement="SELECT 1 AS x FROM __THIS__")),
+        ("none", VectorAssembler(inputCols=["clicks_7d"], outputCol="f")),
+    ):
+        Pipeline(stages=[stage]).fit(features).save(str(tmp_path / name))
+        with pytest.raises(ValueError):
+            compiled.compiled_probability(spark, str(tmp_path / name))
+
+
 def log_of(spark, rows):
     return spark.createDataFrame(
         rows, "predicted_score double, predicted_label int, actual_converted int, ts string"
