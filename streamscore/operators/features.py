@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +116,16 @@ def merge_user_features(
     )
 
 
-def window_measures(as_of, event_type: Column, event_ts: Column, weight: Column) -> list[Column]:
-    """The windowed features as aggregates; every row counts `weight` times."""
+def window_measures(
+    within: Callable[[int], Column], event_type: Column, weight: Column
+) -> list[Column]:
+    """The windowed features as aggregates; every row counts `weight` times.
+
+    `within` gives the condition that a row lies in the window of so many hours.
+    """
     measures = []
     for name, (code, hours) in WINDOWED.items():
-        inside = event_ts >= hours_before(as_of, hours)
+        inside = within(hours)
         if code is not None:
             inside &= event_type == code
         measures.append(
@@ -133,7 +140,9 @@ def rolling_user_features(events: DataFrame, as_of) -> DataFrame:
         (F.col("event_ts") >= hours_before(as_of, 168)) & (F.col("event_ts") <= ntz(as_of))
     )
     return recent.groupBy("user_id").agg(
-        *window_measures(as_of, F.col("event_type"), F.col("event_ts"), F.lit(1))
+        *window_measures(
+            lambda hours: F.col("event_ts") >= hours_before(as_of, hours), F.col("event_type"), F.lit(1)
+        )
     )
 
 

@@ -688,6 +688,8 @@ where rn = 1"""
     sql["stream_user_features"] = sql["merge_user_features"]
     sql["stream_tiles"] = sql["rolling_features"]
     sql["stream_tiles_watermark"] = sql["rolling_features"]
+    sql["stream_tile_levels"] = sql["rolling_features"]
+    sql["stream_online_levels"] = sql["online_features"]
     sql["stream_online_features"] = sql["online_features"]
     sql["stream_campaign_performance"] = sql["campaign_performance"]
     sql["stream_reach_frequency"] = sql["reach_frequency"]

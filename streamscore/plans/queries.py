@@ -691,6 +691,28 @@ def stream_online_features(spark, sf_dir):
     return streams.online_from_tiles(table.read(), fx.AS_OF)
 
 
+def _levels(spark, sf_dir):
+    levels = streams.tile_levels(spark, shared_dir(spark, "levels"))
+    source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
+    events = fx.enriched(spark, sf_dir)
+    for batch in reversed(range(len(fx.BATCHES))):
+        tables.append_events(fx.batch_of(events, batch), source)
+        changes = tables.read_changes(spark, source, ENRICHED)
+        streams.stream_tile_levels(changes, levels, progress, compact_every=2)
+    return levels
+
+
+@query
+def stream_tile_levels(spark, sf_dir):
+    """Windowed features from minute, hour and day tiles."""
+    return streams.features_from_levels(_levels(spark, sf_dir), fx.AS_OF)
+
+
+@query
+def stream_online_levels(spark, sf_dir):
+    return streams.online_from_levels(_levels(spark, sf_dir), fx.AS_OF)
+
+
 def _user_hours(spark, sf_dir) -> DataFrame:
     user_hours = streams.user_hours_table(spark, shared_dir(spark, "user_hours"))
     events = fx.enriched(spark, sf_dir)

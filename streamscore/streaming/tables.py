@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -31,7 +31,16 @@ from streamscore.sources.storage import empty
 from streamscore.streaming.jobs import COMPACT_EVERY, maintain, run
 
 # How a time-partitioned table is cut: in Spark's notation and in Python's.
-PART_FORMATS = {"hour": ("yyyyMMddHH", "%Y%m%d%H"), "day": ("yyyyMMdd", "%Y%m%d")}
+PART_FORMATS = {
+    "hour": ("yyyyMMddHH", "%Y%m%d%H"),
+    "day": ("yyyyMMdd", "%Y%m%d"),
+    "month": ("yyyyMM", "%Y%m"),
+}
+
+# Resolutions of tiles, fine to coarse, and the folders their tables are cut into.
+RESOLUTIONS = {"minute": "day", "hour": "day", "day": "month"}
+FEATURE_HOURS = (1, 24, 168)
+ONLINE_HOURS = (1, 24, 48)
 
 TILES = T.StructType(
     [
@@ -227,28 +236,141 @@ def features_from_tiles(tiles: DataFrame, as_of) -> DataFrame:
     return (
         _inside(tiles, as_of, 168)
         .groupBy("user_id")
-        .agg(*window_measures(as_of, F.col("event_type"), F.col("tile"), F.col("events")))
+        .agg(
+            *window_measures(
+                lambda hours: F.col("tile") >= hours_before(as_of, hours),
+                F.col("event_type"),
+                F.col("events"),
+            )
+        )
     )
 
 
 def online_from_tiles(tiles: DataFrame, as_of) -> DataFrame:
     """Online features out of tiles."""
+    tile = F.col("tile")
+    return _online(_inside(tiles, as_of, 48), lambda hours: tile >= hours_before(as_of, hours))
 
-    def within(hours: int):
-        return F.col("tile") >= hours_before(as_of, hours)
 
-    return (
-        _inside(tiles, as_of, 48)
-        .groupBy("user_id")
-        .agg(
-            F.coalesce(F.sum(F.when(within(1), F.col("events"))), F.lit(0)).alias("events_1h"),
-            F.coalesce(F.sum(F.when(within(24), F.col("events"))), F.lit(0)).alias("events_24h"),
-            F.sum(F.when(within(24), money("value"))).cast("double").alias("conversion_value_24h"),
-            F.max("latest_ts").alias("latest_event_48h"),
-        )
+def _online(tiles: DataFrame, within: Callable[[int], Column]) -> DataFrame:
+    return tiles.groupBy("user_id").agg(
+        F.coalesce(F.sum(F.when(within(1), F.col("events"))), F.lit(0)).alias("events_1h"),
+        F.coalesce(F.sum(F.when(within(24), F.col("events"))), F.lit(0)).alias("events_24h"),
+        F.sum(F.when(within(24), money("value"))).cast("double").alias("conversion_value_24h"),
+        F.max(F.when(within(48), F.col("latest_ts"))).alias("latest_event_48h"),
+    )
+
+
+def tile_levels(spark: SparkSession, path: str) -> dict[str, IncrementTable]:
+    """Tables of minute, hour and day tiles."""
+    return {
+        unit: tiles_table(spark, f"{path.rstrip('/')}/{unit}", part)
+        for unit, part in RESOLUTIONS.items()
+    }
+
+
+def coarser_tiles(tiles: DataFrame, unit: str) -> DataFrame:
+    """Tiles added up to hours or days."""
+    start = F.date_trunc(unit, F.col("tile")).cast("timestamp_ntz")
+    return add_tiles(tiles.withColumn("tile", start))
+
+
+def stream_tile_levels(
+    events: DataFrame,
+    levels: dict[str, IncrementTable],
+    checkpoint: str,
+    every: str | None = None,
+    compact_every: int = COMPACT_EVERY,
+) -> StreamingQuery:
+    """Keep tiles in all resolutions; late events are added whenever they come.
+
+    A micro-batch reads its events once and rolls its own tiles up, so hours and days are
+    increments as minutes are. A batch that is run again replaces its tiles.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        levels["minute"].write(feature_tiles(batch), batch_id)
+        levels["hour"].write(coarser_tiles(levels["minute"].rows_of(batch_id), "hour"), batch_id)
+        levels["day"].write(coarser_tiles(levels["hour"].rows_of(batch_id), "day"), batch_id)
+        for table in levels.values():
+            if len(table.batches()) >= compact_every:
+                table.compact()
+
+    return run(events.writeStream.foreachBatch(on_batch), checkpoint, every)
+
+
+def horizon_cover(as_of: datetime | str, hours: int) -> list[tuple[str, datetime, datetime]]:
+    """Whole tiles that make up [as_of - hours, as_of), as (resolution, from, to).
+
+    Minutes lead from the start to a full hour, hours to a midnight, days to the last one,
+    and then back down: for seven days 60 minutes, 24 hours and 7 days at most.
+    """
+    end = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    if end.second or end.microsecond:
+        raise ValueError("tiles are exact at whole minutes only")
+    start = end - timedelta(hours=hours)
+    units = [("minute", timedelta(minutes=1)), ("hour", timedelta(hours=1)), ("day", timedelta(days=1))]
+    zero, low, high, out = datetime(1970, 1, 1), start, end, []
+    for (unit, _), (_, next_step) in zip(units, units[1:]):
+        up = low + (zero - low) % next_step  # the next and the last full step of the coarser unit
+        down = high - (high - zero) % next_step
+        if up > down:
+            break
+        out += [(unit, a, b) for a, b in ((low, up), (down, high)) if a < b]
+        low, high = up, down
+    else:
+        unit = "day"
+    return sorted(out + ([(unit, low, high)] if low < high else []), key=lambda x: x[1])
+
+
+def _covered(cover: list[tuple[str, datetime, datetime]], unit: Column) -> Column:
+    tile = F.col("tile")
+    inside = F.lit(False)
+    for name, low, high in cover:
+        inside |= (unit == name) & (tile >= ntz(low)) & (tile < ntz(high))
+    return inside
+
+
+def _levels_for(
+    levels: dict[str, IncrementTable], as_of: datetime | str, horizons: tuple[int, ...]
+) -> tuple[DataFrame, Callable[[int], Column]]:
+    """Tiles of all resolutions that some horizons need, and the condition of each horizon."""
+    covers = {hours: horizon_cover(as_of, hours) for hours in horizons}
+    rows = None
+    for unit, part in RESOLUTIONS.items():
+        spans = [(low, high) for cover in covers.values() for u, low, high in cover if u == unit]
+        parts = set()
+        for low, high in spans:
+            while low < high:
+                parts.add(low.strftime(PART_FORMATS[part][1]))
+                low += timedelta(hours=1 if unit != "day" else 24)
+            parts.add((high - timedelta(minutes=1)).strftime(PART_FORMATS[part][1]))
+        own = levels[unit].read(parts=sorted(parts)) if parts else empty(levels[unit].spark, TILES)
+        own = own.withColumn("_unit", F.lit(unit))
+        rows = own if rows is None else rows.unionByName(own)
+    within = lambda hours: _covered(covers[hours], F.col("_unit"))
+    wanted = F.lit(False)
+    for hours in horizons:
+        wanted |= within(hours)
+    return rows.filter(wanted), within
+
+
+def features_from_levels(levels: dict[str, IncrementTable], as_of: datetime | str) -> DataFrame:
+    """Windowed features out of tiles of several resolutions, exact at whole minutes.
+
+    A user and event type has at most 91 tiles in a horizon, whatever the number of events.
+    """
+    rows, within = _levels_for(levels, as_of, FEATURE_HOURS)
+    return rows.groupBy("user_id").agg(
+        *window_measures(within, F.col("event_type"), F.col("events"))
     )
 
 
+def online_from_levels(levels: dict[str, IncrementTable], as_of: datetime | str) -> DataFrame:
+    """Online features out of tiles of several resolutions, exact at whole minutes."""
+    return _online(*_levels_for(levels, as_of, ONLINE_HOURS))
+
+
 def user_hours_table(spark: SparkSession, path: str, part: str = "day") -> IncrementTable:
     """Counts per campaign, user and hour, from which KPIs and reach are read."""
     return IncrementTable(

@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -495,3 +496,43 @@ def test_a_touch_changes_its_own_hour_only(spark, stored, tmp_path):
     assert changed == own.select("channel").distinct().count()
     both = events.unionByName(spark.createDataFrame(late, ENRICHED))
     close(at.credit_from_cells(cells.read()), at.attribute(both, "time_decay"))
+
+
+def test_a_horizon_is_covered_by_few_whole_tiles():
+    step = {"minute": timedelta(minutes=1), "hour": timedelta(hours=1), "day": timedelta(days=1)}
+    rng = random.Random(1)
+    moments = [datetime(2024, 2, 28) + timedelta(minutes=rng.randint(0, 5000)) for _ in range(300)]
+    moments += [datetime(2024, 3, 1), datetime(2024, 3, 1, 5), datetime(2024, 3, 1, 0, 1), datetime(2024, 3, 1, 23, 59)]
+    for as_of in moments:
+        for hours in (1, 2, 24, 48, 168):
+            cover = st.horizon_cover(as_of, hours)
+            at = as_of - timedelta(hours=hours)
+            for unit, low, high in cover:
+                assert low == at and low < high and not (low - datetime(1970, 1, 1)) % step[unit]
+                assert not (high - low) % step[unit]
+                at = high
+            assert at == as_of
+            assert sum((high - low) // step[unit] for unit, low, high in cover) <= 91
+    with pytest.raises(ValueError):
+        st.horizon_cover("2024-01-01 10:00:01", 1)
+
+
+def test_levels_of_tiles_equal_exact_windows(spark, stored, tmp_path):
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    levels = st.tile_levels(spark, str(tmp_path / "levels"))
+    events = spark.read.schema(ENRICHED).parquet(stored)
+    for batch in (2, 0, 1):
+        feed(spark, stored, source, batch)
+        changes = tables.read_changes(spark, source, ENRICHED)
+        st.stream_tile_levels(changes, levels, progress, compact_every=2)
+    for as_of in ("2024-01-20 12:34:00", "2024-01-21 00:00:00", datetime(2024, 1, 20, 0, 1)):
+        exact = ft.rolling_user_features(events.filter(F.col("event_ts") < F.lit(str(as_of)).cast("timestamp_ntz")), as_of)
+        got = st.features_from_levels(levels, as_of)
+        assert rows_of(got) == rows_of(exact, got.columns)
+        online = st.online_from_levels(levels, as_of)
+        assert rows_of(online) == rows_of(ft.online_user_features(events, as_of), online.columns)
+    for file in (tmp_path / "levels" / "minute").rglob("_part=2024011[5-8]/*.parquet"):
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(b"minutes inside the horizon are not opened")
+    again = st.features_from_levels(levels, "2024-01-20 12:34:00")
+    assert rows_of(again) == rows_of(ft.rolling_user_features(events, "2024-01-20 12:34:00"), again.columns)
