@@ -620,6 +620,35 @@ from confusion c join drift d on c.day = d.day""",
         _MONITOR,
     )
 
+    sql["monitor_drift"] = _query(
+        """select day, cast(sum(n) as bigint) as scores, round(sum((p - q) * ln(p / q)), 6) as psi
+from (select s.day, s.bin, s.n, greatest(cast(s.n as double) / s.total, 0.0001) as p,
+             greatest(cast(coalesce(e.n, 0) as double) / (select sum(n) from base), 0.0001) as q
+      from drift_shares s left join (
+        select bin, sum(n) as n
+        from (select n, (select count(*) from edges where edge <= cell) as bin from base) group by bin) e
+      on s.bin = e.bin)
+group by day""",
+        _STATES,
+        _LOG,
+        f""",
+cells as (
+  select scored_at, date_trunc('day', scored_at) as day,
+         greatest(least(cast(floor(round(predicted_score, 6) * 10000) as int), 9999), 0) as cell
+  from inference_log),
+base as (select cell, count(*) as n from cells where scored_at = {_clock(0)} group by cell),
+placed as (select cell, sum(n) over (order by cell) - n as before, sum(n) over () as total from base),
+edges as (
+  select b, min(cell) filter (where before * 10 >= b * total) as edge
+  from placed cross join (select unnest(range(1, 10)) as b) group by b),
+drift_shares as (
+  select d.day, b.bin, count(x.day) as n, sum(count(x.day)) over (partition by d.day) as total
+  from (select distinct day from cells) d cross join (select unnest(range(10)) as bin) b
+  left join (select day, (select count(*) from edges where edge <= cell) as bin from cells) x
+    on x.day = d.day and x.bin = b.bin
+  group by d.day, b.bin)""",
+    )
+
     # Models
     sql["model_metrics"] = _query(
         """select round((sum(place) filter (where y = 1) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) as roc_auc,

@@ -456,6 +456,16 @@ def monitor_daily(spark, sf_dir):
     return _rounded(monitor.monitor(log, baseline), "mean_score", "psi")
 
 
+@query
+def monitor_drift(spark, sf_dir):
+    """Drift over quantile bins; the baseline is put together from two summaries."""
+    log = _inference_log(spark, sf_dir).withColumn("predicted_score", F.round("predicted_score", 6))
+    first = log.filter(F.col("scored_at") == F.lit(fx.BATCHES[0][2]).cast("timestamp_ntz"))
+    parts = [first.filter(F.col("user_id") < "U0050"), first.filter(F.col("user_id") >= "U0050")]
+    baseline = monitor.add_summaries(*map(monitor.score_summary, parts))
+    return _rounded(monitor.quantile_drift(log, baseline), "psi")
+
+
 @query
 def model_metrics(spark, sf_dir):
     """Metrics of the fixed scores against what users did."""

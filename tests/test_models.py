@@ -170,6 +170,37 @@ def test_monitor_per_day(spark):
     assert rows[2]["false_positives"] == 2
 
 
+def test_quantile_drift_against_plain_python(spark):
+    import math
+
+    rng = random.Random(9)
+    scores = [round(rng.choice([rng.random() ** 4, 0.05, 0.05, 1.0]), 4) for _ in range(700)]
+    days = [[s for s in scores[:300]], [min(1.0, s * 1.3 + 0.001) for s in scores[300:]], [None, 0.5]]
+    rows = [(s, 0, 0, f"2024-01-0{d + 1} 05:00:00") for d, some in enumerate(days) for s in some]
+    log = log_of(spark, rows)
+    base = days[0]
+    parts = [log_of(spark, [(s, 0, 0, "2024-01-01 00:00:00") for s in base[a::3]]) for a in range(3)]
+    summary = monitor.add_summaries(*map(monitor.score_summary, parts))
+    cell = lambda s: min(math.floor(s * 10_000), 9_999)
+    cells = sorted(map(cell, base))
+    edges = []
+    for b in range(1, 10):
+        edges += [c for c in cells if sum(x < c for x in cells) * 10 >= b * len(cells)][:1]
+    shares = lambda some: [
+        max(sum(sum(e <= cell(s) for e in edges) == b for s in some) / len(some), 0.0001) for b in range(10)
+    ]
+    then = shares(base)
+    got = {r["day"].day: r for r in monitor.quantile_drift(log, summary).collect()}
+    for d, some in enumerate(days):
+        some = [s for s in some if s is not None]
+        want = sum((p - q) * math.log(p / q) for p, q in zip(shares(some), then))
+        assert got[d + 1]["scores"] == len(some) and got[d + 1]["psi"] == pytest.approx(want, abs=1e-12)
+    assert got[1]["psi"] == pytest.approx(0, abs=1e-12) and got[2]["psi"] > 0.05
+    none = monitor.quantile_drift(log, monitor.score_summary(log.limit(0))).collect()
+    assert len(none) == 3 and all(r["psi"] is None for r in none)
+    assert monitor.quantile_drift(log.filter("predicted_score is null"), summary).first()["psi"] is None
+
+
 def test_monitor_without_scores(spark):
     day_1, day_2 = "2024-01-01 05:00:00", "2024-01-02 23:00:00"
     log = log_of(spark, [(None, 0, 0, day_1), (0.95, 1, 0, day_2)])
