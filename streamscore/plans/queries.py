@@ -433,20 +433,21 @@ def attr_comparison(spark, sf_dir):
 # Models and monitoring
 
 
-def _inference_log(spark, sf_dir) -> DataFrame:
-    """The stored log of three snapshots, each of which was logged twice."""
+def _inference_log(spark, sf_dir, times: int = 1) -> DataFrame:
+    """The stored log of three snapshots, each of which was logged so many times."""
     events, path = fx.enriched(spark, sf_dir), shared_dir(spark, "inference_log")
     for state, (_, _, clock) in zip(_states(events), fx.BATCHES):
         rolling = features.rolling_user_features(events, clock)
         scores = scoring.propensity_scores(rolling, clock)
-        for _ in range(2):
+        for _ in range(times):
             monitor.log_inferences(scores, state, clock, path)
     return spark.read.parquet(path).drop("snapshot")
 
 
 @query
 def inference_log(spark, sf_dir):
-    return _rounded(_inference_log(spark, sf_dir), "predicted_score")
+    """Snapshots that are logged again replace themselves."""
+    return _rounded(_inference_log(spark, sf_dir, times=2), "predicted_score")
 
 
 @query
