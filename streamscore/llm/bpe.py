@@ -247,7 +247,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     """`docs` with `tokens` (packed little-endian unsigned 32-bit ids) and `n_tokens`.
 
     Every match of `pattern` is encoded on its own and without special tokens. Null
-    and empty texts have no tokens; all other columns and repeated rows pass through.
+    and empty texts have no tokens; all other columns and repeated rows pass through, except
+    columns named tokens or n_tokens, which are replaced. An empty table gives no rows.
     The rank file is read by the driver and sent to the executors; its size is that
     of a vocabulary, not of the data.
     """
@@ -271,7 +272,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
 
 def decode(encoded: DataFrame, ranks_path: str, tokens: str = "tokens") -> DataFrame:
-    """`encoded` with `decoded`, the bytes of its packed token ids (null: empty)."""
+    """`encoded` with `decoded`, the bytes of its packed token ids (null: empty).
+
+    Other columns and repeated rows pass through; a column named decoded is replaced. An empty
+    table gives no rows.
+    """
     with open(ranks_path, "rb") as f:
         ranks = encoded.sparkSession.sparkContext.broadcast(f.read())
     named = encoded.withColumn("decoded", F.lit(None).cast("binary"))

@@ -261,7 +261,8 @@ def extract(pages: DataFrame, model: ChainModel | None = None) -> DataFrame:
 
     `text` joins the blocks of the main text by single spaces. Null or empty html, and
     pages without main text, give an empty text. Ids and urls pass through, null and
-    repeated ones too; other columns are not read. The model has a few hundred
+    repeated ones too; other columns are not read, whatever their names, and an empty table
+    gives no rows. The model has a few hundred
     weights and travels with the function.
     """
     model = model or default_model()

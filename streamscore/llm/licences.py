@@ -207,7 +207,8 @@ def licence_scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     `licences` lists line number, family, calibrated probability and similarity to the
     family's texts, in the order of the lines. Paragraphs that are no licence, or of
     an unknown one, are not listed. Null and empty texts have no paragraphs. Repeated
-    rows are scanned alike; only doc_id and text are read. The model has a fixed
+    rows are scanned alike; only doc_id and text are read, whatever other columns are
+    called, and an empty table gives no rows. The model has a fixed
     number of weights, sent to the executors once.
     """
     spark = docs.sparkSession

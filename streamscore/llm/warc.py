@@ -302,7 +302,13 @@ def page_records(chunks: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write archives of `pages` to the shared folder and return the records read back."""
+    """Write archives of `pages` to the shared folder and return the records read back.
+
+    One row per row of `pages`: page_id, payload_bytes, payload_digest, record_type and
+    refers_to. Null html is an empty payload; null and repeated ids, and rows that are equal,
+    are records of their own (see `records` for which of them refer to which). Columns other
+    than page_id, url and html are ignored, whatever their names; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     archives = write_archives(pages, shared_dir(spark, "warc"), min_bytes)
     ends = read_archives(spark, archives)

@@ -135,3 +135,19 @@ def test_chunks_of_payloads(spark):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(df).count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark):
+    from streamscore.llm.html_text import extract
+    from streamscore.llm.licences import licence_scan
+    from streamscore.llm.warc import archive_round_trip
+
+    schema = "page_id long, url string, html string"
+    clash = ["'x' as text", "'y' as n_chars", "'z' as payload", "'k' as `key`", "1 as sha1", "2 as doc_id", "3 as n_bytes"]
+    rows = [(1, None, None), (1, "u", "<article><p>one two</p></article>"), (None, "u", "<p>x"), (None, "u", "<p>x")]
+    for data in (rows, []):
+        pages = spark.createDataFrame(data, schema).selectExpr("*", *clash)
+        found = archive_round_trip(pages).collect()
+        assert sorted(str(r.page_id) for r in found) == sorted(str(r[0]) for r in data)
+        assert {r.record_type for r in found} <= {"response", "revisit"}
+        assert extract(pages).count() == licence_scan(pages).count() == len(data)
