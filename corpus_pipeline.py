@@ -18,31 +18,49 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers."""
+    """Documents that pass the base rules and are no outliers.
+
+    Null and empty texts fail the rules; repeated rows are judged alike. Columns stay as they are,
+    and an empty table gives an empty one, here and in all stages but the last.
+    """
     prepare(spark)
     return passing_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words."""
+    """One document of each group of near copies, by shingles of five words.
+
+    Texts without words are nobody's copy. Rows are told apart by id and text, so a null or shared id
+    does not drag other texts along.
+    """
     prepare(spark)
     return distinct_documents(docs, words=5)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words that occur more than once."""
+    """Documents without the passages of over 50 words that occur more than once.
+
+    A null text becomes empty, and a document that loses all of its text stays with an empty one.
+    """
     prepare(spark)
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A document taken twice gives two rows; the one that crosses a source's target gives its first
+    words. A null source is a source; texts without words are not taken.
+    """
     prepare(spark)
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids of each document, with digests of the ids and of what they decode to."""
+    """Packed token ids of each document, with digests of the ids and of what they decode to.
+
+    Null and empty texts have no tokens; repeated rows give a row each.
+    """
     prepare(spark)
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
