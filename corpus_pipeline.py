@@ -50,7 +50,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them.
 
     A document taken twice gives two rows; the one that crosses a source's target gives its first
-    words. A null source is a source; texts without words are not taken.
+    words. A null source is a source. Texts without words come as often as whole epochs of their
+    source do, and not at all if it has none.
     """
     prepare(spark)
     return mixed_documents(docs)
