@@ -29,7 +29,7 @@ def touchpoints(events: DataFrame) -> DataFrame:
 
     Adds `touch_idx` (0 for the earliest), `touchpoint_count` and the user's
     total `conversion_value`. Ties in time are ordered by event_id.
-    The minute of the event is in `_minute`.
+    `_part` numbers bounded stretches of a journey, in its order.
     """
     rows = events.select(
         "user_id",
@@ -43,7 +43,6 @@ def touchpoints(events: DataFrame) -> DataFrame:
     numbered = with_running(
         rows,
         "user_id",
-        "event_ts",
         measures={"touch_idx": F.lit(1)},
         totals={
             "touchpoint_count": F.count(F.lit(1)),
@@ -226,20 +225,20 @@ def _channel_facts(touches: DataFrame, decay: float) -> DataFrame:
     """One row per user and channel out of `touchpoints`, with what any model needs.
 
     Weights fall by exp(-decay) with every touch before the user's last marketing
-    touch. They are summed per minute relative to the minute's last marketing touch,
+    touch. They are summed per part relative to the part's last marketing touch,
     then brought to the user's last one, so long journeys neither travel whole nor
     lose precision. Conversions take no weight but hold a position.
     """
     marketing = ~_converting()
     idx = F.col("touch_idx")
-    in_minute = Window.partitionBy("user_id", "_minute")
+    in_part = Window.partitionBy("user_id", "_part")
     user = Window.partitionBy("user_id")
     flag = lambda condition: F.max(F.when(condition, 1).otherwise(0))
     carried = [F.max(c).alias(c) for c in ("_first", "_end", "_value", "_count")]
-    per_minute = (
-        touches.withColumn("_last", F.max(F.when(marketing, idx)).over(in_minute))
+    per_part = (
+        touches.withColumn("_last", F.max(F.when(marketing, idx)).over(in_part))
         .withColumn("_weight", F.when(marketing, F.exp((idx - F.col("_last")) * F.lit(decay))))
-        .groupBy("user_id", "_minute", "channel")
+        .groupBy("user_id", "_part", "channel")
         .agg(
             F.sum("_weight").alias("_weight"),
             F.max("_last").alias("_last"),
@@ -252,7 +251,7 @@ def _channel_facts(touches: DataFrame, decay: float) -> DataFrame:
     )
     moved = F.col("_weight") * F.exp((F.col("_last") - F.col("_user_last")) * F.lit(decay))
     per_channel = (
-        per_minute.withColumn("_user_last", F.max("_last").over(user))
+        per_part.withColumn("_user_last", F.max("_last").over(user))
         .groupBy("user_id", "channel")
         .agg(F.sum(moved).alias("_weight"), F.sum("_marketing").alias("_marketing"), *carried)
     )
@@ -276,7 +275,6 @@ def _in_cells(events: DataFrame) -> DataFrame:
     numbered = with_running(
         events.withColumn("_cell", cell),
         "_cell",
-        "event_ts",
         measures={"_idx": F.lit(1)},
         totals={"cell_touches": F.count(F.lit(1))},
         order=["event_ts", "event_id"],
@@ -293,13 +291,13 @@ def decay_cells(events: DataFrame, decay: float = 0.5) -> DataFrame:
     """
     marketing = ~_converting()
     idx = F.col("_idx")
-    in_minute, in_cell = Window.partitionBy("_cell", "_minute"), Window.partitionBy("_cell")
+    in_part, in_cell = Window.partitionBy("_cell", "_part"), Window.partitionBy("_cell")
     value = F.sum(F.when(_converting(), money("conversion_value")).otherwise(0))
-    per_minute = (
+    per_part = (
         _in_cells(events)
-        .withColumn("_last", F.max(F.when(marketing, idx)).over(in_minute))
+        .withColumn("_last", F.max(F.when(marketing, idx)).over(in_part))
         .withColumn("_weight", F.when(marketing, F.exp((idx - F.col("_last")) * F.lit(decay))))
-        .groupBy("_cell", "_minute", "channel")
+        .groupBy("_cell", "_part", "channel")
         .agg(
             F.sum("_weight").alias("_weight"),
             F.max("_last").alias("_last"),
@@ -311,7 +309,7 @@ def decay_cells(events: DataFrame, decay: float = 0.5) -> DataFrame:
         .withColumn("last", F.max("_last").over(in_cell))
     )
     moved = F.col("_weight") * F.exp((F.col("_last") - F.col("last")) * F.lit(decay))
-    summed = per_minute.groupBy("_cell", "channel").agg(
+    summed = per_part.groupBy("_cell", "channel").agg(
         F.sum("touches").alias("touches"),
         F.sum("conversions").alias("conversions"),
         F.sum("value").cast("decimal(38,10)").alias("value"),

@@ -199,7 +199,6 @@ def rolling_history(events: DataFrame) -> DataFrame:
     running = with_running(
         summed.withColumnsRenamed({name: f"_{name}" for name in WINDOWED}),
         "user_id",
-        "at",
         {name: F.col(f"_{name}") for name in WINDOWED},
         order=["at", "_gone"],
     )

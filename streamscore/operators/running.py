@@ -1,12 +1,13 @@
-"""Per-key running totals that never need a whole key in one task.
+"""Per-key running totals that never need a whole key, or a whole moment, in one task.
 
-A window over one key would put all rows of that key into one task. Here the time of
-every key is cut into seconds. Totals per (key, second) are aggregated first and
-summed up over the seconds of a minute and over the minutes of a key, which gives
-what each second starts from; the row-level window then runs per (key, second) on top
-of that. The plan is the same for all sizes, and the result is exact. What meets in
-one task is one row per minute of a key, one row per second of a minute, or the rows
-of one second of a key.
+A window over one key would put all rows of that key into one task, and one over a key
+and a second all rows of that second. Here the rows are dealt by ranges of (key, order):
+the bounds are sampled from the rows, so a key, a second or a single moment with very
+many rows spreads over as many parts as its share of all rows asks for, split by
+whatever breaks its ties. Totals per key and part are few, at most one row per key and
+one per part; summed up over the parts of a key they give what each part starts from,
+and the row-level window runs per key and part on top of that. The plan is the same for
+all sizes, and the result is exact.
 """
 
 from __future__ import annotations
@@ -16,16 +17,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _before(totals: list[str], window) -> list[Column]:
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    return [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_from_{n}") for n in totals]
+from streamscore.sources.storage import stored
 
 
 def with_running(
     rows: DataFrame,
     key: str,
-    ts: str,
     measures: Mapping[str, Column],
     order: list[str],
     totals: Mapping[str, Column] | None = None,
@@ -34,47 +31,41 @@ def with_running(
     """Add running sums, and totals of the whole key, to every row.
 
     `measures` maps a new column to what each row adds to it; the sums include the row
-    itself. `totals` maps a new column to a count or sum over the rows of one second,
+    itself. `totals` maps a new column to a count or sum over the rows of one part,
     which is added up over the key. `keep` is a condition on the totals that drops
-    whole keys. Key and time must not be NULL. Adds `_minute` as well.
+    whole keys. The key must not be NULL; NULL comes first in `order`. Adds `_part`, the
+    number of the row's part, as well: parts follow the order within a key.
+
+    The dealt rows are written once to the shared folder, since both uses of them must
+    see the same parts even if executors are lost in between.
     """
     totals = dict(totals or {})
     steps = {name: measure.cast("bigint") for name, measure in measures.items()}
-    start_of = lambda unit: F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
-    detail = rows.withColumns({"_minute": start_of("minute"), "_second": start_of("second")})
+    dealt = stored(
+        rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "running"
+    )
 
-    seconds = detail.groupBy(key, "_minute", "_second").agg(
-        *[F.sum(step).alias(n) for n, step in steps.items()],
+    parts = dealt.groupBy(key, "_part").agg(
+        *[F.sum(step).alias(f"_sum_{n}") for n, step in steps.items()],
         *[t.alias(n) for n, t in totals.items()],
     )
-    names = [*steps, *totals]
-    minutes = seconds.groupBy(key, "_minute").agg(*[F.sum(n).alias(n) for n in names])
     whole_key = Window.partitionBy(key)
-    minutes = minutes.select(
+    earlier = whole_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
         key,
-        "_minute",
-        *_before(list(steps), whole_key.orderBy("_minute")),
+        "_part",
+        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in steps],
         *[F.sum(n).over(whole_key).alias(n) for n in totals],
     )
     if keep is not None:
-        minutes = minutes.filter(keep)
-    in_minute = Window.partitionBy(key, "_minute").orderBy("_second")
-    seconds = seconds.select(key, "_minute", "_second", *_before(list(steps), in_minute))
-    starts = seconds.alias("s").join(minutes.alias("m"), [key, "_minute"]).select(
-        key,
-        "_second",
-        *[(F.col(f"s._from_{n}") + F.col(f"m._from_{n}")).alias(f"_from_{n}") for n in steps],
-        *[f"m.{n}" for n in totals],
-    )
+        starts = starts.filter(keep)
 
-    # Without this, rows that arrive partitioned by the key would stay that way.
     # What a row adds is computed after the shuffle, to move fewer bytes.
-    spread = detail.repartition(key, "_second")
-    running = Window.partitionBy(key, "_second").orderBy(*order)
+    running = Window.partitionBy(key, "_part").orderBy(*order)
     running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spread.join(starts, [key, "_second"]).select(
+    return dealt.join(starts, [key, "_part"]).select(
         *rows.columns,
-        "_minute",
+        "_part",
         *[(F.col(f"_from_{n}") + F.sum(s).over(running)).alias(n) for n, s in steps.items()],
         *totals,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import moment
 from streamscore.operators import attribution as at
+from streamscore.operators.running import with_running
 from streamscore.plans import fixtures as fx
 
 CHANNEL = {"C001": "display", "C002": "search", "C003": "social", "C004": "email"}
@@ -22,6 +23,8 @@ def journey(user, steps, start="2024-01-01 00:00:00", gap=timedelta(minutes=7)):
     return rows
 
 
+SIMPLE_STEPS = [("IM", "C001", None), ("CL", "C002", None), ("IM", "C004", None), ("CN", "C003", 30.0)]
+
 SIMPLE = (
     journey("U1", [("IM", "C001", None), ("CL", "C002", None), ("CN", "C003", 30.0)])
     + journey("U2", [("CN", "C004", 11.0)])
@@ -145,11 +148,6 @@ def test_positions_are_those_of_a_plain_window(spark, sf_dir):
 def test_a_user_whose_rows_share_one_minute_is_split_over_tasks(spark, events):
     rows = journey("HOT", [("CL", "C001", None)] * 300 + [("CN", "C002", 9.0)])
     rows = [(*r[:4], f"2024-01-01 10:00:{k % 60:02d}.{k:06d}", r[5]) for k, r in enumerate(rows)]
-    touches = at.touchpoints(events(rows))
-    plan = touches._jdf.queryExecution().executedPlan().toString()
-    by_row = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
-    assert by_row and all("_second" in line for line in by_row)
-    assert touches.select("touch_idx").distinct().count() == 301
     # As with tables too large to broadcast or to put into one partition.
     settings = {
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -159,6 +157,12 @@ def test_a_user_whose_rows_share_one_minute_is_split_over_tasks(spark, events):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
+        touches = at.touchpoints(events(rows))
+        plan = touches._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if "specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())" in line]
+        assert windows and all("_part" in line for line in windows)
+        assert touches.select("touch_idx").distinct().count() == 301
+        assert touches.select("_part").distinct().count() > 1
         tasks = touches.withColumn("task", F.spark_partition_id()).select("task").distinct()
         assert tasks.count() > 1
     finally:
@@ -171,3 +175,46 @@ def test_comparison_lists_channels_without_credit(events):
     assert set(rows) == {"display", "search", "social", "email"}
     assert rows["email"]["time_decay"] == 0.0
     assert rows["display"]["first_touch"] == pytest.approx(73.2)
+
+
+def test_one_moment_with_a_third_of_all_rows_spreads_over_parts(spark, events):
+    hot = [
+        (f"same-long-prefix-{i * 7919 % 4000:06d}", "HOT", "CL" if i % 5 else "IM", "C00%d" % (1 + i % 4),
+         "2024-01-01 00:00:00.250000", None)
+        for i in range(2000)
+    ]
+    hot.append(("zz", "HOT", "CN", "C002", "2024-01-01 00:00:00.250001", 8.0))
+    rest = [row for u in range(400) for row in journey(f"U{u}", SIMPLE_STEPS)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        touches = at.touchpoints(events(hot + rest)).cache()
+        parts = {r["_part"]: r["count"] for r in touches.groupBy("_part").count().collect()}
+        of_hot = touches.filter("user_id = 'HOT'").groupBy("_part").count().collect()
+        rows = touches.filter("user_id = 'HOT'").select("event_id", "touch_idx", "touchpoint_count").collect()
+        got = credit(at.time_decay_credit(touches, 0.01))
+        touches.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(parts.values()) == len(hot) + len(rest)
+    # Eight parts: the moment's rows fill about three of them, and no part holds many more than its share.
+    assert len(of_hot) >= 3 and max(parts.values()) <= 2 * sum(parts.values()) / 8
+    ordered = sorted(hot, key=lambda r: (r[4], r[0]))
+    assert sorted((r["touch_idx"], r["event_id"]) for r in rows) == list(enumerate(r[0] for r in ordered))
+    assert {r["touchpoint_count"] for r in rows} == {len(hot)}
+    revenue, users = brute_time_decay(ordered + rest, 0.01)
+    assert {c: r["conversions"] for c, r in got.items()} == users
+    for channel, r in got.items():
+        assert r["attributed_revenue"] == pytest.approx(revenue[channel], rel=1e-9)
+
+
+def test_running_totals_of_moments_without_rows_or_ties(spark):
+    schema = "k string, at int, tie string, n int"
+    add = {"total": F.col("n")}
+    none = with_running(spark.createDataFrame([], schema), "k", add, ["at", "tie"], {"rows": F.count("*")})
+    assert none.collect() == [] and none.columns == ["k", "at", "tie", "n", "_part", "total", "rows"]
+    data = [("a", 1, None, 1), ("a", 1, "x", 2), ("a", None, "y", 4), ("b", 0, "x", None), ("b", 1, "x", 3)]
+    got = with_running(spark.createDataFrame(data, schema), "k", add, ["at", "tie"], {"rows": F.count("*")})
+    assert sorted((r["k"], r["at"] or 0, r["tie"] or "", r["total"], r["rows"]) for r in got.collect()) == [
+        ("a", 0, "y", 4, 3), ("a", 1, "", 5, 3), ("a", 1, "x", 7, 3), ("b", 0, "x", None, 2), ("b", 1, "x", 3, 2)
+    ]
