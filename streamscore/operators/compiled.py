@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from streamscore.functions.scalar import score_bucket
+from streamscore.operators.boosting import probability_sql
 
 
 def _number(x: float) -> str:
@@ -106,8 +107,13 @@ def compiled_probability(spark: SparkSession, path: str) -> Column:
             inputs = columns[_param(metadata, "inputCol")]
             columns[_param(metadata, "outputCol")] = _scaled(inputs, data, metadata)
             continue
-        inputs = columns.get(_param(metadata, "featuresCol"))
-        if kind == "LogisticRegressionModel":
+        if kind == "BoostedTreesModel":
+            names = _param(metadata, "inputCols")
+            columns["boosted"] = [f"CAST(`{c}` AS DOUBLE)" for c in names]
+        inputs = columns.get("boosted") or columns.get(_param(metadata, "featuresCol"))
+        if kind == "BoostedTreesModel":
+            score = probability_sql(json.loads(_param(metadata, "ensemble")), inputs)
+        elif kind == "LogisticRegressionModel":
             score = _logistic(inputs, spark.read.parquet(f"{stage}/data").first())
         elif kind == "RandomForestClassificationModel":
             votes, n = _trees(spark, stage, inputs, _positive, weighted=False)

@@ -31,6 +31,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folder of a table that `stored` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     """No rows, in a form the optimizer recognises and removes from joins."""
     columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]

@@ -111,14 +111,23 @@ def test_retraining_registers_promotes_and_scores(spark, features, tmp_path):
     assert means[True] > means[False] + 0.3
 
 
-@pytest.mark.parametrize("family", ["logreg_reg", "random_forest", "gbt_fast", "gbt_slow"])
+@pytest.mark.parametrize("family", ["logreg_reg", "random_forest", "gbt_fast", "gbt_slow", "spark_gbt"])
 def test_compiled_models_score_like_the_saved_pipeline(spark, features, tmp_path, family):
     from pyspark.ml import PipelineModel
 
     from streamscore.operators import compiled
 
     training = ml.training_frame(features)
-    pipeline = ml.candidates(300, rounds=12, trees=25)[family]
+    if family == "spark_gbt":
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.feature import VectorAssembler
+
+        assemble = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="raw")
+        boosted = GBTClassifier(featuresCol="raw", labelCol="converted", maxIter=5, maxDepth=3)
+        pipeline = Pipeline(stages=[assemble, boosted])
+    else:
+        pipeline = ml.candidates(300, rounds=12, trees=25)[family]
     path = str(tmp_path / "model")
     pipeline.fit(training).save(path)
     probability = compiled.compiled_probability(spark, path)
@@ -223,3 +232,105 @@ def test_a_snapshot_logged_again_replaces_itself(spark, features, tmp_path):
     assert log.filter(F.col("predicted_label") == 1).count() == 600
     assert {r[0] for r in log.select("model_version").distinct().collect()} == {"V1", "V2"}
     assert len(MODEL_FEATURES) == 10
+
+
+def boosting_rows(spark, n=1500, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        a, b, c = rng.gauss(0, 1), float(rng.randrange(6)), rng.choice([0.0, rng.random() * 50])
+        rows.append((a, b, c, float(a * (b - 2) + c / 20 + rng.gauss(0, 0.7) > 0.5)))
+    return spark.createDataFrame(rows, "a double, b double, `c d` double, label double"), rows
+
+
+def numpy_boosting(rows, edges, rounds, depth, leaves, step, l2, min_h, min_n):
+    """Leaf-wise growth over raw values; margins of all rows."""
+    import math
+
+    import numpy as np
+
+    data = np.array(rows)
+    x, y = data[:, :3], data[:, 3]
+    margin = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = np.rint((p - y) * 2**24) / 2**24, np.rint(p * (1 - p) * 2**24) / 2**24
+
+        def split(mask, g=g, h=h):
+            best, whole = None, g[mask].sum() ** 2 / (h[mask].sum() + l2)
+            for f in range(3):
+                for e in edges[f]:
+                    sides = [mask & (x[:, f] <= e), mask & (x[:, f] > e)]
+                    if any(s.sum() < min_n or h[s].sum() < min_h for s in sides):
+                        continue
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in sides) - whole
+                    if gain > 1e-6 and (best is None or gain > best[0] + 1e-12):
+                        best = gain, sides
+            return best
+
+        grown = [(np.ones(len(y), dtype=bool), 0)]
+        found = [split(grown[0][0])]
+        while len(grown) < leaves:
+            options = [(f[0], -i) for i, f in enumerate(found) if f is not None]
+            if not options:
+                break
+            i = -max(options)[1]
+            level = grown[i][1] + 1
+            sides = found[i][1]
+            grown[i : i + 1] = [(s, level) for s in sides]
+            found[i : i + 1] = [split(s) if level < depth else None for s in sides]
+        for mask, _ in grown:
+            margin = margin + np.where(mask, -step * g[mask].sum() / (h[mask].sum() + l2), 0.0)
+    return margin
+
+
+@pytest.mark.parametrize("leaves,step,l2,min_h,min_n", [(16, 0.3, 1.0, 1.0, 1), (5, 0.1, 0.0, 1e-3, 20)])
+def test_boosted_trees_equal_leaf_wise_growth_in_numpy(spark, monkeypatch, leaves, step, l2, min_h, min_n):
+    import json
+
+    import numpy as np
+
+    from streamscore.operators import boosting
+
+    monkeypatch.setattr(boosting, "STORED_EVERY", 2)
+    monkeypatch.setattr(boosting, "BINS", 24)
+    table, rows = boosting_rows(spark)
+    settings = dict(
+        inputCols=["a", "b", "c d"], rounds=5, maxLeaves=leaves, stepSize=step, l2=l2, minCurvature=min_h, minRows=min_n
+    )
+    model = boosting.BoostedTrees(**settings).fit(table.repartition(3))
+    ensemble = json.loads(model.getOrDefault("ensemble"))
+    want = numpy_boosting(rows, ensemble["edges"], 5, 4, leaves, step, l2, min_h, min_n)
+    scored = model.transform(table).select("a", "b", "c d", "probability", "prediction").collect()
+    got = {(r["a"], r["b"], r["c d"]): (r["probability"][1], r["prediction"]) for r in scored}
+    for row, m in zip(rows, want, strict=True):
+        p = 1 / (1 + np.exp(-m))
+        assert got[row[:3]][0] == pytest.approx(p, abs=1e-9) and got[row[:3]][1] == float(p > 0.5)
+    used = [sum(f < 0 for f in t["feature"][:1]) for t in ensemble["trees"]]
+    assert used == [0] * 5
+
+    # However the rows are dealt, over how many tasks, the trees are the same to the last bit.
+    monkeypatch.setattr(boosting, "ROWS_PER_TASK", 200)
+    again = boosting.BoostedTrees(**settings).fit(table.repartition(7, "b"))
+    assert again.getOrDefault("ensemble") == model.getOrDefault("ensemble")
+
+
+def test_boosted_trees_on_odd_tables(spark):
+    from streamscore.operators.boosting import BoostedTrees
+
+    table, _ = boosting_rows(spark, 60)
+    boosted = BoostedTrees(inputCols=["a", "b", "c d"], rounds=3, minRows=5)
+    one_class = table.withColumn("label", F.lit(1.0)).withColumn("_positive_rows", F.lit(1))
+    scored = boosted.fit(one_class).transform(one_class)
+    assert all(r["probability"][1] > 0.999 for r in scored.collect())
+    empty = boosted.fit(table.limit(0)).transform(table.limit(3)).collect()
+    assert [r["probability"][1] for r in empty] == [0.5] * 3
+    constant = table.withColumns({"a": F.lit(1.0), "b": F.lit(2.0), "c d": F.lit(0.0)})
+    share = constant.agg(F.avg("label")).first()[0]
+    for r in boosted.fit(constant).transform(constant).limit(3).collect():
+        assert r["probability"][1] == pytest.approx(share)
+    for odd in (None, float("nan")):
+        with pytest.raises(ValueError, match="c d"):
+            boosted.fit(table.withColumn("c d", F.when(F.col("b") > 2, F.col("c d")).otherwise(F.lit(odd))))
+    with pytest.raises(ValueError, match="missing"):
+        boosted.fit(table.withColumn("label", F.when(F.col("b") > 2, F.col("label"))))
