@@ -1,16 +1,19 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Every document gets base counts and a vector of four transformed shares. Per
-language and source the minimum covariance determinant (MCD) is approached by
-concentration steps: distances from the current centre and covariance, then centre
-and covariance of the `SUPPORT` share of documents that lie nearest. A document
-whose squared Mahalanobis distance from the final estimate exceeds `cutoff` is
-rejected. All steps are column expressions and aggregates.
-
-What a step gathers from a group of any size is a table of at most a few hundred
-distance classes with counts and sums, aggregated before the shuffle. Values are
-whole 1/256 steps and their sums are whole numbers, so results do not depend on
-the order of rows.
+language and source the minimum covariance determinant (MCD) is sought from several
+starts: the medians, and `STARTS` draws of five different vectors. A concentration
+step takes the distances from a centre and covariance and then centre and covariance
+of the `SUPPORT` share of documents that lie nearest. All starts take `TRIAL_STEPS`
+steps; the `FINALISTS` with the smallest determinants go on until theirs falls no
+more, and the smallest wins. Its centre and covariance are then those of all documents
+within the 0.975 quantile, and a document whose squared Mahalanobis distance exceeds
+`cutoff` is rejected. All steps are column expressions and aggregates.
+
+What a step gathers from a group of any size and start is a table of at most a few
+hundred distance classes with counts and sums, aggregated before the shuffle. Values
+are whole 1/256 steps and their sums are whole numbers, so results do not depend on
+the order of rows. Equal vectors are counted once for all steps.
 """
 
 from __future__ import annotations
@@ -26,17 +29,26 @@ from streamscore.sources.storage import stored
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SUPPORT = 0.75
-STEPS = 4
+STARTS = 8
+TRIAL_STEPS = 2
+FINALISTS = 2
+# A determinant falls if its logarithm does by more than this.
+FALL = 1e-4
 # 0.999 quantile of the chi-squared distribution with four degrees of freedom.
 CUTOFF = 18.47
 # Makes the covariance of the nearest 75% consistent for normal data in four
 # dimensions: 0.75 / P(chi2_6 <= quantile_0.75(chi2_4)).
 CONSISTENCY = 1.485
+# 0.975 quantile, and the factor that makes the covariance of what lies within consistent.
+INNER = 11.143
+INNER_CONSISTENCY = 1.0645
 # Smallest standard deviation of each statistic: smaller spreads are no evidence.
 FLOORS = {"x_length": 0.08, "x_symbols": 0.25, "x_lines": 0.25, "x_repeats": 0.25}
 STATS = list(FLOORS)
 GRID = 256
 PAIRS = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
+# Vectors per draw: one more than there are statistics.
+DRAWN = len(STATS) + 1
 
 
 def _windows(words: Column, m: Column) -> Column:
@@ -101,10 +113,12 @@ def _vector() -> dict[str, Column]:
     return {k: F.round(v * GRID).cast("long") for k, v in values.items()}
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group: medians as centre, interquartile ranges as a diagonal scale."""
+def _medians(cells: DataFrame) -> DataFrame:
+    """Start 0 of every group: medians as centre, interquartile ranges as a diagonal scale."""
     values = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("v")) for s in STATS]))
-    counts = rows.select("grp", values.alias("x")).groupBy("grp", "x.stat", "x.v").count()
+    counts = cells.select("grp", "n", values.alias("x")).groupBy("grp", "x.stat", "x.v").agg(
+        F.sum("n").alias("count")
+    )
     group = Window.partitionBy("grp", "stat")
     counts = counts.withColumns(
         {"upto": F.sum("count").over(group.orderBy("v")), "n": F.sum("count").over(group)}
@@ -119,11 +133,45 @@ def _start(rows: DataFrame) -> DataFrame:
     for a, b in PAIRS:
         spread = pick(a, sd * sd) if a == b else F.lit(0.0)
         columns.append(F.coalesce(spread, F.lit(0.0)).alias(f"c_{a}_{b}"))
-    return _factor(quartiles.groupBy("grp").agg(*columns))
+    return _factor(quartiles.groupBy("grp", F.lit(0).cast("long").alias("start")).agg(*columns))
+
+
+def _draws(cells: DataFrame, starts: int) -> DataFrame:
+    """Starts 1 and up: moments of the different vectors with the smallest hashes, one per draw."""
+    lot = lambda draw: F.xxhash64(draw, *STATS)
+    draws = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(starts * DRAWN - 1).cast("long")))
+    least = cells.select("grp", *STATS, draws.alias("draw")).groupBy("grp", "draw").agg(
+        F.min(lot(F.col("draw"))).alias("lot")
+    )
+    least = least.groupBy("grp").agg(F.collect_list(F.struct("draw", "lot")).alias("least"))
+    mine = F.filter("least", lambda x: x["lot"] == lot(x["draw"]))
+    drawn = cells.join(least, "grp").select("grp", *STATS, F.explode(mine).alias("x"))
+    start = (F.floor(F.col("x.draw") / DRAWN) + 1).cast("long").alias("start")
+    sums = drawn.select("grp", *STATS, start, F.lit(1).alias("n")).groupBy("grp", "start")
+    return _estimates(sums.agg(*_sums()), 1.0)
+
+
+def _sums() -> list[Column]:
+    """Counts, sums and sums of products of vectors that stand for `n` documents each."""
+    n = F.col("n")
+    sums = [F.sum(n * F.col(s)).alias(f"s_{s}") for s in STATS]
+    sums += [F.sum(n * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in PAIRS]
+    return [F.sum(n).alias("n"), *sums]
+
+
+def _estimates(sums: DataFrame, factor: float) -> DataFrame:
+    """Centre and factored covariance, scaled by `factor`, per group and start."""
+    n = F.col("n")
+    mean = {s: F.col(f"s_{s}") / n / GRID for s in STATS}
+    columns = [mean[s].alias(f"m_{s}") for s in STATS]
+    for a, b in PAIRS:
+        product = F.col(f"p_{a}_{b}") / n / (GRID * GRID)
+        columns.append((factor * (product - mean[a] * mean[b])).alias(f"c_{a}_{b}"))
+    return _factor(sums.select("grp", "start", *columns))
 
 
 def _factor(estimates: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance, whose diagonal is kept above the floors."""
+    """The Cholesky factor of the covariance, its diagonal raised by the floors, and `log_det`."""
     df = estimates
     for i, a in enumerate(STATS):
         for j, b in enumerate(STATS[: i + 1]):
@@ -135,7 +183,9 @@ def _factor(estimates: DataFrame) -> DataFrame:
             else:
                 value = rest / F.col(f"l_{b}_{b}")
             df = df.withColumn(f"l_{a}_{b}", value)
-    return df.select("grp", *[f"m_{s}" for s in STATS], *[f"l_{a}_{b}" for a, b in PAIRS])
+    log_det = 2 * sum((F.log(f"l_{s}_{s}") for s in STATS[1:]), F.log(f"l_{STATS[0]}_{STATS[0]}"))
+    known = [*[f"m_{s}" for s in STATS], *[f"l_{a}_{b}" for a, b in PAIRS]]
+    return df.select("grp", "start", *known, log_det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -149,30 +199,55 @@ def _distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One concentration step; distances are ranked in classes 3% wide."""
-    d = rows.join(estimates, "grp").withColumn("near", F.floor(32 * F.log1p(_distance())))
-    sums = [F.sum(s).alias(f"s_{s}") for s in STATS]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in PAIRS]
-    classes = d.groupBy("grp", "near").agg(F.count("*").alias("n"), *sums)
-    group = Window.partitionBy("grp")
+def _step(cells: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One concentration step of every start; distances are ranked in classes 3% wide."""
+    near = F.floor(32 * F.log1p(_distance())).alias("near")
+    classes = cells.join(estimates, "grp").select("grp", "start", near, "n", *STATS)
+    classes = classes.groupBy("grp", "start", "near").agg(*_sums())
+    group = Window.partitionBy("grp", "start")
     before = F.sum("n").over(group.orderBy("near")) - F.col("n")
     classes = classes.withColumns({"before": before, "of": F.sum("n").over(group)})
     nearest = classes.filter(F.col("before") < SUPPORT * F.col("of"))
-    total = nearest.groupBy("grp").agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in classes.columns if c[:2] in ("s_", "p_")]
-    )
-    n = F.col("n")
-    mean = {s: F.col(f"s_{s}") / n / GRID for s in STATS}
-    columns = [mean[s].alias(f"m_{s}") for s in STATS]
-    for a, b in PAIRS:
-        product = F.col(f"p_{a}_{b}") / n / (GRID * GRID)
-        columns.append((CONSISTENCY * (product - mean[a] * mean[b])).alias(f"c_{a}_{b}"))
-    return _factor(total.select("grp", *columns))
+    total = [F.sum(c).alias(c) for c in classes.columns if c == "n" or c[:2] in ("s_", "p_")]
+    return _estimates(nearest.groupBy("grp", "start").agg(*total), CONSISTENCY)
+
+
+def _smallest(estimates: DataFrame, many: int) -> DataFrame:
+    """Per group the `many` different estimates with the smallest determinants."""
+    known = [c for c in estimates.columns if c != "start"]
+    different = estimates.groupBy(known).agg(F.min("start").alias("start"))
+    order = Window.partitionBy("grp").orderBy("log_det", "start")
+    ranked = different.withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= many).select(estimates.columns)
+
+
+def minimum_determinants(cells: DataFrame, starts: int = STARTS, folder: str = "quality") -> DataFrame:
+    """One estimate per value of `grp`: the smallest determinant that any start comes to.
+
+    `cells` has grp, the columns of `STATS` as whole steps and n, how many documents share
+    them. A group with a single vector gets that vector and the floors; an empty table
+    gives an empty one.
+    """
+    estimates = _medians(cells)
+    if starts:
+        estimates = estimates.unionByName(_draws(cells, starts))
+    estimates = stored(estimates, f"{folder}-starts")
+    for k in range(TRIAL_STEPS):
+        estimates = stored(_step(cells, estimates), f"{folder}-trial{k}")
+    falling = stored(_smallest(estimates, FINALISTS), f"{folder}-finalists")
+    seen, step = falling, 0
+    # Every turn lowers determinants that the floors keep above zero, so it ends.
+    while not falling.isEmpty():
+        after = stored(_step(cells, falling), f"{folder}-step{step}")
+        was = falling.select("grp", "start", F.col("log_det").alias("was"))
+        lower = after.join(was, ["grp", "start"]).filter(F.col("log_det") < F.col("was") - FALL)
+        falling = stored(lower.drop("was"), f"{folder}-falling{step}")
+        seen, step = seen.unionByName(after), step + 1
+    return stored(_smallest(seen, 1), f"{folder}-smallest")
 
 
 def mcd_verdicts(
-    statistics: DataFrame, cutoff: float = CUTOFF, steps: int = STEPS, folder: str = "quality"
+    statistics: DataFrame, cutoff: float = CUTOFF, starts: int = STARTS, folder: str = "quality"
 ) -> DataFrame:
     """Adds `distance` and `kept` to base statistics.
 
@@ -182,10 +257,11 @@ def mcd_verdicts(
     """
     group = F.to_json(F.struct(F.col("lang").alias("lang"), F.col("source").alias("source")))
     rows = statistics.withColumns(_vector()).withColumn("grp", group)
-    passed = rows.filter(~F.col("base_failed")).select("grp", *STATS)
-    estimates = stored(_start(passed), f"{folder}-start")
-    for k in range(steps):
-        estimates = stored(_step(passed, estimates), f"{folder}-step{k}")
+    passed = rows.filter(~F.col("base_failed")).groupBy("grp", *STATS)
+    cells = stored(passed.agg(F.count("*").alias("n")), f"{folder}-cells")
+    smallest = minimum_determinants(cells, starts, folder)
+    inner = cells.join(smallest, "grp").filter(_distance() <= INNER).groupBy("grp", "start")
+    estimates = stored(_estimates(inner.agg(*_sums()), INNER_CONSISTENCY), f"{folder}-final")
     judged = rows.join(estimates, "grp", "left").withColumn("distance", _distance())
     fine = F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & fine)

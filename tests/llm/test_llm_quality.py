@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from streamscore.llm import quality
 from streamscore.llm.queries import QUERIES
@@ -36,25 +38,67 @@ def vector(n, chars, symbols, copies, repeats, lines):
     ]
 
 
-def distances(vectors, fit):
-    """Squared distances of all vectors by the estimates from those marked in `fit`."""
-    x, floors = np.array(vectors) / 256, np.array(list(quality.FLOORS.values()))
-    rows = x[fit]
+def spark_hash(*longs):
+    value = 42
+    for x in longs:
+        value = xxhash.xxh64_intdigest(struct.pack("<q", x), value)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def far(points, estimate):
+    centre, cov = estimate
+    return ((points - centre).T * np.linalg.solve(cov, (points - centre).T)).sum(axis=0)
+
+
+def moments(rows, factor):
+    centre = rows.mean(axis=0)
+    cov = factor * ((rows.T @ rows) / len(rows) - np.outer(centre, centre))
+    return centre, cov + np.diag(np.array(list(quality.FLOORS.values())) ** 2)
+
+
+def step(rows, estimate):
+    near = np.floor(32 * np.log1p(far(rows, estimate)))
+    limit = np.sort(near)[math.ceil(quality.SUPPORT * len(rows)) - 1]
+    return moments(rows[near <= limit], quality.CONSISTENCY)
+
+
+def log_det(estimate):
+    return np.linalg.slogdet(estimate[1])[1]
+
+
+def begin(rows, starts):
+    """Medians with quartile scales, then moments of drawn vectors."""
     at = lambda q: np.sort(rows, axis=0)[math.ceil(q * len(rows) - 1e-9) - 1]
-    centre, cov = at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2)
+    floors = np.array(list(quality.FLOORS.values()))
+    yield at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + floors**2)
+    different = {tuple(v) for v in (rows * 256).round().astype(int).tolist()}
+    for k in range(starts):
+        draws = range(k * quality.DRAWN, (k + 1) * quality.DRAWN)
+        yield moments(np.array([min(different, key=lambda v: spark_hash(d, *v)) for d in draws]) / 256, 1)
+
+
+def smallest_determinant(rows, starts=quality.STARTS):
+    trials = {}
+    for estimate in begin(rows, starts):
+        for _ in range(quality.TRIAL_STEPS):
+            estimate = step(rows, estimate)
+        trials.setdefault(round(log_det(estimate), 9), estimate)
+    seen = [trials[key] for key in sorted(trials)[: quality.FINALISTS]]
+    for estimate in list(seen):
+        while True:
+            was, estimate = log_det(estimate), step(rows, estimate)
+            seen.append(estimate)
+            if log_det(estimate) >= was - quality.FALL:
+                break
+    return min(seen, key=log_det)
 
-    def far(points):
-        solved = np.linalg.solve(cov + np.diag(floors**2), (points - centre).T)
-        return ((points - centre).T * solved).sum(axis=0)
 
-    for _ in range(quality.STEPS):
-        near = np.floor(32 * np.log1p(far(rows)))
-        order = np.sort(near)
-        limit = order[math.ceil(quality.SUPPORT * len(rows)) - 1]
-        some = rows[near <= limit]
-        centre = some.mean(axis=0)
-        cov = quality.CONSISTENCY * ((some.T @ some) / len(some) - np.outer(centre, centre))
-    return far(x)
+def distances(vectors, fit):
+    """Squared distances of all vectors by the estimates from those marked in `fit`."""
+    x = np.array(vectors) / 256
+    rows = x[fit]
+    inner = rows[far(rows, smallest_determinant(rows)) <= quality.INNER]
+    return far(x, moments(inner, quality.INNER_CONSISTENCY))
 
 
 def judged(rows):
@@ -104,6 +148,39 @@ def test_outliers_go_and_clean_documents_stay(make_docs):
     assert {r.doc_id for r in rows if r.kept} == {d for d, *_ in clean}
 
 
+def cells_of(spark, rows, grp="g"):
+    data = [(grp, *map(int, v), n) for v, n in Counter(map(tuple, rows.tolist())).items()]
+    return spark.createDataFrame(data, f"grp string, {', '.join(f'{s} long' for s in quality.STATS)}, n long")
+
+
+def test_more_starts_reach_a_smaller_determinant(spark):
+    """Two thirds on a thin slanted sheet, a third in a cluster that pulls medians and quartiles away."""
+    rng = np.random.default_rng(5)
+    sheet = rng.normal(0, 500, (600, 1)) @ np.array([[1, -1, 1, -1]]) + rng.normal(0, 20, (600, 4))
+    cluster = rng.normal(0, 60, (190, 4)) + np.array([900, 900, 900, 900])
+    rows = np.concatenate([sheet, cluster]).round().astype(int)
+    cells = cells_of(spark, rows)
+    got = {}
+    for starts in (0, quality.STARTS):
+        row = quality.minimum_determinants(cells, starts).collect()
+        assert len(row) == 1
+        want = smallest_determinant(rows / 256, starts)
+        assert row[0].log_det == pytest.approx(log_det(want), abs=1e-9)
+        assert [row[0][f"m_{s}"] for s in quality.STATS] == pytest.approx(list(want[0]), abs=1e-9)
+        got[starts] = row[0].log_det
+    assert got[quality.STARTS] <= got[0]
+    # No further step lowers it.
+    best = smallest_determinant(rows / 256)
+    assert log_det(step(rows / 256, best)) >= log_det(best) - quality.FALL
+
+
+def test_groups_of_one_vector_and_none(spark):
+    one = quality.minimum_determinants(cells_of(spark, np.array([[256, 0, 0, 512]] * 3))).collect()
+    assert [one[0][f"m_{s}"] for s in quality.STATS] == [1.0, 0.0, 0.0, 2.0]
+    assert one[0].log_det == pytest.approx(2 * sum(map(math.log, quality.FLOORS.values())))
+    assert quality.minimum_determinants(cells_of(spark, np.array([[1, 2, 3, 4]])).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text,want", [("a b c a b c", 6), ("a b c d", 0), ("a a a a", 4), ("", 0), ("x a b c y a b c z", 6)])
 def test_repeated_words(make_docs, text, want):
     row = quality.base_statistics(make_docs([(1, text, "en", "s")], extra=False)).first()
