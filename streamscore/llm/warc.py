@@ -1,6 +1,7 @@
 """WARC archives of pages, written and read as rows of chunks.
 
-Payloads travel as (record, chunk number) rows of at most `CHUNK` bytes. The writer
+Payloads travel as (record, chunk number) rows of at most `CHUNK` bytes, cut in the task
+that reads the page; digests and ids alone decide which records are revisits. The writer
 streams them into gzip members, one per record, and checks the digest it announced
 in the header against the one it carried along. The reader streams the archives and
 yields chunk rows again, each with the bytes and the SHA-1 up to and including it,
@@ -38,52 +39,61 @@ CHUNKS = (
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row per page: page_id, url, payload, digests, n_bytes, record_type, refers_to.
+def _payloads(pages: DataFrame) -> DataFrame:
+    payload = text_of("html").cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    return rows.withColumn("key", F.sha2("payload", 256))
+
+
+def record_heads(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """One row per different page_id and payload: page_id, key, sha1, n_bytes, refers_to.
 
     Payloads under `min_bytes` are all responses. Null html is an empty payload.
     Pages that share the largest page_id of their group are all responses; pages
     without an id refer to that page, and are responses if their group has no id.
-    Equal payloads are found by SHA-256 and length, aggregated before the shuffle.
+    Equal payloads are found by SHA-256 and length, aggregated before the shuffle;
+    payloads themselves go no further than the task that reads them.
     """
-    payload = text_of("html").cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn(
-        "key", F.sha2("payload", 256)
-    )
-    small = rows.select(
+    small = _payloads(pages).select(
         "page_id", "key", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("n_bytes")
     )
     small = stored(small.distinct(), "warc-digests")
     groups = stored(small.groupBy("key").agg(F.max("page_id").alias("first")), "warc-groups")
-    judged = small.join(groups, "key").withColumn(
-        "refers_to",
-        F.when((F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")),
-    )
-    same = (F.col("r.key") == F.col("j.key")) & F.col("r.page_id").eqNullSafe(F.col("j.page_id"))
-    return rows.alias("r").join(judged.alias("j"), same).select(
-        "r.page_id",
-        "r.url",
-        "j.sha1",
-        "j.n_bytes",
-        "j.refers_to",
-        F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
-        F.when(F.col("refers_to").isNull(), F.col("r.payload")).alias("payload"),
+    other = (F.col("n_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return small.join(groups, "key").select(
+        "page_id", "key", "sha1", "n_bytes", F.when(other, F.col("first")).alias("refers_to")
     )
 
 
 def chunk_rows(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Records as rows of at most `size` payload bytes, at least one per record, in order."""
+    """Records as rows of at most `size` payload bytes, at least one per record, in order.
+
+    Only the numbers of the chunks are made at once; each row cuts its own bytes. Null and
+    empty payloads give one row with null or no bytes.
+    """
     n = F.coalesce(F.length("payload"), F.lit(0))
     last = F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")
-    one = F.array(F.struct(F.lit(0).alias("no"), F.col("payload").alias("bytes")))
-    many = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("no"), F.substring(F.col("payload"), i * size + 1, F.lit(size)).alias("bytes")),
+    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("no"))
+    piece = F.substring("payload", F.col("no") * size + 1, F.lit(size))
+    return numbered.withColumn("bytes", piece).drop("payload")
+
+
+def record_chunks(pages: DataFrame, min_bytes: int = 0, size: int = CHUNK) -> DataFrame:
+    """Chunk rows with the heads of their records; those of a record follow each other in a task.
+
+    Pages are cut into chunks where they are read, so what is shuffled and sorted has at
+    most `size` bytes a row. Revisits keep one row without bytes. A record's chunks come
+    from one task and share a key, so they meet in one task again however a join is split.
+    """
+    heads = stored(record_heads(pages, min_bytes), "warc-heads")
+    chunks = chunk_rows(_payloads(pages).withColumn("record", F.monotonically_increasing_id()), size)
+    same = (F.col("c.key") == F.col("h.key")) & F.col("c.page_id").eqNullSafe(F.col("h.page_id"))
+    both = chunks.alias("c").join(heads.alias("h"), same)
+    whole = F.col("refers_to").isNull()
+    both = both.filter(whole | (F.col("no") == 0))
+    return both.sortWithinPartitions("c.key", "c.page_id", "record", "no").select(
+        "c.page_id", "url", "sha1", "n_bytes", "refers_to", "no", F.when(whole, F.col("bytes")).alias("bytes")
     )
-    chunks = F.explode(F.when(n <= size, one).otherwise(many))
-    return rows.select(*[c for c in rows.columns if c != "payload"], chunks.alias("chunk")).select(
-        "*", "chunk.no", "chunk.bytes"
-    ).drop("chunk")
 
 
 def _filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -125,7 +135,7 @@ def _head(page_id, url, sha1, n_bytes, refers_to) -> tuple[bytes, bytes]:
     return f"WARC/1.1\r\n{lines}\r\n".encode(), http.encode()
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, size: int = CHUNK) -> DataFrame:
     """Write gzip archives to `folder`, one per task, and return the stored list of them.
 
     `folder` must be one that all executors reach. Every attempt of a task writes a
@@ -163,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             row = {"file": [f"{folder}/{name}"], "n_records": [n_records], "n_bytes": [size]}
             yield pa.RecordBatch.from_pydict(row)
 
-    written = chunk_rows(records(pages, min_bytes)).mapInArrow(run, MANIFEST)
+    written = record_chunks(pages, min_bytes, size).mapInArrow(run, MANIFEST)
     return stored(written, "warc-list")
 
 
@@ -306,7 +316,7 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     One row per row of `pages`: page_id, payload_bytes, payload_digest, record_type and
     refers_to. Null html is an empty payload; null and repeated ids, and rows that are equal,
-    are records of their own (see `records` for which of them refer to which). Columns other
+    are records of their own (see `record_heads` for which of them refer to which). Columns other
     than page_id, url and html are ignored, whatever their names; an empty table gives no rows.
     """
     spark = pages.sparkSession

@@ -88,15 +88,26 @@ def records(rows, min_bytes=0):
         yield page_id, len(payload), digest, "revisit" if other else "response", first if other else None
 
 
-@pytest.mark.parametrize("min_bytes", [0, 5])
-def test_archives_round_trip(spark, min_bytes):
+@pytest.mark.parametrize("min_bytes,size,threshold", [(0, warc.CHUNK, "10m"), (5, 7_000, "10m"), (0, 7_000, "-1")])
+def test_archives_round_trip(spark, min_bytes, size, threshold):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        round_trip(spark, min_bytes, size)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def round_trip(spark, min_bytes, size):
     rng = random.Random(1)
     big = "".join(rng.choices("abcdé\r\n\x00", k=300_000))
     rows = [(1, "http://a/", "x\r\n\r\ny"), (2, None, None), (3, "http://b/ä b\r\n", ""), (9, "u", big)]
     rows += [(10 + k, "u", f"page {k % 7}") for k in range(40)] + [(5, "u", big), (None, "n", "only")]
     rows += [(None, "n", "page 3"), (60, "u", "abcd"), (61, "u", "abcd")]
+    # Equal rows of several chunks: both are records of their own.
+    rows += [(70, "u", big[:60_000])] * 2
     df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES).repartition(4)
-    archives = warc.write_archives(df, shared_dir(spark, "warc"), min_bytes)
+    archives = warc.write_archives(df, shared_dir(spark, "warc"), min_bytes, size=size)
     chunks = warc.read_archives(spark, archives, chunk=10_000)
     got = [tuple(r) for r in warc.page_records(chunks).collect()]
     assert sorted(got, key=str) == sorted(records(rows, min_bytes), key=str)
@@ -132,6 +143,15 @@ def test_chunks_of_payloads(spark):
     assert rows == [(1, 0, b"abc"), (1, 1, b"def"), (1, 2, b"g"), (2, 0, b""), (3, 0, None)]
 
 
+def test_chunks_are_cut_before_they_travel(spark):
+    """No exchange carries a whole payload, whichever join is chosen."""
+    df = spark.createDataFrame([(k, "u", "x" * 5000) for k in range(20)], "page_id long, url string, html string")
+    chunks = warc.record_chunks(df, size=1000)
+    assert max(len(r.bytes or b"") for r in chunks.collect()) == 1000
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Generate explode")
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(df).count() == 0
