@@ -1,6 +1,9 @@
 """Quality rules: robust multivariate outliers per language and source.
 
-Every document gets base counts and a vector of four transformed shares. Per
+Every document gets base counts and a vector of four transformed shares. Its share of
+symbols leaves out those that stand alone as words, which are layout (bullets, headings,
+bars of tables); n_symbols counts them all, and the mean word length counts such words,
+so that texts made of little else stand out. Per
 language and source the minimum covariance determinant (MCD) is sought from several
 starts: the medians, and `STARTS` draws of five different vectors. A concentration
 step takes the distances from a centre and covariance and then centre and covariance
@@ -72,7 +75,7 @@ def _covered(starts: Column) -> Column:
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Null texts have no words. Lines end at \\n; a line counts as a copy if it has
+    Besides, n_lines and n_lone_symbols, the words that are a single symbol. Null texts have no words. Lines end at \\n; a line counts as a copy if it has
     a word and equals an earlier line of the document.
     """
     body = text_of(text)
@@ -88,12 +91,14 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     df = df.withColumn("_starts", starts)
     n_words = F.size("_words").cast("long")
+    lone = F.size(F.filter("_words", lambda w: (F.length(w) == 1) & F.lit(SYMBOLS).contains(w)))
     repeats = _covered(F.col("_starts")).cast("long")
     return df.withColumns(
         {
             "n_words": n_words,
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "n_lone_symbols": lone.cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeats,
@@ -103,10 +108,11 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _vector() -> dict[str, Column]:
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    share = lambda a, b: (F.col(a) if isinstance(a, str) else a) / F.greatest(F.col(b), F.lit(1))
+    noise = F.col("n_symbols") - F.col("n_lone_symbols")
     values = {
         "x_length": F.log(F.greatest(share("word_chars", "n_words"), F.lit(0.5))),
-        "x_symbols": F.log1p(20 * share("n_symbols", "word_chars")),
+        "x_symbols": F.log1p(20 * share(noise, "word_chars")),
         "x_lines": F.asin(F.sqrt(F.least(share("n_dup_lines", "n_lines"), F.lit(1.0)))),
         "x_repeats": F.asin(F.sqrt(F.least(share("n_repeat_words", "n_words"), F.lit(1.0)))),
     }

@@ -24,15 +24,16 @@ def counts(text):
         copies += line in seen
         seen.add(line)
     symbols = sum(c in quality.SYMBOLS for c in text)
-    return len(words), sum(map(len, words)), symbols, copies, len(covered), len(lines)
+    lone = sum(len(w) == 1 and w in quality.SYMBOLS for w in words)
+    return len(words), sum(map(len, words)), symbols, copies, len(covered), len(lines), lone
 
 
-def vector(n, chars, symbols, copies, repeats, lines):
+def vector(n, chars, symbols, copies, repeats, lines, lone):
     half_up = lambda x: math.floor(x * 256 + 0.5)
     share = lambda a, b: min(a / max(b, 1), 1.0)
     return [
         half_up(math.log(max(chars / max(n, 1), 0.5))),
-        half_up(math.log1p(20 * symbols / max(chars, 1))),
+        half_up(math.log1p(20 * (symbols - lone) / max(chars, 1))),
         half_up(math.asin(math.sqrt(share(copies, lines)))),
         half_up(math.asin(math.sqrt(share(repeats, n)))),
     ]
@@ -108,7 +109,7 @@ def judged(rows):
     for k, (_, text, lang, source) in enumerate(rows):
         groups[lang, source].append((k, counts(text)))
     for members in groups.values():
-        failed = [n < 50 or 100 * r > 50 * n for _, (n, _, _, _, r, _) in members]
+        failed = [n < 50 or 100 * r > 50 * n for _, (n, _, _, _, r, *_) in members]
         fit = ~np.array(failed)
         d = distances([vector(*c) for _, c in members], fit) if fit.any() else [0.0] * len(members)
         for (k, c), bad, far in zip(members, failed, d):
@@ -148,6 +149,23 @@ def test_outliers_go_and_clean_documents_stay(make_docs):
     assert {r.doc_id for r in rows if r.kept} == {d for d, *_ in clean}
 
 
+def test_tables_and_lists_stay(make_docs):
+    """Symbols that stand alone are layout; those inside words are noise."""
+    rng = random.Random(6)
+    prose = lambda n: [f"{rng.choice(['lorem', 'ipsum', 'dolor', 'amet'])}{rng.randrange(99)}" for _ in range(n)]
+    clean = [(k, " ".join(prose(rng.randint(60, 400))), "en", "a") for k in range(100)]
+    cells = lambda n: [" ".join(prose(3)) for _ in range(n)]
+    tables = [(200 + k, "\n".join(" | ".join(cells(5)) for _ in range(30)), "en", "a") for k in range(6)]
+    lists = [(300 + k, "\n".join(f"* {' '.join(prose(3))}" for _ in range(40)), "en", "a") for k in range(6)]
+    noise = [(400 + k, " ".join(f"{w}***" for w in prose(120)), "en", "a") for k in range(6)]
+    bars = [(500 + k, " | # " * 60 + " ".join(prose(60)), "en", "a") for k in range(6)]
+    rows = [*clean, *tables, *lists, *noise, *bars]
+    got = quality.quality_rules(make_docs(rows)).collect()
+    check(rows, got)
+    assert {r.doc_id for r in got if not r.kept} == {d for d, *_ in noise + bars}
+    assert all(r.n_symbols == 120 for r in got if 200 <= r.doc_id < 300)
+
+
 def cells_of(spark, rows, grp="g"):
     data = [(grp, *map(int, v), n) for v, n in Counter(map(tuple, rows.tolist())).items()]
     return spark.createDataFrame(data, f"grp string, {', '.join(f'{s} long' for s in quality.STATS)}, n long")
