@@ -141,15 +141,18 @@ def campaign_summary(performance: DataFrame) -> DataFrame:
 
 
 def metrics_json(summary: DataFrame) -> DataFrame:
-    """The campaign summary as one JSON document per campaign and channel.
+    """The campaign summary as one JSON document, most revenue first.
 
-    A caller who needs them in one text joins them by `revenue`; nothing is gathered here.
+    One row per campaign and channel is gathered. Both names come from the campaign
+    dimension, so its rows and one for unknown campaigns bound them, whatever the events.
     """
     record = F.struct(
-        *["campaign_name", "channel", "impressions", "clicks", "conversions", "revenue", "ctr", "conv_rate"]
+        (-F.col("revenue")).alias("_order"),
+        *["campaign_name", "channel", "impressions", "clicks", "conversions", "revenue", "ctr", "conv_rate"],
     )
-    metrics = F.to_json(record, {"ignoreNullFields": "false"}).alias("metrics")
-    return summary.select("campaign_name", "channel", "revenue", metrics)
+    ordered = F.sort_array(F.collect_list(record))
+    plain = F.transform(ordered, lambda r: r.dropFields("_order"))
+    return summary.agg(F.to_json(plain, {"ignoreNullFields": "false"}).alias("metrics"))
 
 
 def reach_report(reach: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +48,21 @@ def test_tables_from_user_hours_equal_the_direct_ones(spark, sf_dir):
         )
 
 
+def test_metrics_are_one_document_with_the_most_revenue_first(events):
+    ev = events([
+        ("1", "U1", "CN", "C001", "2024-01-01 10:00:00", 5.0),
+        ("2", "U1", "CN", "C002", "2024-01-01 11:00:00", 7.0),
+        ("3", "U2", "CL", "C009", "2024-01-01 12:00:00", None),
+    ])
+    summary = campaigns.campaign_summary(campaigns.campaign_performance(ev))
+    rows = campaigns.metrics_json(summary).collect()
+    assert len(rows) == 1 and list(rows[0].asDict()) == ["metrics"]
+    metrics = json.loads(rows[0]["metrics"])
+    assert [m["revenue"] for m in metrics] == [7.0, 5.0, 0.0]
+    assert metrics[2]["campaign_name"] is None and metrics[2]["ctr"] is None
+    assert metrics[2]["clicks"] == 1
+
+
 def test_histogram_adds_up(spark, sf_dir):
     reach = campaigns.reach_frequency(fx.enriched(spark, sf_dir))
     report = campaigns.reach_report(reach).collect()
