@@ -46,7 +46,7 @@ def touchpoints(events: DataFrame) -> DataFrame:
         measures={"touch_idx": F.lit(1)},
         totals={
             "touchpoint_count": F.count(F.lit(1)),
-            "_conversions": count_if(_converting()),
+            "_conversions": F.count(F.when(_converting(), 1)),
             "conversion_value": F.sum(
                 F.when(_converting(), money("event_value")).otherwise(0)
             ),

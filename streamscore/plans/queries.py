@@ -22,7 +22,7 @@ from streamscore.schemas import ENRICHED, PAID_SEARCH, UNIFIED
 from streamscore.session import prepare
 from streamscore.sources import ingest, tables
 from streamscore.sources.registry import ModelRegistry, next_version
-from streamscore.sources.storage import shared_dir
+from streamscore.sources.storage import shared_dir, stored
 from streamscore.streaming import jobs
 from streamscore.streaming import tables as streams
 
@@ -653,7 +653,7 @@ def stream_pipeline(spark, sf_dir):
 
 @query
 def stream_user_features(spark, sf_dir):
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     clock = lambda i: fx.BATCHES[i][2]
     table = streams.user_features_table(spark, shared_dir(spark, "user_features"), clock)
@@ -687,7 +687,7 @@ def stream_online_features(spark, sf_dir):
     """A backfill, then a stream that brings events from before the backfill, too."""
     table = streams.tiles_table(spark, shared_dir(spark, "tiles"))
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     number = F.regexp_extract("event_id", "([0-9]+)", 1).cast("bigint")
     for batch in range(4):
         tables.append_events(events.filter(number % 4 == batch), source)
@@ -705,7 +705,7 @@ def stream_online_features(spark, sf_dir):
 def _levels(spark, sf_dir):
     levels = streams.tile_levels(spark, shared_dir(spark, "levels"))
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     for batch in reversed(range(len(fx.BATCHES))):
         tables.append_events(fx.batch_of(events, batch), source)
         changes = tables.read_changes(spark, source, ENRICHED)
@@ -726,7 +726,7 @@ def stream_online_levels(spark, sf_dir):
 
 def _user_hours(spark, sf_dir) -> DataFrame:
     user_hours = streams.user_hours_table(spark, shared_dir(spark, "user_hours"))
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in range(len(fx.BATCHES)):
         tables.append_events(fx.batch_of(events, batch), source)
@@ -749,7 +749,7 @@ def stream_reach_frequency(spark, sf_dir):
 @query
 def stream_attribution(spark, sf_dir):
     table = streams.journey_channels_table(spark, shared_dir(spark, "journeys"))
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in range(len(fx.BATCHES)):
         tables.append_events(fx.batch_of(events, batch), source)
@@ -762,7 +762,7 @@ def _decay_state(spark, sf_dir):
     """Journeys kept by a stream; its first batch brings the latest events."""
     touches = streams.touches_table(spark, shared_dir(spark, "touches"))
     cells = streams.decay_cells_table(spark, shared_dir(spark, "cells"))
-    events = fx.enriched(spark, sf_dir)
+    events = stored(fx.enriched(spark, sf_dir), "enriched")  # read by every batch
     source, progress = shared_dir(spark, "arriving"), shared_dir(spark, "progress")
     for batch in reversed(range(len(fx.BATCHES))):
         tables.append_events(fx.batch_of(events, batch), source)

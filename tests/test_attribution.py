@@ -218,3 +218,23 @@ def test_running_totals_of_moments_without_rows_or_ties(spark):
     assert sorted((r["k"], r["at"] or 0, r["tie"] or "", r["total"], r["rows"]) for r in got.collect()) == [
         ("a", 0, "y", 4, 3), ("a", 1, "", 5, 3), ("a", 1, "x", 7, 3), ("b", 0, "x", None, 2), ("b", 1, "x", 3, 2)
     ]
+
+
+def test_only_keys_in_several_parts_are_summed_up_apart(spark):
+    data = [("long", i) for i in range(3000)] + [(f"u{i:04d}", i) for i in range(3000)] + [(None, 1)]
+    table = spark.createDataFrame(data, "k string, at int")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_running(table, "k", {"idx": F.lit(1)}, ["at"], {"rows": F.count(F.lit(1))})
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    # Totals of keys in one part come from the row-level window, without a join of all keys.
+    assert "Join LeftOuter" in plan and "rightHint=(strategy=broadcast)" in plan
+    long = sorted((r for r in rows if r["k"] == "long"), key=lambda r: r["at"])
+    assert len({r["_part"] for r in long}) > 1
+    assert [(r["idx"], r["rows"]) for r in long] == [(i + 1, 3000) for i in range(3000)]
+    others = [r for r in rows if r["k"] != "long"]
+    assert len(others) == 3000 and {(r["idx"], r["rows"]) for r in others} == {(1, 1)}
