@@ -25,7 +25,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols, HasLabelCol
+from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasMaxIter
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,22 +37,30 @@ BINS = 256
 UNIT = 2.0**24
 
 # Margins are stored after so many trees; in between, tasks add the newest trees themselves.
-STORED_EVERY = 20
+STORED_EVERY = 10
 
-# One task holds about so many rows of some 40 bytes; fewer rows are one task, whose sums need no shuffle.
+# One task holds about so many rows of some 26 bytes; fewer rows are one task, whose sums need no shuffle.
 ROWS_PER_TASK = 1_000_000
 
 CELLS = "cell bigint, gradient bigint, curvature bigint, n bigint"
 
+# Rows are kept in chunks, one per Arrow batch they came in, of a byte per bin and doubles:
+# a pass then hands few values over to Python instead of a dozen per row.
+CHUNK = "bins binary, label binary, margin binary"
+
 
 def _descend(tree: dict, bins: np.ndarray) -> np.ndarray:
     """The node in which every row (a column of `bins`) ends."""
     feature, cut, left = (np.asarray(tree[k]) for k in ("feature", "cut", "left"))
-    node, rows = np.zeros(bins.shape[1], dtype=np.int64), np.arange(bins.shape[1])
+    # A leaf leads to itself: no bin is above its cut.
+    leaf, size = feature < 0, bins.shape[1]
+    left = np.where(leaf, np.arange(len(left)), left)
+    cut = np.where(leaf, BINS, cut).astype(np.int16)
+    start = np.where(leaf, 0, feature) * size
+    flat, rows = bins.reshape(-1), np.arange(size)
+    node = np.zeros(size, dtype=np.int64)
     for _ in range(tree["depth"]):
-        inner = feature[node] >= 0
-        right = bins[np.maximum(feature[node], 0), rows] > cut[node]
-        node = np.where(inner, left[node] + right, node)
+        node = left.take(node) + (flat.take(start.take(node) + rows) > cut.take(node))
     return node
 
 
@@ -61,12 +69,20 @@ def _gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.rint((p - label) * UNIT), np.rint(p * (1.0 - p) * UNIT)
 
 
-def _matrix(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    return np.stack([batch.column(f"b{i}").to_numpy() for i in range(n)])
+def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins (a row per feature), labels and margins of every chunk."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            bins, label, margin = (batch.column(c)[row].as_buffer() for c in ("bins", "label", "margin"))
+            yield np.frombuffer(bins, np.uint8).reshape(n, -1), np.frombuffer(label), np.frombuffer(margin)
+
+
+def _chunk(bins: np.ndarray, label: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (bins, label, margin)]
+    return pa.RecordBatch.from_arrays(columns, ["bins", "label", "margin"])
 
 
-def _margins(batch: pa.RecordBatch, bins: np.ndarray, trees: list[dict]) -> np.ndarray:
-    margin = batch.column("margin").to_numpy()
+def _moved(margin: np.ndarray, bins: np.ndarray, trees: list[dict]) -> np.ndarray:
     for tree in trees:
         margin = margin + np.asarray(tree["value"])[_descend(tree, bins)]
     return margin
@@ -74,22 +90,23 @@ def _margins(batch: pa.RecordBatch, bins: np.ndarray, trees: list[dict]) -> np.n
 
 def _cells(rows: DataFrame, n: int, trees: list[dict], growing: dict, open_nodes: list[int]) -> dict:
     """Sums per open node, feature and bin: three arrays of that shape."""
-    place = np.full(len(growing["feature"]), -1, dtype=np.int64)
-    place[open_nodes] = np.arange(len(open_nodes))
-    size = len(open_nodes) * n * BINS
+    many = len(open_nodes)
+    # Rows in closed nodes are added up behind the open ones and left out.
+    place = np.full(len(growing["feature"]), many * BINS, dtype=np.int64)
+    place[open_nodes] = np.arange(many) * BINS
+    size = many * n * BINS
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, size), dtype=np.int64)
-        for batch in batches:
-            bins = _matrix(batch, n)
-            gradient, curvature = _gradients(_margins(batch, bins, trees), batch.column("label").to_numpy())
-            at = place[_descend(growing, bins)]
-            inside = at >= 0
+        sums = np.zeros((3, many, n, BINS), dtype=np.int64)
+        for bins, label, margin in _chunks(batches, n):
+            gradient, curvature = _gradients(_moved(margin, bins, trees), label)
+            at = place.take(_descend(growing, bins))
             for i in range(n):
-                cell = ((at * n + i) * BINS + bins[i])[inside]
-                for s, weights in enumerate((gradient, curvature)):
-                    sums[s] += np.rint(np.bincount(cell, weights[inside], size)).astype(np.int64)
-                sums[2] += np.bincount(cell, minlength=size)
+                cell = at + bins[i]
+                for s, weights in enumerate((gradient, curvature, None)):
+                    cells = np.bincount(cell, weights, (many + 1) * BINS)[: many * BINS]
+                    sums[s, :, i] += np.rint(cells).astype(np.int64).reshape(many, BINS)
+        sums = sums.reshape(3, size)
         used = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), *(pa.array(s[used]) for s in sums)], ["cell", "gradient", "curvature", "n"]
@@ -201,30 +218,26 @@ def _binned(rows: DataFrame, inputs: list[str], label: str, edges: list[list[flo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [
-                pa.array(np.searchsorted(e, batch.column(i).to_numpy()).astype(np.int16)) for i, e in enumerate(edges)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, batch.column("label"), pa.array(np.full(batch.num_rows, base))],
-                [*(f"b{i}" for i in range(len(edges))), "label", "margin"],
-            )
+            if batch.num_rows:
+                bins = [np.searchsorted(e, batch.column(i).to_numpy()).astype(np.uint8) for i, e in enumerate(edges)]
+                yield _chunk(np.stack(bins), batch.column("label").to_numpy(), np.full(batch.num_rows, base))
 
-    schema = ", ".join(f"b{i} smallint" for i in range(len(inputs))) + ", label double, margin double"
-    return plain.mapInArrow(cut, schema)
+    return plain.mapInArrow(cut, CHUNK)
 
 
 def _with_margins(rows: DataFrame, n: int, trees: list[dict]) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = pa.array(_margins(batch, _matrix(batch, n), trees))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], margin], batch.schema.names)
+        for bins, label, margin in _chunks(batches, n):
+            yield _chunk(bins, label, _moved(margin, bins, trees))
 
-    return rows.mapInArrow(add, rows.schema)
+    return rows.mapInArrow(add, CHUNK)
 
 
 def _held(rows: DataFrame, tasks: int) -> DataFrame:
     """Written to the shared folder, so that lost executors cost one read, and kept in memory."""
-    return stored(rows, "boosting").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = stored(rows, "boosting")
+    dealt = kept.repartition(tasks) if tasks > 1 else kept.coalesce(1)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _let_go(rows: DataFrame) -> None:
@@ -248,11 +261,10 @@ def probability_sql(ensemble: dict, inputs: list[str]) -> str:
     return f"1D / (1D + exp(-({margin})))"
 
 
-class _BoostingParams(HasInputCols, HasLabelCol):
+class _BoostingParams(HasInputCols, HasLabelCol, HasMaxIter):
     def _param(name: str, doc: str, converter):  # noqa: N805
         return Param(Params._dummy(), name, doc, typeConverter=converter)
 
-    rounds = _param("rounds", "most trees", TypeConverters.toInt)
     maxDepth = _param("maxDepth", "most cuts on the way to a leaf", TypeConverters.toInt)
     maxLeaves = _param("maxLeaves", "most leaves of a tree", TypeConverters.toInt)
     stepSize = _param("stepSize", "share of a leaf's value that counts", TypeConverters.toFloat)
@@ -264,9 +276,10 @@ class _BoostingParams(HasInputCols, HasLabelCol):
 class BoostedTrees(Estimator, _BoostingParams, DefaultParamsReadable, DefaultParamsWritable):
     """Estimator over numeric columns; missing values are an error, as for the other families.
 
-    Stops before `rounds` once a round finds no cut and would move margins by less than a
-    millionth. Without rows or with one class only, all scores are the class share (kept
-    within a millionth of 0 and 1).
+    `rounds` is the parameter `maxIter`, named as in Spark's own boosted trees. Stops before
+    it once a round finds no cut and would move margins by less than a millionth. Without
+    rows or with one class only, all scores are the class share (kept within a millionth of
+    0 and 1).
     """
 
     @keyword_only
@@ -275,7 +288,7 @@ class BoostedTrees(Estimator, _BoostingParams, DefaultParamsReadable, DefaultPar
         l2=0.0, minCurvature=1e-3, minRows=20,
     ):
         super().__init__()
-        self._set(**{k: v for k, v in {"labelCol": labelCol, "rounds": rounds, "maxDepth": maxDepth,
+        self._set(**{k: v for k, v in {"labelCol": labelCol, "maxIter": rounds, "maxDepth": maxDepth,
             "maxLeaves": maxLeaves, "stepSize": stepSize, "l2": l2, "minCurvature": minCurvature,
             "minRows": minRows, "inputCols": inputCols}.items() if v is not None})
 
@@ -292,7 +305,7 @@ class BoostedTrees(Estimator, _BoostingParams, DefaultParamsReadable, DefaultPar
         trees: list[dict] = []
         rows, fresh = _held(_binned(dataset, inputs, label, edges, base), tasks), 0
         try:
-            for _ in range(get("rounds")):
+            for _ in range(self.getMaxIter()):
                 if fresh == STORED_EVERY:
                     older, rows = rows, _held(_with_margins(rows, n, trees[-fresh:]), tasks)
                     _let_go(older)

@@ -315,6 +315,20 @@ def test_boosted_trees_equal_leaf_wise_growth_in_numpy(spark, monkeypatch, leave
     assert again.getOrDefault("ensemble") == model.getOrDefault("ensemble")
 
 
+def test_boosting_keeps_rows_in_chunks(spark):
+    from streamscore.operators import boosting
+
+    table, rows = boosting_rows(spark)
+    inputs = ["a", "b", "c d"]
+    edges, count = boosting.bin_edges(table, inputs)
+    held = boosting._binned(table.repartition(3), inputs, "label", edges, 0.25)
+    chunks = held.collect()
+    assert len(chunks) == 3  # one per batch, so a pass hands over few values whatever the rows are
+    assert sum(len(c["bins"]) for c in chunks) == 3 * count
+    assert sum(len(c["label"]) + len(c["margin"]) for c in chunks) == 16 * count
+    assert boosting.BoostedTrees(inputCols=inputs, rounds=7).getMaxIter() == 7
+
+
 def test_boosted_trees_on_odd_tables(spark):
     from streamscore.operators.boosting import BoostedTrees
 
