@@ -20,6 +20,7 @@ from streamscore.functions.scalar import count_if, ratio, score_bucket
 from streamscore.operators.boosting import BoostedTrees
 from streamscore.operators.features import MODEL_FEATURES, training_frame
 from streamscore.sources.registry import ModelRegistry
+from streamscore.sources.storage import drop_folder, shared_dir
 
 SEED = 42
 TRAIN_SHARE = 0.7
@@ -118,6 +119,22 @@ def _side_by_side(spark: SparkSession, work: dict[str, Callable]) -> dict:
         return {name: done.result() for name, done in running.items()}
 
 
+def without_summary(spark: SparkSession, model: PipelineModel) -> PipelineModel:
+    """The model without summaries of its training, which hold the session.
+
+    Tasks carry the whole model, and a session that has ever had a tag or an observation
+    cannot be serialised. Saved models have no summary, so the model is saved and read back.
+    """
+    if not any(getattr(stage, "hasSummary", False) for stage in model.stages):
+        return model
+    path = shared_dir(spark, "model")
+    model.write().save(path)
+    try:
+        return PipelineModel.load(path)
+    finally:
+        drop_folder(spark, path)
+
+
 def train_candidates(
     training: DataFrame, pipelines: dict[str, Pipeline]
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
@@ -132,7 +149,8 @@ def train_candidates(
     try:
         train.count()
         test.count()
-        models = _side_by_side(spark, {name: partial(p.fit, train) for name, p in pipelines.items()})
+        fit = lambda pipeline: without_summary(spark, pipeline.fit(train))
+        models = _side_by_side(spark, {name: partial(fit, p) for name, p in pipelines.items()})
         rows = [
             Row(model=name, **evaluate(model.transform(test))) for name, model in models.items()
         ]

@@ -111,6 +111,22 @@ def test_retraining_registers_promotes_and_scores(spark, features, tmp_path):
     assert means[True] > means[False] + 0.3
 
 
+def test_models_train_and_score_in_sessions_with_tags_and_observations(spark, features):
+    from pyspark.sql import Observation
+
+    session = spark.newSession()
+    session.addTag("weekly")
+    counted = Observation("users")
+    session.range(3).observe(counted, F.count(F.lit(1)).alias("n")).collect()
+    assert counted.get == {"n": 3}
+    rows = session.createDataFrame(features.collect(), features.schema)
+    training = ml.stratified_split(ml.training_frame(rows))
+    models, board = ml.train_candidates(training, ml.candidates(210, rounds=2, trees=3))
+    assert sorted(r["model"] for r in board.collect()) == sorted(models)
+    for model in models.values():
+        assert ml.user_propensity(rows, model).agg(F.count("propensity_score")).first()[0] == 300
+
+
 @pytest.mark.parametrize("family", ["logreg_reg", "random_forest", "gbt_fast", "gbt_slow", "spark_gbt"])
 def test_compiled_models_score_like_the_saved_pipeline(spark, features, tmp_path, family):
     from pyspark.ml import PipelineModel
