@@ -127,6 +127,18 @@ def test_models_train_and_score_in_sessions_with_tags_and_observations(spark, fe
         assert ml.user_propensity(rows, model).agg(F.count("propensity_score")).first()[0] == 300
 
 
+def test_retraining_in_a_tagged_session(spark, features, tmp_path):
+    from streamscore.operators import compiled
+
+    session = spark.newSession()
+    session.addTag("weekly")
+    rows = session.createDataFrame(features.collect(), features.schema)
+    registry = ModelRegistry(session, str(tmp_path / "registry"))
+    assert ml.retrain(rows, registry, "t1", rounds=2, trees=3) == "V1"
+    scores = compiled.compiled_scores(rows, compiled.compiled_probability(session, registry.model_path()))
+    assert scores.agg(F.count("propensity_score")).first()[0] == 300
+
+
 @pytest.mark.parametrize("family", ["logreg_reg", "random_forest", "gbt_fast", "gbt_slow", "spark_gbt"])
 def test_compiled_models_score_like_the_saved_pipeline(spark, features, tmp_path, family):
     from pyspark.ml import PipelineModel
