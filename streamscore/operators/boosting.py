@@ -4,6 +4,8 @@ Features are cut into at most 256 bins by quantiles once. A tree then needs one
 over the rows per level: every task adds up gradients, curvatures and rows per node,
 feature and bin, Spark sums these cells, and the best cuts are chosen from the sums.
 What reaches the driver is bounded by nodes x features x bins, whatever the rows are.
+Rows that are few enough for one task need no sums of others: their task grows the trees
+between two stored margins in one go, the same ones to the bit.
 Gradients are whole multiples of 2^-24, so sums do not depend on how rows are dealt, and
 a pass that is run again after the loss of an executor gives the same tree.
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,25 +90,39 @@ def _moved(margin: np.ndarray, bins: np.ndarray, trees: list[dict]) -> np.ndarra
     return margin
 
 
-def _cells(rows: DataFrame, n: int, trees: list[dict], growing: dict, open_nodes: list[int]) -> dict:
-    """Sums per open node, feature and bin: three arrays of that shape."""
+def _sums(
+    parts: Iterable[tuple], n: int, width: int, growing: dict, open_nodes: list[int]
+) -> np.ndarray:
+    """Gradients, curvatures and rows of chunks, summed per open node, feature and bin (of `width`)."""
     many = len(open_nodes)
     # Rows in closed nodes are added up behind the open ones and left out.
-    place = np.full(len(growing["feature"]), many * BINS, dtype=np.int64)
-    place[open_nodes] = np.arange(many) * BINS
-    size = many * n * BINS
+    place = np.full(len(growing["feature"]), many * width, dtype=np.int64)
+    place[open_nodes] = np.arange(many) * width
+    sums = np.zeros((3, many, n, width), dtype=np.int64)
+    for bins, gradient, curvature in parts:
+        at = place.take(_descend(growing, bins))
+        for i in range(n):
+            cell = at + bins[i]
+            for s, weights in enumerate((gradient, curvature, None)):
+                cells = np.bincount(cell, weights, (many + 1) * width)[: many * width]
+                sums[s, :, i] += np.rint(cells).astype(np.int64).reshape(many, width)
+    return sums
+
+
+def _named(sums: np.ndarray) -> dict:
+    return {name: s / unit for s, name, unit in zip(sums, "ghn", (UNIT, UNIT, 1.0), strict=True)}
+
+
+def _cells(rows: DataFrame, n: int, trees: list[dict], growing: dict, open_nodes: list[int]) -> dict:
+    """Sums per open node, feature and bin: three arrays of that shape."""
+    size = len(open_nodes) * n * BINS
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, many, n, BINS), dtype=np.int64)
-        for bins, label, margin in _chunks(batches, n):
-            gradient, curvature = _gradients(_moved(margin, bins, trees), label)
-            at = place.take(_descend(growing, bins))
-            for i in range(n):
-                cell = at + bins[i]
-                for s, weights in enumerate((gradient, curvature, None)):
-                    cells = np.bincount(cell, weights, (many + 1) * BINS)[: many * BINS]
-                    sums[s, :, i] += np.rint(cells).astype(np.int64).reshape(many, BINS)
-        sums = sums.reshape(3, size)
+        parts = (
+            (bins, *_gradients(_moved(margin, bins, trees), label))
+            for bins, label, margin in _chunks(batches, n)
+        )
+        sums = _sums(parts, n, BINS, growing, open_nodes).reshape(3, size)
         used = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), *(pa.array(s[used]) for s in sums)], ["cell", "gradient", "curvature", "n"]
@@ -115,12 +131,36 @@ def _cells(rows: DataFrame, n: int, trees: list[dict], growing: dict, open_nodes
     summed = rows.mapInArrow(add_up, CELLS).groupBy("cell").agg(
         *[F.sum(c).alias(c) for c in ("gradient", "curvature", "n")]
     )
-    out = np.zeros((3, size))
+    out = np.zeros((3, size), dtype=np.int64)
     table = summed.toArrow()
     cell = table["cell"].to_numpy()
-    for s, (name, unit) in enumerate((("gradient", UNIT), ("curvature", UNIT), ("n", 1.0))):
-        out[s, cell] = table[name].to_numpy() / unit
-    return dict(zip(("g", "h", "n"), out.reshape(3, len(open_nodes), n, BINS), strict=True))
+    for s, name in enumerate(("gradient", "curvature", "n")):
+        out[s, cell] = table[name].to_numpy()
+    return _named(out.reshape(3, len(open_nodes), n, BINS))
+
+
+def _of_one_task(rows: DataFrame, n: int, many: int, growth: dict) -> list[dict]:
+    """The next `many` trees, or those up to the last one, of rows that are one task.
+
+    Nobody else has sums to add, so the task goes on from level to level and tree to tree
+    by itself, where `_cells` takes a job for every level.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, trees = list(_chunks(batches, n)), []
+        while len(trees) < many and not (trees and _settled(trees[-1])):
+            parts = [(bins, *_gradients(margin, label)) for bins, label, margin in chunks]
+            tree = grow(lambda t, nodes: _named(_sums(parts, n, BINS, t, nodes)), **growth)  # noqa: B023
+            trees.append(tree)
+            chunks = [(bins, label, _moved(margin, bins, [tree])) for bins, label, margin in chunks]
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(t) for t in trees], pa.string())], ["tree"])
+
+    return [json.loads(row["tree"]) for row in rows.mapInArrow(run, "tree string").collect()]
+
+
+def _settled(tree: dict) -> bool:
+    """No cut was found, and margins would move by less than a millionth."""
+    return tree["feature"][0] < 0 and abs(tree["value"][0]) < 1e-6
 
 
 def best_cut(g, h, n, l2: float, min_curvature: float, min_rows: int) -> dict | None:
@@ -303,22 +343,27 @@ class BoostedTrees(Estimator, _BoostingParams, DefaultParamsReadable, DefaultPar
         share = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         base = math.log(share / (1 - share))
         trees: list[dict] = []
+        growth = {
+            "depth": get("maxDepth"), "max_leaves": get("maxLeaves"), "step": get("stepSize"), "l2": get("l2"),
+            "min_curvature": get("minCurvature"), "min_rows": get("minRows"),
+        }
         rows, fresh = _held(_binned(dataset, inputs, label, edges, base), tasks), 0
         try:
-            for _ in range(self.getMaxIter()):
+            while len(trees) < (rounds := self.getMaxIter()):
                 if fresh == STORED_EVERY:
                     older, rows = rows, _held(_with_margins(rows, n, trees[-fresh:]), tasks)
                     _let_go(older)
                     fresh = 0
                 newest = trees[len(trees) - fresh :]
-                tree = grow(
-                    lambda t, nodes: _cells(rows, n, newest, t, nodes),  # noqa: B023
-                    get("maxDepth"), get("maxLeaves"), get("stepSize"), get("l2"), get("minCurvature"), get("minRows"),
-                )
-                if tree["feature"][0] < 0 and abs(tree["value"][0]) < 1e-6:
+                if tasks == 1:
+                    found = _of_one_task(rows, n, min(STORED_EVERY, rounds - len(trees)), growth)
+                else:
+                    found = [grow(lambda t, nodes: _cells(rows, n, newest, t, nodes), **growth)]  # noqa: B023
+                done = not found or _settled(found[-1])
+                trees += found[:-1] if done else found
+                fresh += len(found)
+                if done:
                     break
-                trees.append(tree)
-                fresh += 1
         finally:
             _let_go(rows)
         model = BoostedTreesModel(json.dumps({"base": base, "edges": edges, "trees": trees}))

@@ -140,8 +140,8 @@ def train_candidates(
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit all candidates on the train rows; models and leaderboard by AUC.
 
-    The families are fitted side by side, since the many short jobs of one leave most
-    executors idle.
+    The families are fitted and evaluated side by side, since the many short jobs of one
+    leave most executors idle.
     """
     spark = training.sparkSession
     train = training.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
@@ -149,11 +149,14 @@ def train_candidates(
     try:
         train.count()
         test.count()
-        fit = lambda pipeline: without_summary(spark, pipeline.fit(train))
-        models = _side_by_side(spark, {name: partial(fit, p) for name, p in pipelines.items()})
-        rows = [
-            Row(model=name, **evaluate(model.transform(test))) for name, model in models.items()
-        ]
+
+        def raced(pipeline: Pipeline) -> tuple[PipelineModel, dict[str, float]]:
+            model = without_summary(spark, pipeline.fit(train))
+            return model, evaluate(model.transform(test))
+
+        done = _side_by_side(spark, {name: partial(raced, p) for name, p in pipelines.items()})
+        models = {name: model for name, (model, _) in done.items()}
+        rows = [Row(model=name, **metrics) for name, (_, metrics) in done.items()]
     finally:
         train.unpersist()
         test.unpersist()

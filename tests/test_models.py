@@ -357,6 +357,29 @@ def test_boosting_keeps_rows_in_chunks(spark):
     assert boosting.BoostedTrees(inputCols=inputs, rounds=7).getMaxIter() == 7
 
 
+def test_rows_of_one_task_need_few_jobs(spark, monkeypatch):
+    """Many jobs of 150 rows each made retraining last minutes; one job grows ten trees here."""
+    import json
+
+    from streamscore.operators import boosting
+
+    def fitted(group):
+        spark.sparkContext.setJobGroup(group, group)
+        model = boosting.BoostedTrees(inputCols=["a", "b", "c d"], rounds=24, minRows=5).fit(table)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        return json.loads(model.getOrDefault("ensemble")), jobs
+
+    table, _ = boosting_rows(spark, 300)
+    try:
+        one_task, jobs = fitted("boosting in one task")
+        assert len(one_task["trees"]) == 24 and jobs < 24
+        monkeypatch.setattr(boosting, "ROWS_PER_TASK", 100)
+        several, jobs = fitted("boosting in several tasks")
+        assert several == one_task and jobs > 24
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_boosted_trees_on_odd_tables(spark):
     from streamscore.operators.boosting import BoostedTrees
 
