@@ -6,7 +6,13 @@ import pytest
 
 from streamscore.llm.queries import QUERIES
 from streamscore.llm.substring_dedup import substring_dedup
-from streamscore.llm.suffix_dedup import repeated_starts, suffix_array, suffix_dedup, without_repeats
+from streamscore.llm.suffix_dedup import (
+    anchored_starts,
+    repeated_starts,
+    suffix_array,
+    suffix_dedup,
+    without_repeats,
+)
 
 
 def union(starts, window):
@@ -85,6 +91,33 @@ def test_suffix_arrays(seed):
     assert [x.tolist() for x in repeated_starts(pieces, counts, 9)] == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_orders_induced_from_anchors_find_what_full_suffix_arrays_find(seed, monkeypatch):
+    """Only one suffix of a piece is sorted; all bytes of it were, which took most of the time."""
+    import numpy as np
+
+    from streamscore.llm import suffix_dedup
+
+    rng = random.Random(seed)
+    text = lambda low, high: bytes(rng.choices(b"ab" if seed % 2 else b"a\x00cd", k=rng.randint(low, high)))
+    depth, rows = 12, []
+    for group in range(7):
+        anchor = b"<%d>" % group  # nowhere else, so equal windows have it at the same place
+        tails, heads = [text(9, 20) for _ in range(3)], [text(0, 9) for _ in range(3)]
+        for _ in range(rng.choice([1, 2, 2, 9, 40])):
+            head, tail = rng.choice([*heads, text(0, 9)]), rng.choice([*tails, text(9, 14)])
+            rows.append((group, len(head), head + anchor + tail))
+    groups, leads, pieces = zip(*rows)
+    counts = [min(len(x) - depth + 1, lead + 1) for x, lead in zip(pieces, leads)]  # windows with the anchor
+    pieces = [x[: n + depth - 1] for x, n in zip(pieces, counts)]
+    want = [x.tolist() for x in repeated_starts(pieces, counts, depth)]
+    monkeypatch.setattr(suffix_dedup, "suffix_array", None)
+    got = anchored_starts(pieces, np.array(groups), np.array(leads), depth)
+    assert [x.tolist() for x in got] == want and any(want)
+    alone = anchored_starts([pieces[0]], np.array([0]), np.array([leads[0]]), depth)
+    assert [x.tolist() for x in alone] == [[]]
+
+
 def similar_rows(seed, n=60):
     """Documents with common passages, copies, periodic text and few different words."""
     rng = random.Random(seed)
