@@ -148,6 +148,8 @@ def _of_one_task(rows: DataFrame, n: int, many: int, growth: dict) -> list[dict]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, trees = list(_chunks(batches, n)), []
+        if chunks:  # many small chunks would take longer than their rows
+            chunks = [tuple(np.concatenate(x, axis=-1) for x in zip(*chunks, strict=True))]
         while len(trees) < many and not (trees and _settled(trees[-1])):
             parts = [(bins, *_gradients(margin, label)) for bins, label, margin in chunks]
             tree = grow(lambda t, nodes: _named(_sums(parts, n, BINS, t, nodes)), **growth)  # noqa: B023
