@@ -1,9 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from streamscore.llm import substring_dedup as substring_dedup_module
 from streamscore.llm.queries import QUERIES
 from streamscore.llm.substring_dedup import substring_dedup
 from streamscore.llm.suffix_dedup import (
@@ -13,6 +16,8 @@ from streamscore.llm.suffix_dedup import (
     suffix_dedup,
     without_repeats,
 )
+from streamscore.llm.winnow import Rolling
+from streamscore.sources.storage import stored
 
 
 def union(starts, window):
@@ -192,6 +197,53 @@ def test_substring_dedup_against_brute_force(make_docs):
         assert (got[d].n_units, got[d].n_removed, bytes(got[d].kept)) == want
 
 
+def test_substring_dedup_holds_no_list_of_all_words_of_a_long_text():
+    rng = np.random.default_rng(1)
+    names = np.array([f"w{k}" for k in range(5000)])
+    words = names[rng.integers(0, 5000, 700_000)].tolist()  # several times what is cut at once
+    text = " ".join(words[:9]) + "\n\t" + "  ".join(words[9:])
+    starts = np.array([0, 5, 200_000, 699_990])
+    ends = np.array([3, 7, 500_000, 700_000])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        n, gone, rest = substring_dedup_module._remove_words(text, starts, ends)
+        assert tracemalloc.get_traced_memory()[1] - before < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+    places = np.ones(len(words), bool)
+    for a, b in zip(starts, ends):
+        places[a:b] = False
+    assert (n, gone) == (700_000, 300_015)
+    assert rest == " ".join(w for w, stays in zip(words, places) if stays).encode()
+    flat, sizes = substring_dedup_module._symbols([text, "", "a b"])
+    assert sizes.tolist() == [700_000, 0, 2]
+    whole = substring_dedup_module.word_hashes([w.encode() for w in words])
+    assert (flat[:700_000] == whole).all()
+    # The hash of a window does not depend on the blocks that windows are hashed in.
+    some, two = np.array([3, 65_500]), np.array([63, 65_600])
+    windows = Rolling(whole).windows(50)
+    for found, a, b in zip(substring_dedup_module._cut(text, some, two, 50), some, two):
+        assert (found == windows[a : b - 49]).all()
+
+
+def test_substring_dedup_takes_one_python_worker_a_task_and_writes_six_tables(make_docs, monkeypatch):
+    plans = []
+
+    def noted(df, purpose):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, purpose)
+
+    monkeypatch.setattr(substring_dedup_module, "stored", noted)
+    out = substring_dedup(make_docs(similar_rows(2)), window=8)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 7
+    for plan in plans:
+        # Operators between two shuffles run in one task.
+        for stage in plan.partition("== Initial Plan ==")[0].split("Exchange"):
+            assert stage.count("MapInArrow") <= 1
+
+
 def test_substring_dedup_of_odd_rows(make_docs, odd_rows):
     want = brute_words([r[:2] for r in odd_rows], 50)
     rows = substring_dedup(make_docs(odd_rows)).collect()
